@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nlimorph.llm import bpe, token_counts
+from nlimorph.llm import bpe, langid, quality_rules, token_counts
+from nlimorph.llm._shared import fold_of
 
 SEQUENCE_TOKENS = 2048
 
@@ -22,12 +23,25 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.over_limit(counts, SEQUENCE_TOKENS)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = quality_rules.trusted_ids(_table(spark, sf_dir, "labels"))
+    judged = quality_rules.apply_rules(_table(spark, sf_dir, "documents"), trusted)
+    return judged.select("doc.doc_id", "m.*", "kept", "llr")
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fold = fold_of("doc_id", 4)
+    model = langid.train(docs, fold != 2)
+    return langid.predict(docs, model).select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op7_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_token_counts, op4_quality_rules, op7_bpe_round_trip, op8_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

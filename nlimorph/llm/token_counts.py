@@ -4,7 +4,7 @@ A tokenizer that drops white space encodes each run between ASCII white space on
 document's count is the sum over its runs. Tier one is a broadcast table of the lengths of frequent
 runs; tier two is each worker's own cache, filled by the tokenizer. No run is ever shuffled.
 
-The table is drawn from at most ``sample_rows`` rows and holds at most ``frequent`` entries: it is a
+The table is drawn from about ``sample_rows`` rows, chosen by a hash of the id, and holds at most ``frequent`` entries: it is a
 cache and cannot change a count.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows give repeated results;
@@ -82,7 +82,7 @@ class RunLengths:
         return out
 
 
-def _frequent_table(df: DataFrame, path: str, text_col: str, frequent: int, sample_rows: int) -> tuple[str, bytes]:
+def _frequent_table(df: DataFrame, path: str, id_col: str, text_col: str, frequent: int, sample_rows: int) -> tuple[str, bytes]:
     """Runs joined by spaces, and their lengths as bytes: the most frequent of a bounded sample."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,14 +97,16 @@ def _frequent_table(df: DataFrame, path: str, text_col: str, frequent: int, samp
             keep = [(r, n) for r, n in zip(runs, lengths, strict=True) if n < 256]
             yield pa.RecordBatch.from_pydict({"run": [r for r, _ in keep], "n": pa.array([n for _, n in keep], pa.int32())})
 
-    rows = df.select(text_col).limit(sample_rows).coalesce(1).mapInArrow(tally, "run string, n int").collect()
+    share = min(1.0, sample_rows / max(df.count(), 1))
+    drawn = df.select(id_col, text_col).where(F.pmod(F.xxhash64(F.lit("runs"), F.col(id_col)), F.lit(1 << 30)) < share * (1 << 30))
+    rows = drawn.select(text_col).repartition(1).mapInArrow(tally, "run string, n int").collect()
     return " ".join(r.run for r in rows), bytes(r.n for r in rows)
 
 
 def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = 65_536, sample_rows: int = 4_096) -> DataFrame:
     """(id, n_bytes, n_tokens) for every row of df, as the tokenizer counts the whole text."""
     schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long"
-    table = df.sparkSession.sparkContext.broadcast(_frequent_table(df, tokenizer_path, text_col, frequent, sample_rows))
+    table = df.sparkSession.sparkContext.broadcast(_frequent_table(df, tokenizer_path, id_col, text_col, frequent, sample_rows))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, lengths = table.value
