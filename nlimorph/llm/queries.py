@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nlimorph.llm import bpe, langid, quality_rules, token_counts
+from nlimorph.llm import bpe, langid, quality_rules, simhash, token_counts
 from nlimorph.llm._shared import fold_of
 
 SEQUENCE_TOKENS = 2048
@@ -23,6 +23,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.over_limit(counts, SEQUENCE_TOKENS)
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = quality_rules.trusted_ids(_table(spark, sf_dir, "labels"))
     judged = quality_rules.apply_rules(_table(spark, sf_dir, "documents"), trusted)
@@ -41,7 +45,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_quality_rules, op7_bpe_round_trip, op8_language_id)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op4_quality_rules, op7_bpe_round_trip, op8_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
