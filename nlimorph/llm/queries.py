@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nlimorph.llm import bpe, langid, quality_rules, simhash, token_counts
+from nlimorph.llm import bpe, langid, quality_rules, simhash, substrings, token_counts
 from nlimorph.llm._shared import fold_of
 
 SEQUENCE_TOKENS = 2048
@@ -33,6 +33,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc.doc_id", "m.*", "kept", "llr")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substrings.remove_repeats(_table(spark, sf_dir, "documents"), digests=True)
+    return cleaned.select("doc.doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
 
@@ -45,7 +50,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op4_quality_rules, op7_bpe_round_trip, op8_language_id)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op4_quality_rules, op5_substring_dedup, op7_bpe_round_trip, op8_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
