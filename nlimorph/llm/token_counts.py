@@ -14,7 +14,9 @@ other columns, whatever their names, do not matter.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from nlimorph.llm._shared import split_batch
 
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 400_000
 LONGEST_CACHED = 64
 _tokenizers: dict[str, object] = {}
 
@@ -49,37 +51,76 @@ def runs_of(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
-class RunLengths:
-    """Token count of a run: the broadcast table first, then this worker's cache."""
-
-    def __init__(self, path: str, frequent: dict[str, int]):
-        self.tok, self.frequent, self.cache = load_tokenizer(path), frequent, {}
-
-    def learn(self, runs: list[str]) -> dict[str, int]:
-        """Counts of the runs that neither tier holds; short ones stay in the cache."""
-        encoded = self.tok.encode_batch_fast(runs, add_special_tokens=False)
-        found = {r: len(e) for r, e in zip(runs, encoded, strict=True)}
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        self.cache.update((r, n) for r, n in found.items() if len(r) <= LONGEST_CACHED)
-        return found
-
-    def counts(self, texts: list[str]) -> list[int]:
-        split = [runs_of(t) for t in texts]
-        frequent, cache = self.frequent, self.cache
-        missing = {r for runs in split for r in runs if r not in frequent and r not in cache}
-        known = cache
-        if missing:
-            found = self.learn(list(missing))
-            known = {**cache, **found} if len(found) > len(cache) or any(len(r) > LONGEST_CACHED for r in missing) else cache
-        out = []
-        for runs in split:
-            n = 0
-            for r in runs:
-                v = frequent.get(r)
-                n += v if v is not None else known[r] if r in known else len(self.tok.encode(r, add_special_tokens=False))
-            out.append(n)
-        return out
+class RunEncoder:
+    """Token ids of a run, as little-endian 32-bit integers, remembered in a cache of bounded size.
+
+    Runs of Latin-1 characters are lower-cased and cut here into the tokenizer's words, which its model
+    encodes; words have a cache of their own. All other runs, and runs that may hold a special string,
+    are left to the tokenizer as a whole. Where the tokenizer is not of this build, all runs are.
+    """
+
+    #: The build that ``_latin`` follows, on characters below U+0100.
+    NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+    SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa00-9a-zªµºß-öø-ÿ²³¹¼-¾]+")
+
+    def __init__(self, path: str):
+        self.tok, self.runs, self.words = load_tokenizer(path), {}, {}
+        spec = json.loads(self.tok.to_str())
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.latin = (spec["normalizer"] or {}).get("normalizers") == self.NORMALIZER and steps[0].get("pattern", {}).get("Regex") == self.SPLIT and len(steps) == 2 and not steps[1]["use_regex"]
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        others = [b for b in range(256) if b not in set(plain)]
+        self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            letters = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.letters)
+            ids = np.array([t.id for t in self.tok.model.tokenize(letters)], dtype="<u4").tobytes()
+            if len(self.words) > CACHE_ENTRIES:
+                self.words.clear()
+            if len(word) <= LONGEST_CACHED:
+                self.words[word] = ids
+        return ids
+
+    def encode(self, run: str) -> bytes:
+        """Ids of one run that the cache may not hold."""
+        if self.latin and "<|" not in run and (run.isascii() or max(run) < "\u0100"):
+            ids = b"".join(map(self._word, self.LATIN_WORDS.findall(run.lower())))
+        else:
+            ids = np.array(self.tok.encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(self.runs) > CACHE_ENTRIES:
+            self.runs.clear()
+        if len(run) <= LONGEST_CACHED:
+            self.runs[run] = ids
+        return ids
+
+    def text(self, text: str) -> bytes:
+        """Ids of a whole text."""
+        known, encode = self.runs.get, self.encode
+        return b"".join([ids if (ids := known(r)) is not None else encode(r) for r in runs_of(text)])
+
+    def count(self, text: str, frequent: dict[str, int]) -> int:
+        """Number of ids of a whole text: the broadcast table first, then this worker's cache."""
+        n, known, encode = 0, self.runs.get, self.encode
+        for r in runs_of(text):
+            v = frequent.get(r)
+            if v is None:
+                ids = known(r)
+                v = len(ids if ids is not None else encode(r)) >> 2
+            n += v
+        return n
+
+
+_encoders: dict[str, RunEncoder] = {}
+
+
+def encoder(path: str) -> RunEncoder:
+    """The encoder of a .json file with its caches, one per process."""
+    if path not in _encoders:
+        _encoders[path] = RunEncoder(path)
+    return _encoders[path]
 
 
 def _frequent_table(df: DataFrame, path: str, id_col: str, text_col: str, frequent: int, sample_rows: int) -> tuple[str, bytes]:
@@ -110,12 +151,13 @@ def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, lengths = table.value
-        lookup = RunLengths(tokenizer_path, {"": 0, **dict(zip(runs.split(" "), lengths, strict=False))} if lengths else {"": 0})
+        frequent = {"": 0} | (dict(zip(runs.split(" "), lengths, strict=True)) if lengths else {})
+        runs_encoder = encoder(tokenizer_path)
         for whole in batches:
             for batch in split_batch(whole, text_col, 2 << 20):
-                texts = [t or "" for t in batch.column(1).to_pylist()]
+                counts = [runs_encoder.count(t or "", frequent) for t in batch.column(1).to_pylist()]
                 n_bytes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(np.array(lookup.counts(texts), dtype=np.int64))], [id_col, "n_bytes", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(counts, pa.int64())], [id_col, "n_bytes", "n_tokens"])
 
     return df.select(id_col, text_col).mapInArrow(count, schema)
 
