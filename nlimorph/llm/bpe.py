@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from nlimorph.llm._shared import split_batch
 from nlimorph.llm.token_counts import load_tokenizer
 
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 300_000
 LONGEST_CACHED = 64
 #: The word pattern of the byte-level vocabulary.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -125,22 +125,21 @@ class BytePairs:
                 else:
                     words += self.pattern.findall(part)
             split.append(words)
-        odd = {w for words in split for w in set(words) - self.cache.keys() if not w.isascii() and any(category(c) == "Cn" for c in w)}
-        if odd:  # letters newer than this interpreter's tables: the tokenizer's own splitter decides
-            split = [self._split_by_library(t) if odd & set(words) else words for t, words in zip(texts, split, strict=True)]
-        special = {"\0" + t: np.array([i], dtype="<u4").tobytes() for t, i in self.added.items()}
         known = self.cache
-        missing = [w for w in {w for words in split for w in words} if w not in known and w not in special]
-        found = dict(zip(missing, self.merge_rounds(missing), strict=True)) if missing else {}
-        short = {w: v for w, v in found.items() if len(w) <= LONGEST_CACHED and w not in odd}
-        if len(known) + len(short) > CACHE_ENTRIES:
-            table = {w: known[w] for words in split for w in words if w in known} | found
+        missing = {w for words in split for w in words if w not in known}
+        odd = {w for w in missing if not w.isascii() and any(category(c) == "Cn" for c in w)}
+        if odd:  # letters newer than this interpreter's tables: the tokenizer's own splitter decides
+            split = [self._split_by_library(t) if not odd.isdisjoint(words) else words for t, words in zip(texts, split, strict=True)]
+            missing = {w for words in split for w in words if w not in known}
+        special = {w for w in missing if w[0] == "\0" and w[1:] in self.added}
+        plain = list(missing - special)
+        fresh = dict(zip(plain, self.merge_rounds(plain), strict=True)) if plain else {}
+        fresh |= {w: np.array([self.added[w[1:]]], dtype="<u4").tobytes() for w in special}
+        out = [b"".join([ids if (ids := known.get(w)) is not None else fresh[w] for w in words]) for words in split]
+        if len(known) + len(fresh) > CACHE_ENTRIES:
             known.clear()
-        else:
-            table = None
-        known.update(short)
-        look = {**special, **(table if table is not None else {w: v for w, v in found.items() if w not in short})}
-        return [b"".join([look[w] if w in look else known[w] for w in words]) for words in split]
+        known.update((w, ids) for w, ids in fresh.items() if len(w) <= LONGEST_CACHED and w not in odd and w not in special)
+        return out
 
     def decode(self, ids: bytes) -> str:
         parts = map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())
