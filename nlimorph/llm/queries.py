@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nlimorph.llm import bpe, langid, quality_rules, simhash, substrings, token_counts
+from nlimorph.llm import bpe, langid, packing, quality_rules, simhash, substrings, token_counts
 from nlimorph.llm._shared import fold_of
 
 SEQUENCE_TOKENS = 2048
@@ -49,8 +49,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, window=SEQUENCE_TOKENS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op4_quality_rules, op5_substring_dedup, op7_bpe_round_trip, op8_language_id)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op4_quality_rules, op5_substring_dedup, op7_bpe_round_trip, op8_language_id, op9_retrieval_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
