@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nlimorph.llm import bpe, langid, licenses, packing, quality_rules, simhash, substrings, token_counts
+from nlimorph.llm import bpe, langid, licenses, packing, quality_model, quality_rules, simhash, substrings, token_counts
 from nlimorph.llm._shared import fold_of
 
 SEQUENCE_TOKENS = 2048
@@ -57,8 +57,14 @@ def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, window=SEQUENCE_TOKENS)
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels, fold = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold_of("doc_id", 3)
+    model = quality_model.train(docs, labels, fold != 1)
+    return quality_model.score(docs, model).select("doc_id", (fold == 1).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op4_quality_rules, op5_substring_dedup, op6_license_scan, op7_bpe_round_trip, op8_language_id, op9_retrieval_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op4_quality_rules, op5_substring_dedup, op6_license_scan, op7_bpe_round_trip, op8_language_id, op9_retrieval_packing, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
