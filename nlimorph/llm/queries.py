@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nlimorph.llm import bpe, langid, licenses, packing, quality_model, quality_rules, simhash, substrings, token_counts
+from nlimorph.llm import bpe, digests, langid, licenses, packing, quality_model, quality_rules, simhash, substrings, token_counts
 from nlimorph.llm._shared import fold_of
 
 SEQUENCE_TOKENS = 2048
@@ -27,6 +27,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_improbable_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = quality_rules.trusted_ids(_table(spark, sf_dir, "labels"))
     judged = quality_rules.apply_rules(_table(spark, sf_dir, "documents"), trusted)
@@ -64,7 +68,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op4_quality_rules, op5_substring_dedup, op6_license_scan, op7_bpe_round_trip, op8_language_id, op9_retrieval_packing, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_improbable_digests, op4_quality_rules, op5_substring_dedup, op6_license_scan, op7_bpe_round_trip, op8_language_id, op9_retrieval_packing, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
