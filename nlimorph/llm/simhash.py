@@ -22,10 +22,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from nlimorph.llm._shared import materialize, split_batch
+from nlimorph.llm._shared import materialize, mix64, split_batch
 from nlimorph.llm.components import components
 
 GROUP = 2048
@@ -187,3 +189,82 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_print = labelled.select("lo", "root").join(least, "root").select("lo", "component_id")
     named = F.lower(F.lpad(F.hex("lo"), 16, "0")).alias("fingerprint")
     return prints.join(by_print, "lo").select(id_col, named, "component_id")
+
+
+#: The general form: a 128-bit SimHash of word pairs with five Golay blocks, met within two bits of a block.
+PAIR_BLOCKS = [("lo", 0), ("lo", 23), ("hi", 0), ("hi", 23), ("hi", 41)]
+PAIR_BITS = 32
+VERIFY_GROUP = 512
+
+
+def _sketches(df: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """Every row as struct ``doc`` with a row number, the 128-bit SimHash of its word pairs and a digest of its shingle set."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = T.StructType().add("doc", df.schema).add("row", T.LongType()).add("lo", T.LongType()).add("hi", T.LongType()).add("content", T.StringType())
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
+        for whole in batches:
+            for batch in split_batch(whole, text_col, 2 << 20):
+                lo, hi, content = [], [], []
+                for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
+                    pairs = np.unique(shingle_hashes(text or "", 2))
+                    lo.append(_bits_over_half(pairs) if len(pairs) else 0)
+                    hi.append(_bits_over_half(mix64(pairs)) if len(pairs) else 0)
+                    content.append(xxhash.xxh3_128_hexdigest(np.unique(shingle_hashes(text or "", shingle)).tobytes()))
+                rows = pa.array(np.arange(row, row + batch.num_rows))
+                row += batch.num_rows
+                doc = pa.StructArray.from_arrays(batch.columns, fields=list(arrow.field("doc").type))
+                columns = [doc, rows, *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (lo, hi)), pa.array(content, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def _verified(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Edges between members of a group whose shingle sets are alike enough; members already joined are not compared."""
+    for batch in batches:
+        u, v = [], []
+        for members in batch.column(0):
+            rows = sorted(members.as_py(), key=lambda m: m["node"])
+            sets = [np.unique(shingle_hashes(m["text"] or "", shingle)) for m in rows]
+            size = np.array([len(s) for s in sets])
+            lo, hi = (np.array([m[k] for m in rows], dtype=np.int64).view(np.uint64) for k in ("lo", "hi"))
+            label = np.arange(len(rows))
+            for i in range(len(rows) - 1):
+                near = np.bitwise_count(lo[i + 1 :] ^ lo[i]).astype(np.int64) + np.bitwise_count(hi[i + 1 :] ^ hi[i]) <= PAIR_BITS
+                near &= np.minimum(size[i + 1 :], size[i]) >= similarity * np.maximum(size[i + 1 :], size[i])
+                for j in (np.flatnonzero(near) + i + 1).tolist():
+                    if label[j] != label[i]:
+                        common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                        if common >= similarity * (size[i] + size[j] - common) - 1e-9:
+                            label[label == max(label[i], label[j])] = min(label[i], label[j])
+                            u.append(rows[j]["node"])
+                            v.append(rows[i]["node"])
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of df without near copies: of every group the row with the smallest id stays (null ids last).
+
+    Two rows are linked if the Jaccard similarity of their sets of ``shingle``-word shingles is at least
+    ``similarity`` and their SimHashes meet at an anchor; groups are the components of links. Links are verified
+    on whole texts, class representatives only, in groups of bounded size.
+    """
+    rows = materialize(_sketches(df, text_col, shingle), "sketches")
+    rank = F.struct(F.col("doc")[id_col].isNull().alias("null_id"), F.col("doc")[id_col].alias("id"), F.col("row").alias("row"))
+    classes = materialize(rows.groupBy("content").agg(F.min(rank).alias("first"), F.first("lo").alias("lo"), F.first("hi").alias("hi")).select("content", F.col("first.row").alias("node"), "first", "lo", "hi"), "classes")
+    near = components(links(classes.select("node", "lo", "hi"), "golay23", PAIR_BLOCKS, within=2, most=PAIR_BITS), "near")
+    member = near.select(F.col("u").alias("node"), F.col("v").alias("group")).union(near.select(F.col("v").alias("node"), F.col("v").alias("group")).distinct())
+    sizes = member.groupBy("group").agg(F.ceil(F.count("*") / VERIFY_GROUP).cast("int").alias("parts"))
+    texts = rows.join(member.join(sizes, "group"), F.col("row") == F.col("node")).select("group", "parts", F.struct("node", "lo", "hi", F.col("doc")[text_col].alias("text")).alias("r"))
+    own = F.pmod(F.xxhash64("r.node"), F.col("parts")).cast("int")
+    met = texts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    groups = met.groupBy("group", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.collect_list("r").alias("members")).select("members")
+    edges = groups.mapInArrow(lambda batches: _verified(batches, shingle, similarity), "u long, v long")
+    stars = components(edges, "copies")
+    labelled = classes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = labelled.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select("doc.*")
