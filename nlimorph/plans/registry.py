@@ -1,11 +1,590 @@
-"""All registered queries with their SQL."""
+"""All registered queries, each beside its SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nlimorph.functions import labels as L
+from nlimorph.operators import audit, evaluate, groups, instruct, score, seeds
+from nlimorph.plans import fixtures as fx
+from nlimorph.sources import jsonl, layouts
+
+Query = Callable[[SparkSession, str], DataFrame]
+_all: dict[str, tuple[Query, str | None]] = {}
+
+SEED, TARGET, CAP, RATIO = 42, 4413, 2000, 0.05
+MR_ORDER = ("adding_contradiction", "antonym_substitution", "conditional_clause", "negation_flip", "pronoun_substitution", "synonym_replacement", "uninformative", "voice_switch")
+CATALOG = "mr_id string, operation_text string, effect_text string"
+
+
+def _query(sql: str | None):
+    def add(f: Query) -> Query:
+        _all[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return {k: f for k, (f, _) in _all.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for k, (_, s) in _all.items() if s}
+
+
+# Expected labels of the replies, by rule and task; '=' is the cleaned reply itself.
+_RULES = ("strict", "loose", "echo", "echo_plain")
+_TABLE = {
+    "0": "EEEEEEEE", "1": "NXNXNXNX", "2": "CXCXCXCX", "3": "-XEXEXXX", "4": "-XEXEX=X", "5": "EEEEEEEE", "6": "NXNXNX=X", "7": "EEEEEEEE",
+    "8": "NXNXNXNX", "9": "CXCXCCC=", "a": "CXCXCXCX", "b": "----====", "c": "----EE==", "d": "EXEXEX=X", "e": "CXCXCXCX", "f": "EXEXEE=X",
+}
+_NAMES = {"E": "entailment", "N": "neutral", "C": "contradiction", "X": "not_entailment"}
+
+
+def _expected(digit: str, at: int) -> str:
+    code = _TABLE[digit][at]
+    text = _NAMES.get(code) if code not in "-=" else None if code == "-" else fx.REPLIES[digit].strip().lower().rstrip(".!?,")
+    return "null" if text is None else f"'{text}'"
+
+
+def _label_rows() -> str:
+    rows = [f"('{d}', {', '.join(_expected(d, k) for k in range(8))})" for d in _TABLE]
+    return "rules as (select * from (values " + ", ".join(rows) + ") v(digit, strict3, strict2, loose3, loose2, echo3, echo2, plain3, plain2))"
+
+
+def _pred(rule: str) -> str:
+    return f"case when task = 'nli-binary' then {rule}2 else {rule}3 end"
+
+
+def _with_pred(rule: str = "strict", where: str = "status = 200") -> str:
+    """CTEs up to ``scored``: predictions with pred, unparsed ones left out."""
+    return fx.with_sql("predictions") + f", {_label_rows()}, judged as (select p.*, {_pred(rule)} as pred from predictions p join rules using (digit) where {where}), scored as (select * from judged where pred is not null)"
+
+
+def _scored(spark: SparkSession, sf_dir: str, rule: str = "strict") -> DataFrame:
+    return evaluate.parsed(evaluate.with_prediction(evaluate.scorable(fx.predictions(spark, sf_dir)), rule))
+
+
+def _sets(by: str = "dataset") -> str:
+    return "sets as (select dataset, unnest(case when bool_or(task = 'nli-binary') then ['entailment', 'not_entailment'] else ['entailment', 'neutral', 'contradiction'] end) as label from scored group by dataset)"
+
+
+# --- replies and labels
+
+
+def _replies(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
+    p = fx.predictions(spark, sf_dir)
+    return p.groupBy("task", "reply", L.predicted(F.col("reply"), F.col("task"), rule).alias("pred")).agg(F.count("*").alias("n"))
+
+
+def _replies_sql(rule: str) -> str:
+    return fx.with_sql("predictions") + f", {_label_rows()} select task, reply, {_pred(rule)} as pred, count(*) as n from predictions join rules using (digit) group by all"
+
+
+@_query(_replies_sql("strict"))
+def normalize_strict(spark, sf_dir):
+    return _replies(spark, sf_dir, "strict")
+
+
+@_query(_replies_sql("loose"))
+def normalize_loose(spark, sf_dir):
+    return _replies(spark, sf_dir, "loose")
+
+
+@_query(_replies_sql("echo"))
+def normalize_echo(spark, sf_dir):
+    return _replies(spark, sf_dir, "echo")
+
+
+@_query(_replies_sql("plain"))
+def normalize_echo_plain(spark, sf_dir):
+    return _replies(spark, sf_dir, "echo_plain")
+
+
+@_query(
+    fx.with_sql("predictions")
+    + """, g as (select task, reply, lower(trim(reply)) as s, count(*) as n from predictions group by all)
+select task, reply, case when s in ('entailment', 'entailed', 'e', '0') then 'entailment' when s in ('neutral', 'n', '1') then 'neutral'
+  when s in ('contradiction', 'contradictory', 'c', 'contradict', '2') then 'contradiction' else s end as gold_3,
+  case when s in ('entailment', 'entailed', 'e', '0') then 'entailment' else 'not_entailment' end as gold_2, n from g"""
+)
+def gold_labels(spark, sf_dir):
+    p = fx.predictions(spark, sf_dir).groupBy("task", "reply").agg(F.count("*").alias("n"))
+    return p.select("task", "reply", L.gold3(F.col("reply")).alias("gold_3"), L.gold2(F.col("reply")).alias("gold_2"), "n")
+
+
+@_query(
+    fx.with_sql("predictions")
+    + f""", {_label_rows()}, c as (select dataset, case when label = 0 then 'entailment' else 'not_entailment' end as gold, strict2 as pred from predictions join rules using (digit))
+select dataset, gold, count(*) as n, count(*) filter (pred = lower(gold)) as n_correct from c group by all"""
+)
+def collapse_label(spark, sf_dir):
+    p = fx.predictions(spark, sf_dir)
+    two = F.lit("nli-binary")
+    p = p.select("dataset", L.collapse_label(F.col("gold"), F.col("task"), two).alias("gold"), L.predicted(F.col("reply"), two).alias("pred"))
+    return p.groupBy("dataset", "gold").agg(F.count("*").alias("n"), F.count_if(F.col("pred") == F.lower("gold")).alias("n_correct"))
+
+
+# --- sources
+
+
+@_query(
+    fx.with_sql("predictions")
+    + """, j as (select *, substr(md5('j|'||row_key),1,1) as b from predictions)
+select dataset, mr, count(*) filter (b <> '1') as n_lines, count(*) filter (b = '0') as n_malformed, count(*) filter (b not in ('0', '1') and status = 200) as n_answered from j group by all"""
+)
+def read_jsonl_quality(spark, sf_dir):
+    lines = jsonl.parse_lines(fx.prediction_lines(fx.predictions(spark, sf_dir)), mode="flag")
+    status = F.try_variant_get("v", "$.status", "int")
+    return lines.groupBy("dataset", "mr").agg(F.count("*").alias("n_lines"), F.count_if("malformed").alias("n_malformed"), F.count_if(status == 200).alias("n_answered"))
+
+
+@_query(
+    fx.with_sql("samples")
+    + """, f as (select pair_key, dataset, max(mr_id) as kind, count(*) as n from samples group by pair_key, dataset)
+select dataset, case when cast(pair_key as bigint) % 3 = 0 then 'array' when cast(pair_key as bigint) % 3 = 1 then 'object' else 'lines' end as form, count(*) as n_files, sum(n)::bigint as n_items from f group by all"""
+)
+def read_json_any(spark, sf_dir):
+    """Files of three forms, one for each pair group, read as whole texts."""
+    s = fx.samples(spark, sf_dir)
+    row = F.to_json(F.struct("premise", "hypothesis", "label"))
+    files = s.groupBy("dataset", "pair_key").agg(F.collect_list(row).alias("rows"))
+    form = F.when(F.col("pair_key").cast("long") % 3 == 0, "array").when(F.col("pair_key").cast("long") % 3 == 1, "object").otherwise("lines")
+    array = F.concat(F.lit("["), F.array_join("rows", ", "), F.lit("]"))
+    text = F.when(form == "array", array).when(form == "object", F.concat(F.lit('{"data": '), array, F.lit("}"))).otherwise(F.array_join("rows", "\n"))
+    items = jsonl.parse_whole(files.select("dataset", "pair_key", form.alias("form"), text.alias("value")))
+    return jsonl.valid_samples(items).groupBy("dataset", "form").agg(F.countDistinct("pair_key").alias("n_files"), F.count("*").alias("n_items"))
+
+
+@_query(
+    fx.with_sql("samples")
+    + """, k as (select *, substr(md5('k|'||row_key),1,1) as d from samples)
+select row_key, case when d < 'e' then premise end as premise, case when d < 'e' then hypothesis end as hypothesis, case when d < 'e' then cast(label as string) end as label,
+  case when d >= 'e' then premise||' / '||hypothesis end as generic from k"""
+)
+def extract_fields(spark, sf_dir):
+    """Rows under several key names, with list labels, and rows that are plain text."""
+    s, d = fx.samples(spark, sf_dir), F.substring(F.md5(F.concat(F.lit("k|"), "row_key")), 1, 1)
+    plain = F.to_json(F.struct("premise", "hypothesis", "label"))
+    other = F.to_json(F.struct(F.col("premise").alias("sentence1"), F.col("hypothesis").alias("sentence2"), F.array("label", F.lit(9)).alias("annotator_labels")))
+    text = F.to_json(F.struct(F.concat("premise", F.lit(" / "), "hypothesis").alias("text")))
+    lines = s.select("row_key", F.when(d < "8", plain).when(d < "e", other).otherwise(text).alias("value"))
+    rows = jsonl.parse_lines(lines).select("row_key", jsonl.nli_fields(F.col("v")).alias("f"), jsonl.generic_text(F.col("v")).alias("generic"))
+    lacking = F.col("f.premise").isNull() | F.col("f.hypothesis").isNull()
+    return rows.select("row_key", "f.*", F.when(lacking, F.col("generic")).alias("generic"))
+
+
+@_query(
+    fx.with_sql("samples")
+    + """ select dataset, case when mr_id = 'none' then null else mr_id end as mr, dataset||'_test_'||mr_id||'_20260101' as stem, task, count(*) as n from samples group by all"""
+)
+def path_fields(spark, sf_dir):
+    s = fx.samples(spark, sf_dir)
+    path = F.concat(F.lit("file:/data/"), "dataset", F.lit("_test_MR/"), "dataset", F.lit("_test_"), "mr_id", F.lit("_20260101.json"))
+    return layouts.with_path_fields(s.select(path.alias("path"))).groupBy("dataset", "mr", "stem", "task").agg(F.count("*").alias("n"))
+
+
+@_query(
+    fx.with_sql("samples")
+    + """, r as (select *, row_number() over (partition by dataset, mr_id order by row_key) as i from samples where dataset <> 'snli')
+select dataset, case when label = 0 then mr_id||'_file' else mr_id end as mr_type, count(*) as n from r where i <= 100 group by all"""
+)
+def mr_dir_union(spark, sf_dir):
+    """Files of a folder in one table; the relation is the row's own or the file stem; first rows of some datasets."""
+    s = fx.samples(spark, sf_dir).where(F.col("dataset") != "snli")
+    rows = score.with_index(s.withColumn("mr_type", F.when(F.col("label") != 0, F.col("mr_id")).otherwise("")), ("dataset", "mr_id"), ("row_key",)).where(F.col("index") <= 100)
+    kind = F.coalesce(F.nullif(F.col("mr_type"), F.lit("")), F.concat("mr_id", F.lit("_file")))
+    return rows.groupBy("dataset", kind.alias("mr_type")).agg(F.count("*").alias("n"))
+
+
+@_query(fx.with_sql("predictions") + " select dataset, mr, row_number() over (partition by dataset, mr order by row_key) as index, row_key, case when status = 200 then reply end as reply from predictions")
+def combine_predictions(spark, sf_dir):
+    p = score.with_index(fx.predictions(spark, sf_dir), ("dataset", "mr"), ("row_key",))
+    good = p.where(F.col("status") == 200).select("dataset", "mr", "index", "row_key", "reply")
+    return evaluate.combine([good, p.where(F.col("status") != 200).select("dataset", "mr", "index", "row_key")])
+
+
+# --- evaluation
+
+
+@_query(fx.with_sql("predictions") + ", j as (select *, substr(md5('j|'||row_key),1,1) as b from predictions) select cast(status as string) as status, count(*) as n, count(*) / sum(count(*)) over () as share from j where b not in ('0', '1') group by all")
+def status_summary(spark, sf_dir):
+    rows = jsonl.parse_lines(fx.prediction_lines(fx.predictions(spark, sf_dir)))
+    return evaluate.status_summary(rows.select(jsonl.prediction_fields(F.col("v")).alias("p")).select("p.*"))
+
+
+@_query(
+    fx.with_sql("predictions")
+    + """, j as (select * from predictions where substr(md5('j|'||row_key),1,1) not in ('0', '1') and status = 200)
+select count(*) as n_usage, sum(prompt_tokens)::bigint as prompt_tokens, sum(completion_tokens)::bigint as completion_tokens, sum(cached_tokens)::bigint as cached_tokens,
+  sum(prompt_tokens + completion_tokens)::bigint as total_tokens, sum(prompt_tokens + completion_tokens)::bigint / count(*) as avg_tokens,
+  sum(prompt_tokens)::bigint * 0.5::double / 1e6 + sum(completion_tokens)::bigint * 1.5::double / 1e6 as cost from j"""
+)
+def token_usage(spark, sf_dir):
+    rows = jsonl.parse_lines(fx.prediction_lines(fx.predictions(spark, sf_dir)))
+    return evaluate.token_usage(rows.select(jsonl.prediction_fields(F.col("v")).alias("p")).select("p.*"), 0.5, 1.5)
+
+
+_PER_CLASS = """m as (select s.dataset, s.label, count(*) filter (gold = s.label and pred = s.label) as tp, count(*) filter (gold <> s.label and pred = s.label) as fp,
+  count(*) filter (gold = s.label and pred <> s.label) as fn, count(*) filter (gold = s.label) as support from sets s join scored using (dataset) group by all),
+pr as (select *, case when tp + fp = 0 then 0 else tp / (tp + fp) end as precision, case when tp + fn = 0 then 0 else tp / (tp + fn) end as recall from m),
+f as (select *, case when precision + recall = 0 then 0 else 2 * precision * recall / (precision + recall) end as f1 from pr)"""
+
+
+@_query(_with_pred() + f", {_sets()}, {_PER_CLASS} select dataset, label, tp, fp, fn, support, precision, recall, f1 from f")
+def metrics_per_class(spark, sf_dir):
+    return evaluate.metrics_per_class(_scored(spark, sf_dir))
+
+
+@_query(
+    _with_pred()
+    + f""", {_sets()}, {_PER_CLASS}, mac as (select dataset, round(avg(precision), 12) as precision_macro, round(avg(recall), 12) as recall_macro, round(avg(f1), 12) as f1_macro from f group by all),
+t as (select dataset, count(*) as total, count(*) filter (gold = pred) as correct from scored group by all)
+select dataset, total, correct, precision_macro, recall_macro, f1_macro, correct / total as accuracy from t join mac using (dataset)"""
+)
+def metrics_overall(spark, sf_dir):
+    return evaluate.metrics_overall(_scored(spark, sf_dir))
+
+
+@_query(_with_pred() + f", {_sets()} select a.dataset, a.label as gold, b.label as pred, count(s.row_key) as n from sets a join sets b using (dataset) left join scored s on s.dataset = a.dataset and s.gold = a.label and s.pred = b.label group by all")
+def confusion(spark, sf_dir):
+    return evaluate.confusion(_scored(spark, sf_dir))
+
+
+@_query(_with_pred() + " select dataset, mr, row_key, premise, hypothesis, gold, pred from scored where gold <> pred")
+def error_cases(spark, sf_dir):
+    return evaluate.error_cases(_scored(spark, sf_dir), "row_key", "premise", "hypothesis")
+
+
+@_query(_with_pred() + " select dataset, mr, count(*) filter (gold = pred) as correct, count(*) as total, count(*) filter (gold = pred) / count(*) as accuracy from scored group by all")
+def breakdown_mr(spark, sf_dir):
+    return evaluate.breakdown(_scored(spark, sf_dir), "dataset", "mr")
+
+
+def _mrv_sql(how: str) -> str:
+    names = "case grouping(dataset) * 2 + grouping(mr) when 0 then 'cell' when 1 then 'dataset' when 2 then 'mr' else 'all' end"
+    return _with_pred("loose") + f" select dataset, mr, count(*) as total, count(*) filter (gold <> pred) as errors, {names} as level, count(*) filter (gold <> pred) / count(*) as error_rate from scored group by {how}(dataset, mr)"
+
+
+@_query(_mrv_sql("rollup"))
+def mrv_by_dataset_mr(spark, sf_dir):
+    return evaluate.mrv(_scored(spark, sf_dir, "loose"))
+
+
+@_query(_mrv_sql("cube"))
+def mrv_cube(spark, sf_dir):
+    return evaluate.mrv_cube(_scored(spark, sf_dir, "loose"))
+
+
+@_query(_with_pred("loose") + " select dataset, " + ", ".join(f"round(count(*) filter (mr = '{m}' and gold <> pred) / nullif(count(*) filter (mr = '{m}'), 0), 4) as {m}" for m in MR_ORDER) + " from scored group by dataset")
+def mrv_matrix(spark, sf_dir):
+    return evaluate.mrv_matrix(_scored(spark, sf_dir, "loose"), MR_ORDER)
+
+
+@_query(
+    _with_pred("loose")
+    + """, t as (select dataset, mr, count(*) as total, count(*) filter (gold <> pred) as errors from scored group by all)
+select dataset, mr, total, errors, total - errors as correct, round(errors / total, 4) as error_rate, round((total - errors) / total, 4) as accuracy,
+  case when round(errors / total, 4) <= 0.1 then 'low' when round(errors / total, 4) <= 0.2 then 'mid' else 'high' end as band from t"""
+)
+def mrv_detail(spark, sf_dir):
+    return evaluate.mrv_detail(_scored(spark, sf_dir, "loose"))
+
+
+@_query(
+    _with_pred("loose")
+    + """, d as (select * from (values ('snli'), ('mnlim'), ('mnlimm'), ('rte'), ('sick'), ('unseen')) v(dataset))
+select dataset, count(row_key) as total, count(*) filter (gold <> pred) as errors, coalesce(count(*) filter (gold <> pred) / nullif(count(row_key), 0), 0) as error_rate from d left join scored using (dataset) group by all"""
+)
+def mrv_with_empty(spark, sf_dir):
+    names = spark.createDataFrame([(d,) for d in ("snli", "mnlim", "mnlimm", "rte", "sick", "unseen")], "dataset string")
+    return evaluate.mrv_with_empty(_scored(spark, sf_dir, "loose"), names)
+
+
+# --- groups
+
+
+def _rows_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = fx.samples(spark, sf_dir)
+    return s.withColumn("pair_id", F.when(F.col("prompt_tokens") % 5 != 0, F.col("pair_key"))).drop("pair_key")
+
+
+@_query(fx.with_sql("samples") + ", k as (select source_file, mr_id, case when prompt_tokens % 5 <> 0 then pair_key else '__row_'||row_key||random() end as k, prompt_tokens % 5 = 0 as own from samples), g as (select source_file, k, own, count(*) as n_rows, count(*) filter (mr_id = 'none') as n_sources from k group by all) select source_file, own, n_rows, n_sources, count(*) as n_groups from g group by all")
+def pair_groups(spark, sf_dir):
+    rows = groups.ensure_pair_id(_rows_with_gaps(spark, sf_dir), ["row_key", "mr_id", "premise", "hypothesis"])
+    g = groups.pair_groups(rows).withColumn("own", F.col("pair_key").startswith("__row_"))
+    return g.groupBy("source_file", "own", "n_rows", "n_sources").agg(F.count("*").alias("n_groups"))
+
+
+@_query(fx.with_sql("samples") + ", g as (select source_file, pair_key, count(*) as n_rows from samples group by all) select n_rows, count(*) as n_groups from g group by all")
+def group_size_hist(spark, sf_dir):
+    return groups.group_size_hist(groups.pair_groups(fx.samples(spark, sf_dir)))
+
+
+_PRIMARY = "c as (select source_file, pair_key, label, count(*) as n from samples group by all), prim as (select source_file, pair_key, first(label order by n desc, label) as primary_label, sum(n)::bigint as n_rows from c group by all)"
+
+
+@_query(fx.with_sql("samples") + f", {_PRIMARY} select source_file, pair_key, primary_label, n_rows from prim")
+def primary_label(spark, sf_dir):
+    return groups.primary_label(fx.samples(spark, sf_dir).withColumn("label", F.col("label").cast("string"))).withColumn("primary_label", F.col("primary_label").cast("int"))
+
+
+_GROUPS = "g as (select source_file, pair_key, count(*) as n_rows from samples group by all)"
+_ORDER = f"order by md5('{SEED}|'||pair_key), source_file, pair_key"
+
+
+@_query(fx.with_sql("samples") + f", {_GROUPS}, t as (select *, coalesce(sum(n_rows) over ({_ORDER} rows between unbounded preceding and 1 preceding), 0) as before from g) select source_file, pair_key, n_rows from t where before < {TARGET}")
+def sample_groups(spark, sf_dir):
+    return groups.sample_groups(groups.pair_groups(fx.samples(spark, sf_dir)), TARGET, SEED).select("source_file", "pair_key", "n_rows")
+
+
+@_query(
+    fx.with_sql("samples")
+    + f""", {_PRIMARY}, k as (select primary_label, row_number() over (order by primary_label) as r, count(*) over () as k from (select distinct primary_label from prim)),
+s as (select primary_label, {TARGET} // k + case when r <= {TARGET} % k then 1 else 0 end as share from k),
+t as (select *, coalesce(sum(n_rows) over (partition by primary_label {_ORDER} rows between unbounded preceding and 1 preceding), 0) as before from prim)
+select source_file, pair_key, primary_label, n_rows from t join s using (primary_label) where before < greatest(share, 1)"""
+)
+def sample_groups_stratified(spark, sf_dir):
+    g = groups.primary_label(fx.samples(spark, sf_dir).drop("label_is_int"))
+    return groups.sample_groups_stratified(g, TARGET, SEED).select("source_file", "pair_key", "primary_label", "n_rows")
+
+
+@_query(fx.with_sql("samples") + f", {_GROUPS}, t as (select *, sum(n_rows) over ({_ORDER} rows between unbounded preceding and current row) as upto, row_number() over ({_ORDER}) as r from g) select source_file, pair_key, n_rows from t where upto <= {CAP} or r = 1")
+def cap_groups(spark, sf_dir):
+    return groups.cap_groups(groups.pair_groups(fx.samples(spark, sf_dir)), CAP, SEED).select("source_file", "pair_key", "n_rows")
+
+
+_SPLIT = f"{_GROUPS}, split as (select source_file, pair_key, case when row_number() over (order by md5('{SEED + 999}|'||pair_key), source_file, pair_key) <= greatest(1, floor(count(*) over () * {RATIO})) then 'val' else 'train' end as split from g)"
+
+
+@_query(fx.with_sql("samples") + f", {_SPLIT} select * from split")
+def split_groups(spark, sf_dir):
+    return groups.split_groups(groups.pair_groups(fx.samples(spark, sf_dir)), RATIO, SEED + 999).select("source_file", "pair_key", "split")
+
+
+@_query(fx.with_sql("samples") + f", {_SPLIT} select split, mr_id, count(*) as n from samples join split using (source_file, pair_key) where source_file <> 'rte' group by all")
+def split_from_manifest(spark, sf_dir):
+    s = fx.samples(spark, sf_dir)
+    manifest = groups.split_groups(groups.pair_groups(s), RATIO, SEED + 999).where(F.col("source_file") != "rte")
+    return groups.split_from_manifest(s, manifest).groupBy("split", "mr_id").agg(F.count("*").alias("n"))
+
+
+@_query(fx.with_sql("samples") + f", {_GROUPS} select source_file, pair_key, 'data' as side from g where source_file = 'rte' union all select source_file, pair_key, 'manifest' from g where source_file = 'sick'")
+def verify_manifest(spark, sf_dir):
+    g = groups.pair_groups(fx.samples(spark, sf_dir))
+    return groups.verify_manifest(g.where(F.col("source_file") != "sick"), g.where(F.col("source_file") != "rte"))
+
+
+@_query(fx.with_sql("samples") + " select source_file, pair_key, count(*) as n_all, count(*) filter (prompt_tokens < 45) as n_selected, count(*) = count(*) filter (prompt_tokens < 45) as whole from samples group by all having count(*) filter (prompt_tokens < 45) > 0")
+def group_integrity(spark, sf_dir):
+    s = fx.samples(spark, sf_dir)
+    return groups.check_group_integrity(s, s.where(F.col("prompt_tokens") < 45))
+
+
+# --- source join and instructions
+
+_SOURCE = "src as (select source_file, pair_key, any_value(premise) as sp, any_value(hypothesis) as sh, any_value(label) as sl from samples where mr_id = 'none' group by all having count(*) = 1)"
+
+
+@_query(fx.with_sql("samples") + f", {_SOURCE} select row_key, sp as source_premise, sh as source_hypothesis, sl as source_label, sp is not null as has_source from samples left join src using (source_file, pair_key)")
+def attach_source(spark, sf_dir):
+    return instruct.attach_source(fx.samples(spark, sf_dir)).select("row_key", "source_premise", "source_hypothesis", "source_label", "has_source")
+
+
+@_query(fx.with_sql("samples") + " select source_file, pair_key, count(*) filter (mr_id = 'none') as n_sources, case when count(*) filter (mr_id = 'none') = 0 then 'no source' else 'several sources' end as problem from samples group by all having count(*) filter (mr_id = 'none') <> 1")
+def source_problems(spark, sf_dir):
+    return instruct.source_problems(fx.samples(spark, sf_dir))
+
+
+def _catalog(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(instruct.CATALOG, CATALOG)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_CATALOG_SQL = "cat as (select * from (values " + ", ".join(f"({', '.join(map(_quoted, r))})" for r in instruct.CATALOG) + ") v(mr_id, operation_text, effect_text))"
+_TASK = f"case when task = 'nli-binary' then {_quoted(instruct.TEMPLATES['task']['nli-binary'])} else {_quoted(instruct.TEMPLATES['task']['nli'])} end"
+_PAIR = "'Earlier premise: '||sp||chr(10)||'Earlier hypothesis: '||sh||chr(10)"
+_OPERATION, _EFFECT = "'Change made since: '||coalesce(operation_text, '')||chr(10)", "'What the change does: '||coalesce(effect_text, '')||chr(10)"
+_OUT = "case when task = 'nli-binary' then case {0} when 0 then 'entailment' when 1 then 'not_entailment' else {0}::string end else case {0} when 0 then 'entailment' when 1 then 'neutral' else 'contradiction' end end"
+_PARTS = {
+    "none": [], "operation_only": [_OPERATION], "pair_only": [_PAIR], "pair_operation": [_PAIR, _OPERATION], "shuffled_operation": [_PAIR, _OPERATION],
+    "relation_aware": [_PAIR, _OPERATION, _EFFECT], "full_oracle": [_PAIR, f"'Earlier reply: '||{_OUT.format('sl')}||chr(10)", _OPERATION, _EFFECT],
+}
+
+
+def _shown_sql() -> str:
+    return """pool as (select list_sort(list(distinct mr_id)) as pool from samples where mr_id <> 'none'),
+shown as (select row_key, case when mr_id = 'none' then 'none' else list_filter(pool, lambda x: x <> mr_id)[1 + ('0x'||substr(md5('7|'||row_key),1,8))::bigint % (len(pool) - 1)] end as shown_mr from samples, pool)"""
+
+
+def _instructions_sql(mode: str) -> str:
+    plain = "mr_id = 'none' or split = 'val'" + (" or sp is null" if mode not in ("none", "operation_only") else "")
+    text = f"case when {plain} then {_TASK} else {' || '.join([*_PARTS[mode], _TASK])} end" if _PARTS[mode] else _TASK
+    shuffled = mode == "shuffled_operation"
+    join = "join shown using (row_key) left join (select mr_id as shown_mr, operation_text, effect_text from cat) c using (shown_mr)" if shuffled else "left join cat using (mr_id)"
+    return fx.with_sql("samples") + f", {_SPLIT}, {_SOURCE}, {_CATALOG_SQL}" + (f", {_shown_sql()}" if shuffled else "") + f""" select row_key, {text} as instruction, 'Premise: '||premise||chr(10)||'Hypothesis: '||hypothesis as input, {_OUT.format("label")} as output
+from samples join split using (source_file, pair_key) left join src using (source_file, pair_key) {join}"""
+
+
+def _built(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    s = fx.samples(spark, sf_dir)
+    split = groups.split_groups(groups.pair_groups(s), RATIO, SEED + 999).select("source_file", "pair_key", "split")
+    rows = instruct.attach_source(s.join(split, groups.KEY))
+    if mode == "shuffled_operation":
+        rows = instruct.shuffle_operations(rows, 7, "row_key")
+        rows = instruct.attach_mr_texts(rows, _catalog(spark), "shown_mr")
+    else:
+        rows = instruct.attach_mr_texts(rows, _catalog(spark))
+    return instruct.build_instructions(rows, mode)
+
+
+def _add_modes() -> None:
+    short = {"operation_only": "operation", "pair_only": "pair", "shuffled_operation": "shuffled", "relation_aware": "relation", "full_oracle": "oracle"}
+    for mode in instruct.MODES:
+
+        def build(spark, sf_dir, mode=mode):
+            return _built(spark, sf_dir, mode).select("row_key", "instruction", "input", "output")
+
+        _all[f"instructions_{short.get(mode, mode)}"] = (build, _instructions_sql(mode))
+
+
+_add_modes()
+
+
+@_query(fx.with_sql("samples") + f", {_CATALOG_SQL}, n as (select case when mr_id = 'none' then 'none' when label = 2 then ' '||upper(replace(mr_id, '_', '-'))||'-x ' else mr_id end as raw from samples), m as (select lower(replace(trim(raw), '-', '_')) as mr_id from n) select mr_id, count(*) as n from m where mr_id not in (select mr_id from cat) and mr_id <> 'none' group by all")
+def mr_id_audit(spark, sf_dir):
+    s = fx.samples(spark, sf_dir)
+    raw = F.when(F.col("mr_id") == "none", F.lit(None)).when(F.col("label") == 2, F.concat(F.lit(" "), F.upper(F.translate("mr_id", "_", "-")), F.lit("-x "))).otherwise(F.col("mr_id"))
+    known = _catalog(spark).select("mr_id").union(spark.createDataFrame([("none",)], "mr_id string"))
+    return instruct.mr_id_audit(s.select(L.normalize_mr_id(raw).alias("mr_id")), known)
+
+
+@_query(f"with b as ({_instructions_sql('full_oracle')}), {fx.with_sql('samples')[5:]}, {_CATALOG_SQL} select count(*) as n_rows, count(*) filter (contains(instruction, mr_id)) as names_mr, count(*) filter (effect_text <> '' and contains(instruction, effect_text)) as shows_effect, count(*) filter (contains(instruction, premise) and contains(instruction, hypothesis)) as shows_own_pair from samples join b using (row_key) left join cat using (mr_id)")
+def leak_audit(spark, sf_dir):
+    return instruct.leak_audit(_built(spark, sf_dir, "full_oracle"))
+
+
+@_query(
+    fx.with_sql("samples")
+    + f""", {_SOURCE}, {_CATALOG_SQL} select mr_id, output, grouping(mr_id) * 2 + grouping(output) as g, count(*) as n, count(*) filter (mr_id <> 'none' and sp is null) as n_fallback, count(*) filter (mr_id <> 'none' and operation_text is null) as n_without_text
+from (select mr_id, {_OUT.format("label")} as output, sp, operation_text from samples left join src using (source_file, pair_key) left join cat using (mr_id)) group by cube(mr_id, output)"""
+)
+def conversion_report(spark, sf_dir):
+    return instruct.conversion_report(_built(spark, sf_dir, "pair_operation"))
+
+
+@_query(fx.with_sql("samples") + f" select {_OUT.format('label')} as label_name, count(*) as n from samples group by all")
+def label_dist(spark, sf_dir):
+    return audit.label_dist(fx.samples(spark, sf_dir), L.label_name(F.col("label").cast("string"), F.col("label_is_int"), F.col("task")))
+
+
+@_query(f"with b as ({_instructions_sql('relation_aware')}), r as (select length(instruction) as len, row_number() over (order by length(instruction)) as i, count(*) over () as c from b) select count(*) as n_rows, min(len) as min_len, max(len) filter (i = c // 2 + 1) as median_len, max(len) as max_len, count(*) filter (len > 250) as n_above from r")
+def length_stats(spark, sf_dir):
+    return audit.length_stats(_built(spark, sf_dir, "relation_aware"), F.length("instruction"), 250)
+
+
+@_query(None)
+def data_signature(spark, sf_dir):
+    return audit.data_signature(fx.samples(spark, sf_dir))
+
+
+# --- prompts and scoring
+
+_PROMPT = "'Premise: '||premise||chr(10)||'Hypothesis: '||hypothesis||chr(10)||'Question: Is the hypothesis entailed by the premise? Answer ONLY with one of: '||case when task = 'nli-binary' then 'entailment, not_entailment.' else 'entailment, neutral, contradiction.' end"
+_INDEX = "row_number() over (partition by dataset, mr_id order by row_key) as index"
+
+
+@_query(fx.with_sql("samples") + f" select dataset, mr_id, {_INDEX}, {_PROMPT} as prompt from samples")
+def prompts(spark, sf_dir):
+    return score.prompts(score.with_index(fx.samples(spark, sf_dir), ("dataset", "mr_id"), ("row_key",))).select("dataset", "mr_id", "index", "prompt")
+
+
+@_query(fx.with_sql("samples") + f", p as (select dataset, mr_id, {_INDEX}, substr(md5('d|'||row_key),1,1) as d from samples) select dataset, mr_id, index from p where d >= '8'")
+def pending_rows(spark, sf_dir):
+    rows = score.with_index(fx.samples(spark, sf_dir), ("dataset", "mr_id"), ("row_key",))
+    done = rows.where(F.substring(F.md5(F.concat(F.lit("d|"), "row_key")), 1, 1) < "8")
+    return score.pending(rows, done, ("dataset", "mr_id", "index")).select("dataset", "mr_id", "index")
+
+
+@_query(None)
+def score_stub(spark, sf_dir):
+    """Scoring with a stand-in model: the label named last in the prompt."""
+    rows = score.prompts(fx.samples(spark, sf_dir)).select("row_key", "dataset", "prompt")
+    return score.score(rows, lambda batch: [p.rstrip(".").split(", ")[-1] for p in batch]).select("row_key", "dataset", "pred")
+
+
+@_query(fx.with_sql("predictions") + " select dataset, count(*) as total, count(*) filter (status = 200) as succeeded, count(*) filter (status <> 200) as failed from predictions group by all")
+def run_totals(spark, sf_dir):
+    return seeds.run_totals(fx.predictions(spark, sf_dir))
+
+
+# --- seeds
+
+_CELLS = "cells as (select experiment, seed, test_type, dataset, count(*) filter (not malformed) as total, count(*) filter (not malformed and correct) as n_correct, count(*) filter (malformed) as n_malformed, coalesce(count(*) filter (not malformed and correct) / nullif(count(*) filter (not malformed), 0), 0) * 100 as accuracy from results group by all)"
+_GRID = "grid as (select * from (values " + ", ".join(f"('{e}')" for e in fx.EXPERIMENTS) + ") e(experiment) cross join (values " + ", ".join(f"({s})" for s in fx.SEEDS) + ") s(seed) cross join (select distinct test_type, dataset from results))"
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeds.seed_accuracy(fx.results(spark, sf_dir))
+
+
+def _grid(spark: SparkSession, cells: DataFrame) -> DataFrame:
+    return seeds.expected_grid(spark.createDataFrame([(e,) for e in fx.EXPERIMENTS], "experiment string"), list(fx.SEEDS), cells.select("test_type", "dataset").distinct())
+
+
+@_query(fx.with_sql("results") + f", {_CELLS} select * from cells")
+def seed_accuracy(spark, sf_dir):
+    return _cells(spark, sf_dir)
+
+
+@_query(fx.with_sql("results") + f", {_CELLS}, {_GRID} select experiment, seed, test_type, dataset from grid anti join cells using (experiment, seed, test_type, dataset)")
+def expected_grid(spark, sf_dir):
+    cells = _cells(spark, sf_dir)
+    return seeds.missing_cells(_grid(spark, cells), cells).select("experiment", "seed", "test_type", "dataset")
+
+
+@_query(fx.with_sql("results") + f", {_CELLS}, {_GRID} select experiment, count(*) as n_expected, count(n_malformed) as n_present, count(*) filter (n_malformed > 0) as n_with_malformed from grid left join cells using (experiment, seed, test_type, dataset) group by all")
+def completeness(spark, sf_dir):
+    cells = _cells(spark, sf_dir)
+    return seeds.completeness(_grid(spark, cells), cells)
+
+
+_SUMMARY = "summary as (select experiment, test_type, dataset, count(*) as n_seeds, round(avg(accuracy), 6) as mean, case when count(*) = 3 then round(stddev_samp(accuracy), 6) end as deviation from cells group by all)"
+
+
+@_query(fx.with_sql("results") + f", {_CELLS}, {_SUMMARY} select * from summary")
+def seed_summary(spark, sf_dir):
+    return seeds.seed_summary(_cells(spark, sf_dir), len(fx.SEEDS))
+
+
+@_query(fx.with_sql("results") + f", {_CELLS} select experiment, test_type, dataset, count(*) as n_seeds, round(avg(accuracy), 6) as mean, case when count(*) > 1 then round(stddev_samp(accuracy), 6) end as deviation from cells group by all")
+def seed_summary_lenient(spark, sf_dir):
+    return seeds.seed_summary(_cells(spark, sf_dir), len(fx.SEEDS), require_all=False)
+
+
+@_query(fx.with_sql("results") + f", {_CELLS}, {_SUMMARY} select test_type, dataset, " + ", ".join(f"max(mean) filter (experiment = '{e}') as {e}" for e in fx.EXPERIMENTS) + " from summary group by all")
+def seed_matrix(spark, sf_dir):
+    return seeds.result_matrix(seeds.seed_summary(_cells(spark, sf_dir), len(fx.SEEDS)), list(fx.EXPERIMENTS))
+
+
+@_query(fx.with_sql("results") + f", {_CELLS} select experiment, test_type, dataset, grouping(experiment) * 4 + grouping(test_type) * 2 + grouping(dataset) as g, sum(total)::bigint as total, sum(n_correct)::bigint as n_correct, sum(n_correct)::bigint / sum(total)::bigint * 100 as accuracy from cells group by rollup(experiment, test_type, dataset) having grouping(experiment) = 0")
+def experiment_summary(spark, sf_dir):
+    return seeds.experiment_summary(_cells(spark, sf_dir))
+
+
+@_query(
+    fx.with_sql("results")
+    + f""", {_CELLS}, k as (select regexp_replace(experiment, '_(one|two)$', '') as base, experiment like '%_one' as one, seed, test_type, dataset, accuracy from cells),
+j as (select a.base, a.test_type, a.dataset, count(*) as n, avg(a.accuracy) as x, avg(b.accuracy) as y from k a join k b using (base, seed, test_type, dataset) where a.one and not b.one group by all)
+select base, test_type, dataset, round(x, 6) as mean_a, round(y, 6) as mean_b, round(x - y, 6) as delta from j where n = 3"""
+)
+def compare_models(spark, sf_dir):
+    return seeds.compare_models(_cells(spark, sf_dir), "_one", "_two", len(fx.SEEDS))
