@@ -60,27 +60,24 @@ def _flat(ids: pa.ChunkedArray | pa.Array, sizes: np.ndarray) -> np.ndarray:
     return np.frombuffer(data, dtype="<u2" if len(data) == 2 * sizes.sum() else "<u4")
 
 
-def document_frequencies(tokens: DataFrame) -> np.ndarray:
+def document_frequencies(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     """In how many documents each token id stands; its length is bounded by the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, dtype=np.int64)
+        total = np.zeros(vocabulary, dtype=np.int64)
+        seen = np.zeros((64, vocabulary), dtype=bool)
         for whole in batches:
-            for batch in split_batch(whole, "ids", 1 << 20):
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
                 sizes = np.asarray(batch.column(0))
-                flat = _flat(batch.column(1), sizes)
-                once = np.unique(np.repeat(np.arange(len(sizes), dtype=np.int64) << 32, sizes) | flat)
-                part = np.bincount(once & 0xFFFFFFFF)
-                if len(part) > len(total):
-                    part[: len(total)] += total
-                    total = part
-                else:
-                    total[: len(part)] += part
+                seen[np.repeat(np.arange(len(sizes)), sizes), _flat(batch.column(1), sizes)] = True
+                total += seen.sum(axis=0)
+                seen[:] = False
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"token": at, "docs": total[at]})
 
     rows = tokens.select("n", "ids").mapInArrow(run, "token long, docs long").groupBy("token").agg(F.sum("docs").alias("docs")).collect()
-    out = np.zeros(1 + max((r.token for r in rows), default=0), dtype=np.int64)
+    out = np.zeros(vocabulary, dtype=np.int64)
     for r in rows:
         out[r.token] = r.docs
     return out
@@ -91,16 +88,17 @@ class Index:
 
     def __init__(self, flat: np.ndarray, sizes: np.ndarray, docs: np.ndarray, n_docs: int, mean: float):
         n = len(sizes)
-        pairs, tf = np.unique((flat.astype(np.int64) << 32) | np.repeat(np.arange(n), sizes), return_counts=True)
-        term, doc = pairs >> 32, pairs & 0xFFFFFFFF
+        kind = np.uint32 if len(docs) * n < 1 << 32 else np.uint64  # shorter keys sort faster
+        pairs, tf = np.unique(flat.astype(kind) * kind(n) + np.repeat(np.arange(n, dtype=kind), sizes), return_counts=True)
+        term, doc = (pairs // kind(n)).astype(np.int64), (pairs % kind(n)).astype(np.int64)
         rare = docs[term] * 2 <= n_docs
         term, doc, tf = term[rare], doc[rare], tf[rare]
         idf = np.log1p((n_docs - docs[term] + 0.5) / (docs[term] + 0.5))
-        self.weight = (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))).astype(np.float32)
-        self.doc, self.n = doc.astype(np.int32), n
+        self.weight = (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean)))
+        self.doc, self.n = doc, n
         terms, self.start = np.unique(term, return_index=True)
         self.length = np.diff(np.r_[self.start, len(term)])
-        order = np.argsort(doc, kind="stable")
+        order = np.argsort(doc.astype(np.uint16) if n < 1 << 16 else doc, kind="stable")
         self.terms_of = np.searchsorted(terms, term)[order]  # term numbers, document by document
         self.bounds = np.searchsorted(doc[order], np.arange(n + 1))
 
@@ -183,7 +181,7 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 2048
     tokens = materialize(token_table(df, tokenizer_path, end_id, id_col, text_col), "tokens")
     facts = tokens.agg(F.count("*").alias("docs"), F.sum("n").alias("n")).first()
     n_docs, n_tokens = facts.docs, facts.n or 0
-    shared = df.sparkSession.sparkContext.broadcast((document_frequencies(tokens), n_docs, n_tokens / max(n_docs, 1)))
+    shared = df.sparkSession.sparkContext.broadcast((document_frequencies(tokens, max(encoder(tokenizer_path).tok.get_vocab_size(), end_id + 1)), n_docs, n_tokens / max(n_docs, 1)))
     shards = max(1, -(-n_tokens // SHARD_TOKENS))
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids

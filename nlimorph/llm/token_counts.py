@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from nlimorph.llm._shared import split_batch
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 700_000
 LONGEST_CACHED = 64
 _tokenizers: dict[str, object] = {}
 
@@ -51,6 +52,21 @@ def runs_of(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
+class _Cache(dict):
+    """A dictionary that fills itself; it starts anew when it has ``CACHE_ENTRIES``."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= LONGEST_CACHED:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class RunEncoder:
     """Token ids of a run, as little-endian 32-bit integers, remembered in a cache of bounded size.
 
@@ -65,7 +81,7 @@ class RunEncoder:
     LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa00-9a-zªµºß-öø-ÿ²³¹¼-¾]+")
 
     def __init__(self, path: str):
-        self.tok, self.runs, self.words = load_tokenizer(path), {}, {}
+        self.tok, self.runs, self.words = load_tokenizer(path), _Cache(self.encode), _Cache(self._word)
         spec = json.loads(self.tok.to_str())
         steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         self.latin = (spec["normalizer"] or {}).get("normalizers") == self.NORMALIZER and steps[0].get("pattern", {}).get("Regex") == self.SPLIT and len(steps) == 2 and not steps[1]["use_regex"]
@@ -74,42 +90,28 @@ class RunEncoder:
         self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
 
     def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            letters = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.letters)
-            ids = np.array([t.id for t in self.tok.model.tokenize(letters)], dtype="<u4").tobytes()
-            if len(self.words) > CACHE_ENTRIES:
-                self.words.clear()
-            if len(word) <= LONGEST_CACHED:
-                self.words[word] = ids
-        return ids
+        letters = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tok.model.tokenize(letters)]).tobytes()
 
     def encode(self, run: str) -> bytes:
-        """Ids of one run that the cache may not hold."""
+        """Ids of one run that the cache does not hold."""
         if self.latin and "<|" not in run and (run.isascii() or max(run) < "\u0100"):
-            ids = b"".join(map(self._word, self.LATIN_WORDS.findall(run.lower())))
-        else:
-            ids = np.array(self.tok.encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self.runs) > CACHE_ENTRIES:
-            self.runs.clear()
-        if len(run) <= LONGEST_CACHED:
-            self.runs[run] = ids
-        return ids
+            low = run.lower()
+            if low.isalpha() and low.isascii():
+                return self.words[low]
+            return b"".join(map(self.words.__getitem__, self.LATIN_WORDS.findall(low)))
+        return array("I", self.tok.encode(run, add_special_tokens=False).ids).tobytes()
 
     def text(self, text: str) -> bytes:
         """Ids of a whole text."""
-        known, encode = self.runs.get, self.encode
-        return b"".join([ids if (ids := known(r)) is not None else encode(r) for r in runs_of(text)])
+        return b"".join(map(self.runs.__getitem__, runs_of(text)))
 
     def count(self, text: str, frequent: dict[str, int]) -> int:
         """Number of ids of a whole text: the broadcast table first, then this worker's cache."""
-        n, known, encode = 0, self.runs.get, self.encode
+        n, table, known = 0, frequent.get, self.runs
         for r in runs_of(text):
-            v = frequent.get(r)
-            if v is None:
-                ids = known(r)
-                v = len(ids if ids is not None else encode(r)) >> 2
-            n += v
+            v = table(r)
+            n += v if v is not None else len(known[r]) >> 2
         return n
 
 
