@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": licenses.scan_sql()}
+    return {"op5_substring_dedup": substrings.remove_repeats_sql(), "op6_license_scan": licenses.scan_sql()}

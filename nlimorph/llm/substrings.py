@@ -262,3 +262,17 @@ def remove_repeats(df: DataFrame, text_col: str = "text", window: int = 35, dige
     spark_schema = T.StructType().add("doc", df.schema).add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept", T.StringType()).add("spans", T.ArrayType(T.StructType().add("start", T.IntegerType()).add("stop", T.IntegerType())))
     full = chunks.select("chunk", "body").join(blocks.join(windows, "chunk", "left"), "chunk", "left")
     return full.mapInArrow(_remove(text_col, window, buckets, to_arrow_schema(spark_schema), digests), spark_schema)
+
+
+def remove_repeats_sql(window: int = 35) -> str:
+    """Digests of the kept texts of ``documents``, as DuckDB SQL: every window spelled out and counted."""
+    return f"""
+with d as (select row_number() over () as r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+win as (select r, i, array_to_string(w[i:i + {window - 1}], ' ') as s from d, unnest(generate_series(1, len(w) - {window - 1})) t(i)),
+hit as (select r, i from win semi join (select s from win group by s having count(*) > 1) using (s)),
+gone as (select distinct r, j from hit, unnest(generate_series(i, i + {window - 1})) t(j)),
+word as (select r, unnest(w) as word, unnest(generate_series(1, len(w))) as j from d),
+kept as (select r, string_agg(word, ' ' order by j) as text from word anti join gone using (r, j) group by r),
+n as (select r, count(*) as n from gone group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n.n, 0)::bigint as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from d left join n using (r) left join kept using (r)"""
