@@ -16,6 +16,7 @@ give repeated results; an empty table gives an empty result; other columns are n
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -80,6 +81,12 @@ class CoveringCode:
         return row, blocks[row] ^ self.patterns[s[row], nth], nth == 0
 
 
+@functools.cache
+def covering_code(kind: str, within: int) -> CoveringCode:
+    """The code with its patterns, made once a process."""
+    return CoveringCode(kind, within)
+
+
 def _bits_over_half(hashes: np.ndarray) -> int:
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
@@ -151,7 +158,7 @@ def links(prints: DataFrame, code: str, blocks: list[tuple[str, int]], within: i
     """
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = CoveringCode(code, within)
+        made = covering_code(code, within)
         mask = np.uint64((1 << made.n) - 1)
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
