@@ -6,8 +6,9 @@ the home of either within R + t, so each distinct fingerprint is replicated to a
 its blocks and compared there. A fingerprint has several blocks; if two fingerprints differ in at most
 T bits, some block pair differs in at most T // blocks.
 
-Anchors met by very many fingerprints are cut into sub-blocks of at most ``GROUP`` that meet pairwise, so
-no group grows with the data. Inside a group only a spanning forest of the links leaves the task.
+Rows sorted by anchor are compared as they stream by. Anchors met by more than ``GROUP`` fingerprints are cut into
+sub-blocks that meet pairwise, so no group grows with the data. Of the links only enough edges leave a task to keep
+the components: a few for each fingerprint and block, however many copies there are.
 
 Defined results: null or wordless text has fingerprint 0 and is linked like any other; exact copies share
 a fingerprint; a null id gets a component like any row (null only if all ids of it are null); repeated rows
@@ -36,10 +37,10 @@ SEED = 42
 
 
 class CoveringCode:
-    """A cyclic perfect code: Hamming (31, 26) of radius 1 or Golay (23, 12) of radius 3."""
+    """A cyclic perfect code: Hamming (31, 26), of radius 1."""
 
     #: Length, generator polynomial, covering radius.
-    KINDS = {"hamming31": (31, 0b100101, 1), "golay23": (23, 0b101011100011, 3)}
+    KINDS = {"hamming31": (31, 0b100101, 1)}
 
     def __init__(self, kind: str, within: int):
         self.n, self.generator, self.radius = self.KINDS[kind]
@@ -120,67 +121,114 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, lo long")
 
 
-def _forest(lo: np.ndarray, hi: np.ndarray, node: np.ndarray, home: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Edges that connect what is linked (at most ``most`` differing bits) to some home of the group."""
-    label = np.arange(len(lo))
-    linked = False
-    for at in np.flatnonzero(home):
-        near = np.bitwise_count(lo ^ lo[at]).astype(np.int64) + np.bitwise_count(hi ^ hi[at]) <= most
-        if near.sum() > 1:
-            groups = np.unique(label[near])
-            if len(groups) > 1:
-                linked = True
-                label[np.isin(label, groups[1:])] = groups[0]
-    if not linked:
-        return []
-    return [(int(node[k]), int(node[root])) for k, root in enumerate(label) if k != root]
+def _nearest_smaller(node: np.ndarray, lo: np.ndarray, block: np.ndarray, home: np.ndarray, within: int, most: int) -> tuple[list[int], list[int]]:
+    """Edges of one group: each home to linked members of smaller number, one of each bunch that is linked among itself.
 
-
-def _links_of_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    A member left out is linked, and as close in this block, to one that is kept; those two meet at the home of
+    the larger of them. By induction over node numbers the components are those of all links.
+    """
+    u, v = [], []
+    for at in np.flatnonzero(home).tolist():
+        near = np.flatnonzero((node < node[at]) & (np.bitwise_count(block ^ block[at]) <= within) & (np.bitwise_count(lo ^ lo[at]) <= most))
+        near = near[np.argsort(node[near])]
+        while len(near):
+            u.append(int(node[at]))
+            v.append(int(node[near[0]]))
+            near = near[(np.bitwise_count(lo[near] ^ lo[near[0]]) > most) | (np.bitwise_count(block[near] ^ block[near[0]]) > within)]
+    return u, v
+
+
+MET = "u long, v long, anchor long, node long, lo long, place long"
+
+
+def _met(u: list[int], v: list[int], hot: list[np.ndarray]) -> pa.RecordBatch:
+    """Edges, then rows of anchors too large for one group."""
+    rows = np.concatenate(hot, axis=1) if hot else np.empty((4, 0), dtype=np.int64)
+    n, m = len(u), rows.shape[1]
+    columns = [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(m, pa.int64())]) for x in (u, v)]
+    columns += [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x)]) for x in rows]
+    return pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in MET.split(", ")])
+
+
+def _edges_of(rows: np.ndarray, within: int, most: int) -> tuple[list[int], list[int]]:
+    _, node, lo, place = rows
+    return _nearest_smaller(node, lo.view(np.uint64), place >> 1, (place & 1).astype(bool), within, most)
+
+
+def _compare(batches: Iterator[pa.RecordBatch], within: int, most: int, group: int) -> Iterator[pa.RecordBatch]:
+    """Groups of rows sorted by anchor, as they stream by; a group over ``group`` passes on its rows."""
+    held, hot = np.empty((4, 0), dtype=np.int64), None
+    for batch in _with_end(batches):
+        u, v, large = [], [], []
+        if batch is not None:
+            held = np.concatenate([held, np.stack([np.asarray(c) for c in batch.columns])], axis=1)
+        edge = np.flatnonzero(np.r_[True, held[0, 1:] != held[0, :-1]]) if held.shape[1] else np.empty(0, np.int64)
+        stops = np.r_[edge[1:], held.shape[1]] if len(edge) else edge
+        last = len(edge) - (batch is not None)
+        for a, b in zip(edge[:last][(stops - edge)[:last] > 1].tolist(), stops[:last][(stops - edge)[:last] > 1].tolist(), strict=True):
+            if held[0, a] == hot or b - a > group:
+                large.append(held[:, a:b])
+            else:
+                x, y = _edges_of(held[:, a:b], within, most)
+                u += x
+                v += y
+        if last and held[0, edge[0]] == hot and stops[0] - edge[0] == 1:
+            large.append(held[:, :1])
+        held = held[:, edge[last] :].copy() if last < len(edge) else held[:, :0]
+        if held.shape[1] > group or held.shape[1] and held[0, 0] == hot:
+            hot = held[0, 0]
+            large.append(held)
+            held = held[:, :0]
+        yield _met(u, v, large)
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _compare_parts(batches: Iterator[pa.RecordBatch], within: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Edges of groups that come as arrays of members."""
     for batch in batches:
+        u, v = [], []
         members = batch.column(0)
-        offsets, flat = members.offsets.to_numpy(), members.flatten()
-        base = offsets[0]
-        lo, hi = (np.asarray(flat.field(k)).view(np.uint64) for k in ("lo", "hi"))
-        node, home = np.asarray(flat.field("node")), np.asarray(flat.field("home"))
-        edges: set[tuple[int, int]] = set()
-        for a, b in zip((offsets[:-1] - base).tolist(), (offsets[1:] - base).tolist(), strict=True):
-            edges.update(_forest(lo[a:b], hi[a:b], node[a:b], home[a:b], most))
-        u, v = zip(*edges, strict=True) if edges else ((), ())
+        offsets, flat = members.offsets.to_numpy() - members.offsets[0].as_py(), members.flatten()
+        rows = np.stack([np.asarray(flat.field(k)) for k in ("node", "node", "lo", "place")])
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            x, y = _edges_of(rows[:, a:b], within, most)
+            u += x
+            v += y
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def links(prints: DataFrame, code: str, blocks: list[tuple[str, int]], within: int, most: int) -> DataFrame:
-    """Edges (u, v) whose components are those of all pairs with at most ``most`` differing bits that share an anchor.
+def links(prints: DataFrame, words: list[str], most: int, within: int = 1) -> DataFrame:
+    """Edges (u, v) whose components are those of all pairs with at most ``most`` differing bits in ``lo`` that meet.
 
-    ``prints`` has the distinct long columns node, lo and hi. ``blocks`` lists (column, shift) of the coded blocks and
-    ``within`` the bits in which two blocks may differ; pairs with one block that close are found for certain.
+    ``prints`` has the distinct long column node, the long column lo and the columns ``words``, each of which gives two
+    blocks of 31 bits. Two rows meet if one block of theirs differs in at most ``within`` bits.
     """
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = covering_code(code, within)
-        mask = np.uint64((1 << made.n) - 1)
+        code = covering_code("hamming31", within)
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                node, lo, hi = (np.asarray(batch.column(k)) for k in range(3))
-                for number, (column, shift) in enumerate(blocks):
-                    bits = ({"lo": lo, "hi": hi}[column].view(np.uint64) >> np.uint64(shift)) & mask
-                    row, anchor, home = made.anchors(bits)
-                    key = (anchor | np.uint64(number << 40)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[row]), pa.array(lo[row]), pa.array(hi[row]), pa.array(home)], ["anchor", "node", "lo", "hi", "home"])
-
-    rows = prints.select("node", "lo", "hi").mapInArrow(replicate, "anchor long, node long, lo long, hi long, home boolean")
-    rows = materialize(rows, "anchors")
-    size = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.max("home").alias("any_home")).where((F.col("n") > 1) & F.col("any_home"))
-    met = rows.join(size.select("anchor", F.ceil(F.col("n") / GROUP).cast("int").alias("parts")), "anchor")
-    member = F.struct("node", "lo", "hi", "home").alias("r")
-    small = met.where(F.col("parts") == 1).groupBy("anchor").agg(F.collect_list(member).alias("members"))
-    own = F.pmod(F.xxhash64("lo", "hi"), F.col("parts")).cast("int")
-    other = met.where(F.col("parts") > 1).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    large = other.groupBy("anchor", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.collect_list(member).alias("members"))
-    groups = small.select("members").union(large.select("members"))
-    return groups.mapInArrow(lambda batches: _links_of_groups(batches, most), "u long, v long").distinct()
+                node, lo, *columns = (np.asarray(c) for c in whole.slice(at, 4096).columns)
+                for number, (bits, shift) in enumerate((c, s) for c in columns for s in (0, 32)):
+                    block = (bits.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << code.n) - 1)
+                    row, anchor, home = code.anchors(block)
+                    place = (block[row] << np.uint64(1) | home).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array((anchor | np.uint64(number << 40)).view(np.int64)), pa.array(node[row]), pa.array(lo[row]), pa.array(place)], ["anchor", "node", "lo", "place"])
+
+    rows = prints.select("node", "lo", *[F.col(w).alias(f"w{k}") for k, w in enumerate(words)]).mapInArrow(replicate, "anchor long, node long, lo long, place long")
+    sorted_rows, group = rows.repartition("anchor").sortWithinPartitions("anchor"), GROUP
+    met = materialize(sorted_rows.mapInArrow(lambda batches: _compare(batches, within, most, group), MET), "met")
+    large = met.where(F.col("anchor").isNotNull())
+    parts = large.groupBy("anchor").agg(F.ceil(F.count("*") / group).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = large.join(parts, "anchor").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    groups = dealt.groupBy("anchor", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.collect_list(F.struct("node", "lo", "place")).alias("members"))
+    more = groups.select("members").mapInArrow(lambda batches: _compare_parts(batches, within, most), "u long, v long")
+    return met.where(F.col("u").isNotNull()).select("u", "v").union(more).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
@@ -189,7 +237,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise ValueError("two blocks of radius one cover at most 3 differing bits")
     prints = materialize(fingerprints(df, id_col, text_col, shingle), "prints")
     classes = prints.groupBy("lo").agg(F.min(id_col).alias("least"))
-    edges = links(classes.select(F.col("lo").alias("node"), "lo", F.lit(0).cast("long").alias("hi")), "hamming31", [("lo", 0), ("lo", 32)], within=1, most=most)
+    edges = links(classes.select(F.col("lo").alias("node"), "lo"), ["lo"], most)
     stars = components(edges, "simhash")
     labelled = classes.join(stars.select(F.col("u").alias("lo"), F.col("v").alias("root")), "lo", "left").withColumn("root", F.coalesce("root", "lo"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -198,33 +246,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(by_print, "lo").select(id_col, named, "component_id")
 
 
-#: The general form: a 128-bit SimHash of word pairs with five Golay blocks, met within two bits of a block.
-PAIR_BLOCKS = [("lo", 0), ("lo", 23), ("hi", 0), ("hi", 23), ("hi", 41)]
-PAIR_BITS = 32
+#: The general form: a 256-bit SimHash of the distinct words, with eight blocks and a looser bound on its first 64 bits.
+WORDS = ["lo", "s1", "s2", "s3"]
+LOOSE_BITS = 16
 VERIFY_GROUP = 512
 
 
 def _sketches(df: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """Every row as struct ``doc`` with a row number, the 128-bit SimHash of its word pairs and a digest of its shingle set."""
+    """Every row as struct ``doc`` with a row number, the 256-bit SimHash of its distinct words and a digest of its shingle set."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = T.StructType().add("doc", df.schema).add("row", T.LongType()).add("lo", T.LongType()).add("hi", T.LongType()).add("content", T.StringType())
+    schema = T.StructType().add("doc", df.schema).add("row", T.LongType()).add("lo", T.LongType()).add("s1", T.LongType()).add("s2", T.LongType()).add("s3", T.LongType()).add("content", T.StringType())
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for whole in batches:
             for batch in split_batch(whole, text_col, 2 << 20):
-                lo, hi, content = [], [], []
+                sketches, content = [], []
                 for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
-                    pairs = np.unique(shingle_hashes(text or "", 2))
-                    lo.append(_bits_over_half(pairs) if len(pairs) else 0)
-                    hi.append(_bits_over_half(mix64(pairs)) if len(pairs) else 0)
+                    hashes, sketch = np.unique(shingle_hashes(text or "", 1)), []
+                    for _ in WORDS:
+                        sketch.append(_bits_over_half(hashes) if len(hashes) else 0)
+                        hashes = mix64(hashes)
+                    sketches.append(sketch)
                     content.append(xxhash.xxh3_128_hexdigest(np.unique(shingle_hashes(text or "", shingle)).tobytes()))
                 rows = pa.array(np.arange(row, row + batch.num_rows))
                 row += batch.num_rows
                 doc = pa.StructArray.from_arrays(batch.columns, fields=list(arrow.field("doc").type))
-                columns = [doc, rows, *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (lo, hi)), pa.array(content, pa.string())]
+                columns = [doc, rows, *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in zip(*sketches, strict=True)), pa.array(content, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.mapInArrow(run, schema)
@@ -238,10 +288,10 @@ def _verified(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float
             rows = sorted(members.as_py(), key=lambda m: m["node"])
             sets = [np.unique(shingle_hashes(m["text"] or "", shingle)) for m in rows]
             size = np.array([len(s) for s in sets])
-            lo, hi = (np.array([m[k] for m in rows], dtype=np.int64).view(np.uint64) for k in ("lo", "hi"))
+            lo = np.array([m["lo"] for m in rows], dtype=np.int64).view(np.uint64)
             label = np.arange(len(rows))
             for i in range(len(rows) - 1):
-                near = np.bitwise_count(lo[i + 1 :] ^ lo[i]).astype(np.int64) + np.bitwise_count(hi[i + 1 :] ^ hi[i]) <= PAIR_BITS
+                near = np.bitwise_count(lo[i + 1 :] ^ lo[i]) <= LOOSE_BITS
                 near &= np.minimum(size[i + 1 :], size[i]) >= similarity * np.maximum(size[i + 1 :], size[i])
                 for j in (np.flatnonzero(near) + i + 1).tolist():
                     if label[j] != label[i]:
@@ -262,11 +312,11 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """
     rows = materialize(_sketches(df, text_col, shingle), "sketches")
     rank = F.struct(F.col("doc")[id_col].isNull().alias("null_id"), F.col("doc")[id_col].alias("id"), F.col("row").alias("row"))
-    classes = materialize(rows.groupBy("content").agg(F.min(rank).alias("first"), F.first("lo").alias("lo"), F.first("hi").alias("hi")).select("content", F.col("first.row").alias("node"), "first", "lo", "hi"), "classes")
-    near = components(links(classes.select("node", "lo", "hi"), "golay23", PAIR_BLOCKS, within=2, most=PAIR_BITS), "near")
+    classes = materialize(rows.groupBy("content").agg(F.min(rank).alias("first"), *[F.first(w).alias(w) for w in WORDS]).select("content", F.col("first.row").alias("node"), "first", *WORDS), "classes")
+    near = components(links(classes.select("node", *WORDS), WORDS, LOOSE_BITS), "near")
     member = near.select(F.col("u").alias("node"), F.col("v").alias("group")).union(near.select(F.col("v").alias("node"), F.col("v").alias("group")).distinct())
     sizes = member.groupBy("group").agg(F.ceil(F.count("*") / VERIFY_GROUP).cast("int").alias("parts"))
-    texts = rows.join(member.join(sizes, "group"), F.col("row") == F.col("node")).select("group", "parts", F.struct("node", "lo", "hi", F.col("doc")[text_col].alias("text")).alias("r"))
+    texts = rows.alias("rows").join(member.join(sizes, "group"), F.col("row") == F.col("node")).select("group", "parts", F.struct("node", F.col("rows.lo").alias("lo"), F.col("doc")[text_col].alias("text")).alias("r"))
     own = F.pmod(F.xxhash64("r.node"), F.col("parts")).cast("int")
     met = texts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     groups = met.groupBy("group", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.collect_list("r").alias("members")).select("members")

@@ -132,17 +132,16 @@ def test_links_in_small_and_cut_groups(spark, monkeypatch, group):
     for c in centre:
         for n in range(25):
             prints.add(c ^ sum(1 << int(b) for b in set(draw.integers(0, 63, 1 + n % 5))))
-    rows = [(int(np.uint64(p).astype(np.int64)), int(np.uint64(p).astype(np.int64)), 0) for p in prints]
-    df = materialize(spark.createDataFrame(rows, "node long, lo long, hi long"), "prints")
-    edges = simhash.links(df, "hamming31", [("lo", 0), ("lo", 32)], within=1, most=3)
-    nodes = [n for n, _, _ in rows]
+    nodes = [int(np.uint64(p).astype(np.int64)) for p in prints]
+    df = materialize(spark.createDataFrame([(n, n) for n in nodes], "node long, lo long"), "prints")
+    edges = simhash.links(df, ["lo"], most=3)
     want = least_of([(a, b) for a in nodes for b in nodes if bin((a ^ b) & (1 << 64) - 1).count("1") <= 3], nodes)
     got = {n: n for n in nodes} | {r.u: r.v for r in components(edges, "t").collect()}
     assert got == want
 
 
 def test_covering_codes():
-    for kind, within, most in (("hamming31", 1, 16), ("golay23", 2, 22)):
+    for kind, within, most in (("hamming31", 1, 16), ("hamming31", 0, 1)):
         code = simhash.CoveringCode(kind, within)
         assert code.counts.max() == most
         blocks = draw.integers(0, 1 << code.n, 200).astype(np.uint64)
@@ -150,7 +149,7 @@ def test_covering_codes():
         far = np.bitwise_count(blocks[row] ^ anchor)
         assert (far <= code.radius + within).all() and (far[home] <= code.radius).all() and home.sum() == 200
         assert all(code._syndrome(int(a)) == 0 for a in anchor[:50])
-        near = blocks ^ np.uint64(1) if within == 1 else blocks ^ np.uint64(5)
+        near = blocks ^ np.uint64(within)
         r2, a2, _ = code.anchors(near)
         met = set(zip(r2.tolist(), a2.tolist(), strict=True))
         assert all((r, a) in met for r, a in zip(row[home].tolist(), anchor[home].tolist(), strict=True))
