@@ -219,7 +219,16 @@ def links(prints: DataFrame, words: list[str], most: int, within: int = 1) -> Da
                     place = (block[row] << np.uint64(1) | home).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array((anchor | np.uint64(number << 40)).view(np.int64)), pa.array(node[row]), pa.array(lo[row]), pa.array(place)], ["anchor", "node", "lo", "place"])
 
-    rows = prints.select("node", "lo", *[F.col(w).alias(f"w{k}") for k, w in enumerate(words)]).mapInArrow(replicate, "anchor long, node long, lo long, place long")
+    return _edges(prints.select("node", "lo", *[F.col(w).alias(f"w{k}") for k, w in enumerate(words)]).mapInArrow(replicate, "anchor long, node long, lo long, place long"), within, most)
+
+
+def band_links(prints: DataFrame) -> DataFrame:
+    """Edges as of ``links``, of rows (node, sketch, bands) that share a band and differ in at most ``SKETCH_BITS`` bits of the sketch."""
+    return _edges(prints.select(F.explode("bands").alias("anchor"), "node", F.col("sketch").alias("lo"), F.lit(1).cast("long").alias("place")), 0, SKETCH_BITS)
+
+
+def _edges(rows: DataFrame, within: int, most: int) -> DataFrame:
+    """Rows (anchor, node, lo, place) compared anchor by anchor; no group grows with the data."""
     sorted_rows, group = rows.repartition("anchor").sortWithinPartitions("anchor"), GROUP
     met = materialize(sorted_rows.mapInArrow(lambda batches: _compare(batches, within, most, group), MET), "met")
     large = met.where(F.col("anchor").isNotNull())
@@ -250,31 +259,57 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 WORDS = ["lo", "s1", "s2", "s3"]
 LOOSE_BITS = 16
 VERIFY_GROUP = 512
+#: MinHash of the shingle sets, for edits that change whole passages: pairs at similarity 0.8 share a band but for one in 20,000.
+BAND, BANDS = 5, 25
+FACTORS = mix64(np.arange(1, BAND * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
+SKETCH_BITS = 18
+
+
+def min_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The least value of a shingle set under each of ``BAND * BANDS`` orders (the largest number for an empty set)."""
+    out = np.full(len(FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(out, (hashes[at : at + 1024, None] * FACTORS).min(axis=0), out=out)
+    return out
+
+
+def bands_of(least: np.ndarray) -> tuple[int, np.ndarray]:
+    """One bit of each of the first 64 least values, and a key for every band of them."""
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND).T:
+        key = mix64(key ^ column)
+    return int(np.packbits((least[:64] & np.uint64(1)).astype(np.uint8)).view(np.int64)[0]), key.view(np.int64)
 
 
 def _sketches(df: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """Every row as struct ``doc`` with a row number, the 256-bit SimHash of its distinct words and a digest of its shingle set."""
+    """Every row as struct ``doc`` with a row number, the 256-bit SimHash of its distinct words, and digest and MinHash of its shingle set."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = T.StructType().add("doc", df.schema).add("row", T.LongType()).add("lo", T.LongType()).add("s1", T.LongType()).add("s2", T.LongType()).add("s3", T.LongType()).add("content", T.StringType())
+    schema = T.StructType().add("doc", df.schema).add("row", T.LongType()).add("lo", T.LongType()).add("s1", T.LongType()).add("s2", T.LongType()).add("s3", T.LongType())
+    schema = schema.add("content", T.StringType()).add("sketch", T.LongType()).add("bands", T.ArrayType(T.LongType()))
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for whole in batches:
             for batch in split_batch(whole, text_col, 2 << 20):
-                sketches, content = [], []
+                sketches, content, bits, bands = [], [], [], []
                 for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
                     hashes, sketch = np.unique(shingle_hashes(text or "", 1)), []
                     for _ in WORDS:
                         sketch.append(_bits_over_half(hashes) if len(hashes) else 0)
                         hashes = mix64(hashes)
                     sketches.append(sketch)
-                    content.append(xxhash.xxh3_128_hexdigest(np.unique(shingle_hashes(text or "", shingle)).tobytes()))
+                    shingles = np.unique(shingle_hashes(text or "", shingle))
+                    content.append(xxhash.xxh3_128_hexdigest(shingles.tobytes()))
+                    one, keys = bands_of(min_hashes(shingles))
+                    bits.append(one)
+                    bands.append(keys)
                 rows = pa.array(np.arange(row, row + batch.num_rows))
                 row += batch.num_rows
                 doc = pa.StructArray.from_arrays(batch.columns, fields=list(arrow.field("doc").type))
-                columns = [doc, rows, *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in zip(*sketches, strict=True)), pa.array(content, pa.string())]
+                columns = [doc, rows, *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in zip(*sketches, strict=True)), pa.array(content, pa.string()), pa.array(bits, pa.int64())]
+                columns.append(pa.array(bands, arrow.field("bands").type))
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.mapInArrow(run, schema)
@@ -288,18 +323,25 @@ def _verified(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float
             rows = sorted(members.as_py(), key=lambda m: m["node"])
             sets = [np.unique(shingle_hashes(m["text"] or "", shingle)) for m in rows]
             size = np.array([len(s) for s in sets])
-            lo = np.array([m["lo"] for m in rows], dtype=np.int64).view(np.uint64)
+            begin = np.cumsum(size) - size
+            _, number, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            holder = np.repeat(np.arange(len(rows), dtype=np.int32), size)[np.argsort(number, kind="stable")]
+            first = np.cumsum(holders) - holders
             label = np.arange(len(rows))
             for i in range(len(rows) - 1):
-                near = np.bitwise_count(lo[i + 1 :] ^ lo[i]) <= LOOSE_BITS
-                near &= np.minimum(size[i + 1 :], size[i]) >= similarity * np.maximum(size[i + 1 :], size[i])
+                near = np.minimum(size[i + 1 :], size[i]) >= similarity * np.maximum(size[i + 1 :], size[i])
+                if not (near & (label[i + 1 :] != label[i])).any():
+                    continue
+                mine = number[begin[i] : begin[i] + size[i]]
+                length = holders[mine]
+                at = np.repeat(first[mine] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+                common = np.bincount(holder[at], minlength=len(rows))[i + 1 :]
+                near &= common >= similarity * (size[i] + size[i + 1 :] - common) - 1e-9
                 for j in (np.flatnonzero(near) + i + 1).tolist():
                     if label[j] != label[i]:
-                        common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                        if common >= similarity * (size[i] + size[j] - common) - 1e-9:
-                            label[label == max(label[i], label[j])] = min(label[i], label[j])
-                            u.append(rows[j]["node"])
-                            v.append(rows[i]["node"])
+                        label[label == max(label[i], label[j])] = min(label[i], label[j])
+                        u.append(rows[j]["node"])
+                        v.append(rows[i]["node"])
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
@@ -307,16 +349,16 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """The rows of df without near copies: of every group the row with the smallest id stays (null ids last).
 
     Two rows are linked if the Jaccard similarity of their sets of ``shingle``-word shingles is at least
-    ``similarity`` and their SimHashes meet at an anchor; groups are the components of links. Links are verified
-    on whole texts, class representatives only, in groups of bounded size.
+    ``similarity`` and their SimHashes meet at an anchor or their MinHashes in a band; groups are the components of
+    links. Links are verified on whole texts, class representatives only, in groups of bounded size.
     """
     rows = materialize(_sketches(df, text_col, shingle), "sketches")
     rank = F.struct(F.col("doc")[id_col].isNull().alias("null_id"), F.col("doc")[id_col].alias("id"), F.col("row").alias("row"))
-    classes = materialize(rows.groupBy("content").agg(F.min(rank).alias("first"), *[F.first(w).alias(w) for w in WORDS]).select("content", F.col("first.row").alias("node"), "first", *WORDS), "classes")
-    near = components(links(classes.select("node", *WORDS), WORDS, LOOSE_BITS), "near")
+    classes = materialize(rows.groupBy("content").agg(F.min(rank).alias("first"), *[F.first(w).alias(w) for w in [*WORDS, "sketch", "bands"]]).select("content", F.col("first.row").alias("node"), "first", *WORDS, "sketch", "bands"), "classes")
+    near = components(links(classes.select("node", *WORDS), WORDS, LOOSE_BITS).union(band_links(classes)), "near")
     member = near.select(F.col("u").alias("node"), F.col("v").alias("group")).union(near.select(F.col("v").alias("node"), F.col("v").alias("group")).distinct())
     sizes = member.groupBy("group").agg(F.ceil(F.count("*") / VERIFY_GROUP).cast("int").alias("parts"))
-    texts = rows.alias("rows").join(member.join(sizes, "group"), F.col("row") == F.col("node")).select("group", "parts", F.struct("node", F.col("rows.lo").alias("lo"), F.col("doc")[text_col].alias("text")).alias("r"))
+    texts = rows.alias("rows").join(member.join(sizes, "group"), F.col("row") == F.col("node")).select("group", "parts", F.struct("node", F.col("doc")[text_col].alias("text")).alias("r"))
     own = F.pmod(F.xxhash64("r.node"), F.col("parts")).cast("int")
     met = texts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     groups = met.groupBy("group", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.collect_list("r").alias("members")).select("members")

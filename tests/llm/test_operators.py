@@ -174,6 +174,19 @@ def test_one_of_each(spark, docs, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def test_one_of_each_finds_block_edits(spark):
+    """Other text appended, the end cut off, one block replaced: similarity between 0.8 and 0.9."""
+    rows = []
+    for k in range(60):
+        words, others = ([f"w{n}" for n in draw.integers(0, 1 << 30, size)] for size in (300, 60))
+        changed = (words + others, words[:246], words[:200] + others[:26] + words[226:])[k % 3]
+        a, b = ({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, changed))
+        assert 0.8 <= len(a & b) / len(a | b) < 0.9
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed))]
+    got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(range(0, 120, 2))
+
+
 def test_components_of_a_chain(spark):
     df = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.u: r.v for r in components(df, "t").collect()}
