@@ -1,9 +1,10 @@
 """Operator 3: document fingerprints as improbable-feature digests.
 
-Features are byte windows of ``WINDOW`` bytes that start where a hash of the next four bytes falls into one part in ``STRIDE``, so
-they move with the text. The entropy of a window's bytes falls into one of ``CLASSES`` classes; how often
-each class occurs over all documents ranks the classes, rarest first. A window is a feature if it is the
-rarest (first of equals) of its neighbourhood. Features enter a chain of Bloom filters of ``FILTER_BYTES``
+Every run of ``WINDOW`` bytes is a window. The entropy of its bytes falls into one of ``CLASSES`` classes; how often each class
+occurs over all documents ranks the classes, rarest first, and a hash of the bytes orders windows of one class. A window is a
+feature if it comes first in a span of ``SPAN`` neighbouring windows, so no part of a text goes without one. A text of few windows
+has shorter spans, ``LEAST`` to a text; what is first in a span is first in a shorter one too, so these features include the
+others. Features enter a chain of Bloom filters of ``FILTER_BYTES``
 bytes, the next one when ``PER_FILTER`` are in. Two digests are compared filter by filter: the bits that both
 have set, less what chance would give, over the most there can be; each filter of the shorter chain takes its
 best partner and their mean, weighted by features, is the likeness.
@@ -28,61 +29,55 @@ from pyspark.sql import functions as F
 from nlimorph.llm._shared import materialize, mix64, split_batch
 
 WINDOW = 32
-STRIDE = 16
-NEAR = 2
+SPAN = 64
+LEAST = 16
 CLASSES = 128
 FILTER_BYTES, PER_FILTER, PROBES = 256, 160, 5
-_GAIN = np.r_[0.0, np.arange(1, WINDOW + 1) * np.log2(np.arange(1, WINDOW + 1))]
+#: n log2 n in whole parts of 2**-24, so that sums do not depend on where a window stands.
+_GAIN = np.r_[0, np.rint(np.arange(1, WINDOW + 2) * np.log2(np.arange(1, WINDOW + 2)) * (1 << 24))].astype(np.int64)
+_STEP = np.r_[0, np.diff(_GAIN)]
+_WHOLE = _GAIN[WINDOW]
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
-def windows_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, bytes (one row a window) and entropy classes of the windows of a text; at least one."""
+def windows_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and entropy classes of the windows of a text, from its first byte on; at least one."""
     raw = np.frombuffer(data, dtype=np.uint8)
-    at, rows, classes = _windows(raw)
-    if not len(at):
-        if len(raw) < WINDOW:
-            raw = np.r_[raw, np.zeros(WINDOW - len(raw), dtype=np.uint8)]
-        at, rows = np.array([0]), raw[None, :WINDOW]
-        classes = entropy_classes(rows)
-    return at, rows, classes
+    if len(raw) < WINDOW:
+        raw = np.r_[raw, np.zeros(WINDOW - len(raw), dtype=np.uint8)]
+    return window_hashes(raw), entropy_classes(raw)
 
 
-def windows_after_edit(own: tuple[np.ndarray, np.ndarray, np.ndarray], kept: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows_after_edit(own: tuple[np.ndarray, np.ndarray], kept: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The windows of ``data``, whose first ``kept`` bytes are those of the text with windows ``own``."""
-    inside = own[0] + WINDOW <= kept
-    start = max(0, kept - WINDOW + 1)
-    if kept < WINDOW or not inside.any() or (len(own[0]) == 1 and own[0][0] == 0):
+    same = kept - WINDOW + 1
+    if same < 1 or len(data) - same < WINDOW:
         return windows_of(data)
-    at, rows, classes = _windows(np.frombuffer(data, dtype=np.uint8)[start:])
-    return np.r_[own[0][inside], at + start], np.concatenate([own[1][inside], rows]), np.r_[own[2][inside], classes]
-
-
-def _windows(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    hashes, classes = windows_of(data[same:])
+    return np.r_[own[0][:same], hashes], np.r_[own[1][:same], classes]
+
+
+def window_hashes(raw: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of every window (polynomial, modulo 2**64)."""
+    out, base, size = _BYTES[raw], 0x9E3779B97F4A7C15, 1
+    while size < WINDOW:
+        out = out[:-size] * np.uint64(base) + out[size:]
+        base, size = base * base % (1 << 64), 2 * size
+    return mix64(out)
+
+
+def entropy_classes(raw: np.ndarray) -> np.ndarray:
+    """Shannon entropy of the bytes of every window, in ``CLASSES`` equal steps."""
+    ahead, behind = (np.ones(len(raw), dtype=np.uint8) for _ in range(2))
+    for k in range(1, WINDOW):  # how often the first byte of a window, and the last, stands in it
+        same = raw[:-k] == raw[k:]
+        ahead[:-k] += same
+        behind[k:] += same
+    first = int(_GAIN[np.bincount(raw[:WINDOW])].sum())
     n = len(raw) - WINDOW + 1
-    if n < 1:
-        return np.empty(0, np.int64), np.empty((0, WINDOW), np.uint8), np.empty(0, np.int64)
-    word = raw[:n].astype(np.uint32)
-    for k in range(1, 4):
-        word = (word << np.uint32(8)) | raw[k : k + n]
-    at = np.flatnonzero(word * np.uint32(2654435761) < np.uint32((1 << 32) // STRIDE))
-    rows = np.lib.stride_tricks.sliding_window_view(raw, WINDOW)[at]
-    return at, rows, entropy_classes(rows)
-
-
-def entropy_classes(rows: np.ndarray) -> np.ndarray:
-    """Shannon entropy of each row's bytes, in ``CLASSES`` equal steps."""
-    out = np.empty(len(rows), dtype=np.int64)
-    for start in range(0, len(rows), 1 << 14):
-        part = np.sort(rows[start : start + (1 << 14)], axis=1)
-        edge = np.ones(part.shape, dtype=bool)
-        edge[:, 1:] = part[:, 1:] != part[:, :-1]
-        heads = np.flatnonzero(edge)
-        runs = np.diff(np.r_[heads, part.size])
-        per_row = np.cumsum(edge.sum(axis=1))
-        total = np.add.reduceat(_GAIN[runs], np.r_[0, per_row[:-1]])
-        entropy = np.log2(WINDOW) - total / WINDOW
-        out[start : start + len(part)] = np.minimum((entropy / np.log2(WINDOW) * CLASSES).astype(np.int64), CLASSES - 1)
-    return out
+    total = np.cumsum(np.r_[first, _STEP[behind[WINDOW:]] - _STEP[ahead[: n - 1]]])
+    entropy = _WHOLE - total  # times WINDOW
+    return np.minimum(entropy * CLASSES // _WHOLE, CLASSES - 1)
 
 
 def class_ranks(df: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -93,7 +88,7 @@ def class_ranks(df: DataFrame, text_col: str = "text") -> np.ndarray:
         for batch in batches:
             for text in batch.column(0):
                 if text.as_py():
-                    total += np.bincount(windows_of(text.as_py().encode())[2], minlength=CLASSES)
+                    total += np.bincount(windows_of(text.as_py().encode())[1], minlength=CLASSES)
         yield pa.RecordBatch.from_pydict({"c": np.arange(CLASSES), "n": total})
 
     rows = df.select(text_col).mapInArrow(run, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()
@@ -112,21 +107,19 @@ class Digest:
         self.filters, self.counts = filters, counts
 
     @classmethod
-    def of(cls, windows: tuple[np.ndarray, np.ndarray, np.ndarray] | None, ranks: np.ndarray) -> Digest:
+    def of(cls, windows: tuple[np.ndarray, np.ndarray] | None, ranks: np.ndarray) -> Digest:
         if windows is None:
             return cls(np.zeros((0, FILTER_BYTES), dtype=np.uint8), np.zeros(0, dtype=np.int64))
-        _, rows, classes = windows
-        rank = ranks[classes]
-        best = np.ones(len(rank), dtype=bool)
-        for k in range(1, NEAR + 1):
-            best[k:] &= rank[k:] < rank[:-k]
-            best[:-k] &= rank[:-k] <= rank[k:]
-        quads = np.ascontiguousarray(rows[best]).view(np.uint64)
-        feature = np.zeros(len(quads), dtype=np.uint64)
-        for k in range(quads.shape[1]):
-            feature = mix64(feature ^ quads[:, k]) + np.uint64(k)
+        hashes, classes = windows
+        best = (ranks[classes].astype(np.uint64) << np.uint64(57)) | (hashes >> np.uint64(7))
+        span, reach = min(SPAN, max(1, len(best) // LEAST)), 1
+        while reach < span:  # the first of every span, by spans of twice the length
+            step = min(reach, span - reach)
+            best = np.minimum(best[:-step], best[step:])
+            reach += step
+        feature = best[np.r_[True, best[1:] != best[:-1]]]
         _, first = np.unique(feature, return_index=True)
-        feature = feature[np.sort(first)]
+        feature = mix64(feature[np.sort(first)])
         chain = np.arange(len(feature)) // PER_FILTER
         bits = np.zeros((int(chain[-1]) + 1, FILTER_BYTES * 8), dtype=np.uint8)
         for k in range(PROBES):
@@ -145,6 +138,9 @@ class Digest:
         score = np.clip((both - chance) / np.maximum(most - chance, 1e-6), 0, 1).max(axis=1)
         return float(min(1.0, (score * a.counts).sum() / a.counts.sum()))
 
+    def __bytes__(self) -> bytes:
+        return b"".join(bytes([n]) + f.tobytes() for n, f in zip(self.counts.tolist(), self.filters, strict=True))
+
     def __str__(self) -> str:
         return ".".join(f"{n:02x}{f.tobytes().hex()}" for n, f in zip(self.counts.tolist(), self.filters, strict=True))
 
@@ -159,7 +155,7 @@ class Pairs:
     """Result columns for rows with the text that follows each."""
 
     NAMES = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-    SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    SCHEMA = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
     def __init__(self, ranks: np.ndarray):
         self.ranks, self.last = ranks, None
@@ -178,11 +174,11 @@ class Pairs:
         kept = len(text[: len(text) - len(text) // 3].encode())
         other = Digest.of(windows_after_edit(windows, kept, data) if data else None, self.ranks)
         self.last = self._own(following)
-        return len(text), hashlib.sha256(data).hexdigest(), str(own), str(other), own.likeness(other), own.likeness(self.last[2])
+        return len(text), hashlib.sha256(data).digest(), bytes(own), bytes(other), own.likeness(other), own.likeness(self.last[2])
 
 
 def _batch(ids: pa.Array, rows: list[tuple], extra: dict) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
     made = {"id": ids} | {name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(zip(Pairs.NAMES, kinds, strict=True))}
     return pa.RecordBatch.from_pydict(made | extra)
 
@@ -233,4 +229,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield _batch(batch.column(0), [pairs.row(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)], {})
 
     rest = met.mapInArrow(finish, f"id {kind}, {Pairs.SCHEMA}")
-    return done.where(F.col("tail").isNull()).select("id", *Pairs.NAMES).union(rest).withColumnRenamed("id", id_col)
+    made = done.where(F.col("tail").isNull()).select("id", *Pairs.NAMES).union(rest)
+    named = {c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")}
+    for c in ("fingerprint", "edited_fingerprint"):  # written as bytes, named as text: a dot between filters
+        named[c] = F.regexp_replace(named[c], f"(.{{{2 * FILTER_BYTES + 2}}})(?=.)", "$1.")
+    return made.withColumns(named).withColumnRenamed("id", id_col)

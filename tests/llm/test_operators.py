@@ -223,6 +223,21 @@ def test_digest_ranks_and_edits():
         assert digests.Digest.of(own, ranks).likeness(digests.Digest.of(own, ranks)) == 1.0
 
 
+def test_digests_see_every_part_of_a_text():
+    ranks, letters = draw.permutation(digests.CLASSES), np.array(list("abcdefghijklmnopqrstuvwxyz     "))
+    for n in [48, 60, 80, 100, 150, 250, 400, 1000, 5000] * 5:
+        text, other = ("".join(draw.choice(letters, n)) for _ in range(2))
+        own, cut = (digests.Digest.of(digests.windows_of(t.encode()), ranks) for t in (text, digests.edited(text, other)))
+        assert str(own) != str(cut)
+        assert own.likeness(cut) < 1 and (n < 80 or own.likeness(cut) > 0.2)
+        front, back = (digests.Digest.of(digests.windows_of(t.encode()), ranks) for t in (other[:96] + text[96:], text[:-96] + other[-96:]))
+        assert str(front) != str(own) != str(back)
+    for n in (32, 33, 64, 500):
+        raw = draw.integers(97, 97 + 5, n).astype(np.uint8)
+        plain = [-sum(c / 32 * np.log2(c / 32) for c in collections.Counter(raw[k : k + 32].tolist()).values()) for k in range(n - 31)]
+        assert np.abs(digests.entropy_classes(raw) - np.array(plain) / 5 * digests.CLASSES).max() <= 1.001
+
+
 def plain_measures(text):
     words = (text or "").encode().split()
     five = collections.Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
