@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from nlimorph.llm._shared import materialize, mix64, split_batch
 
-WINDOW = 32
+WINDOW = 16
 SPAN = 64
 LEAST = 16
 CLASSES = 128
