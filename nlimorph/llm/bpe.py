@@ -3,7 +3,9 @@
 The words a batch needs that the worker does not know yet are laid out in one flat array of symbols.
 In each round every adjacent pair is looked up by binary search over the sorted pair keys of the
 vocabulary, each word's lowest-ranked pair is merged wherever it stands in that word, and the array is
-closed up; words without a known pair leave. Results go to a bounded cache.
+closed up; words without a known pair leave. Words of over ``LONG`` bytes would need too many rounds: they
+share an array whose symbols know their neighbours, a round is one rank, and only the places that a merge
+changed are looked up again. Results go to a bounded cache.
 
 Defined results: null text counts as empty (no ids, empty decoded text); repeated rows give repeated
 results; null ids stay null; an empty table gives an empty result; other columns are not read.
@@ -12,6 +14,7 @@ results; null ids stay null; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 from unicodedata import category
@@ -26,6 +29,7 @@ from nlimorph.llm.token_counts import load_tokenizer
 
 CACHE_ENTRIES = 300_000
 LONGEST_CACHED = 64
+LONG = 256
 #: The word pattern of the byte-level vocabulary.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_RANK = np.int64(1) << 40
@@ -56,15 +60,79 @@ class BytePairs:
         keys = np.array([(vocab[a] << 32) | vocab[b] for a, b in pairs], dtype=np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank = keys[order], order.astype(np.int64)
-        self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)[order]
+        self.made_by_rank = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
+        self.made = self.made_by_rank[order]
         self.pattern = regex.compile(WORDS)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.cache: dict[str, bytes] = {}
         self.path, self.library = path, None
 
-    def merge_rounds(self, words: list[str]) -> list[bytes]:
+    def ids_of(self, words: list[str]) -> list[bytes]:
         """Ids of each word as little-endian unsigned 32-bit integers."""
         raw = [w.encode() for w in words]
+        long = [k for k, x in enumerate(raw) if len(x) > LONG]
+        if not long:
+            return self.merge_rounds(raw)
+        out = self.merge_rounds([b"" if len(x) > LONG else x for x in raw])
+        for k, ids in zip(long, self.merge_by_rank([raw[k] for k in long]), strict=True):
+            out[k] = ids
+        return out
+
+    def _cut(self, symbols: np.ndarray, owner: np.ndarray, n: int) -> list[bytes]:
+        """The symbols of each of n words, which stand in order of their owners."""
+        flat, ends = symbols.astype("<u4").tobytes(), np.searchsorted(owner, np.arange(n + 1)) * 4
+        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def merge_by_rank(self, raw: list[bytes]) -> list[bytes]:
+        """Long words end to end: ranks are taken in order, each merged in all places where it is found."""
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        symbols, owner = self.first[np.frombuffer(b"".join(raw), dtype=np.uint8)], np.repeat(np.arange(len(raw)), sizes)
+        n = len(symbols)
+        before, after = np.arange(-1, n - 1), np.arange(1, n + 1)  # neighbours that are left; n is no place
+        rank, alive = np.full(n, NO_RANK), np.ones(n, dtype=bool)
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            """Rank the pairs that begin at these places, and note the places by rank."""
+            rank[at] = NO_RANK
+            at = at[after[at] < n]
+            at = at[owner[at] == owner[after[at]]]
+            keys = (symbols[at] << 32) | symbols[after[at]]
+            slot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            known = self.keys[slot] == keys
+            at, found = at[known], self.rank[slot[known]]
+            rank[at] = found
+            order = np.argsort(found, kind="stable")
+            at, found = at[order], found[order]
+            heads = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else found
+            for r, part in zip(found[heads].tolist(), np.split(at, heads[1:]), strict=False):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(ranks, r)
+                places[r].append(part)
+
+        look(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[alive[at] & (rank[at] == r)]
+            if not len(at):
+                continue
+            # in a run of overlapping hits (the pair of a letter with itself) every second one counts
+            new = np.r_[True, after[at[:-1]] != at[1:]]
+            at = at[(np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1]) % 2 == 0]
+            gone = after[at]
+            alive[gone] = False
+            symbols[at], after[at] = self.made_by_rank[r], after[gone]
+            inside = after[at] < n
+            before[after[at][inside]] = at[inside]
+            ahead = before[at]
+            look(np.unique(np.concatenate([at, ahead[ahead >= 0]])))
+        return self._cut(symbols[alive], owner[alive], len(raw))
+
+    def merge_rounds(self, raw: list[bytes]) -> list[bytes]:
+        """Words end to end: in every round the lowest-ranked pair of each word is merged."""
         sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         symbols = self.first[np.frombuffer(b"".join(raw), dtype=np.uint8)]
         owner = np.repeat(np.arange(len(raw)), sizes)
@@ -96,12 +164,10 @@ class BytePairs:
             keep[1:] &= ~chosen[:-1]
             symbols, owner = symbols[keep], owner[keep]
         if not done_symbols:
-            return [b""] * len(words)
+            return [b""] * len(raw)
         symbols, owner = np.concatenate(done_symbols), np.concatenate(done_owner)
         order = np.argsort(owner, kind="stable")
-        flat = symbols[order].astype("<u4").tobytes()
-        ends = np.searchsorted(owner[order], np.arange(len(words) + 1)) * 4
-        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return self._cut(symbols[order], owner[order], len(raw))
 
     def _split_by_library(self, text: str) -> list[str]:
         if self.library is None:
@@ -133,7 +199,7 @@ class BytePairs:
             missing = {w for words in split for w in words if w not in known}
         special = {w for w in missing if w[0] == "\0" and w[1:] in self.added}
         plain = list(missing - special)
-        fresh = dict(zip(plain, self.merge_rounds(plain), strict=True)) if plain else {}
+        fresh = dict(zip(plain, self.ids_of(plain), strict=True)) if plain else {}
         fresh |= {w: np.array([self.added[w[1:]]], dtype="<u4").tobytes() for w in special}
         out = [b"".join([ids if (ids := known.get(w)) is not None else fresh[w] for w in words]) for words in split]
         if len(known) + len(fresh) > CACHE_ENTRIES:

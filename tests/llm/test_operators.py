@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import time
 import zlib
 
 import duckdb
@@ -82,10 +83,23 @@ def test_bpe_round_trip(docs, empty):
     assert bpe.encode_decode(empty, BYTE).count() == 0
 
 
-def test_merge_rounds_on_repeated_letters():
+def test_merges_on_repeated_letters_and_long_words():
     pairs, tok = bpe.BytePairs(BYTE), Tokenizer.from_file(BYTE)
-    words = ["a" * n for n in range(1, 40)] + ["ab" * 20, "aab" * 9, "zzzzy"]
-    assert [np.frombuffer(x, "<u4").tolist() for x in pairs.merge_rounds(words)] == [tok.encode(w, add_special_tokens=False).ids for w in words]
+    words = ["a" * n for n in range(1, 40)] + ["ab" * 20, "aab" * 9, "zzzzy", "x" * 3001, "aab" * 500, "".join(draw.choice(list("etaoinshr"), 2000)), "語" * 300 + "日本" * 200]
+    want = [tok.encode(w, add_special_tokens=False).ids for w in words]
+    raw = [w.encode() for w in words]
+    for way in (pairs.merge_rounds, pairs.merge_by_rank):
+        assert [np.frombuffer(x, "<u4").tolist() for x in way(raw)] == want
+    assert [np.frombuffer(x, "<u4").tolist() for x in pairs.ids_of(words)] == want
+
+
+def test_a_word_of_a_million_letters():
+    pairs, tok = bpe.BytePairs(BYTE), Tokenizer.from_file(BYTE)
+    word = "".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), 1_000_000))
+    began = time.perf_counter()
+    got = pairs.ids_of([word])[0]
+    assert time.perf_counter() - began < 30
+    assert np.frombuffer(got, "<u4").tolist() == tok.encode(word, add_special_tokens=False).ids
 
 
 def plain_fingerprint(text, size):
