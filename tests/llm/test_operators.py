@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import re
+import textwrap
 import time
 import zlib
 
@@ -362,14 +364,41 @@ def test_substrings(docs, empty, monkeypatch, chunk, bucket):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def plain_scan(text, least=0.8):
+    """Best coefficient of every template over all runs of pieces and the whole text, without any short cut."""
+    split = [w for w in (licenses.words_of(p) for p in re.split(licenses.PIECE_END, text or "")) if w]
+    known = [set(licenses.pairs_of(t)) for _, t in sorted(licenses.TEMPLATES)]
+    most = max(licenses.bounds(len(p), least)[1] for p in known)
+    units = {frozenset(licenses.pairs_of(text or ""))}
+    for a in range(len(split)):
+        for b in range(a, len(split)):
+            words = [w for p in split[a : b + 1] for w in p]
+            if len(words) - 1 > most:
+                break
+            units.add(frozenset(f"{x} {y}" for x, y in zip(words, words[1:], strict=False)))
+    best = [max((2 * len(u & p) / (len(u) + len(p)) for u in units), default=0) for p in known]
+    names = [name for name, _ in sorted(licenses.TEMPLATES)]
+    hits = [(-d, n) for d, n in zip(best, names, strict=True) if d >= least]
+    return (len(hits), *((min(hits)[1], -min(hits)[0], ",".join(sorted({n for _, n in hits}))) if hits else (None, None, None)))
+
+
 def test_licenses(spark, empty):
+    full = {name: "\n\n".join(t for n, t in licenses.TEMPLATES if n in (name, name.split("-")[0])) for name in ("mit", "bsd-3-clause", "isc", "apache-2.0", "gpl-3.0")}
     rows = [(1, "x\nReleased under the MIT License.\ny"), (2, "released UNDER the mit license"), (3, None), (4, ""), (5, "Licensed under the Apache License, Version 2.0."), (5, "nothing here at all, only words of prose"), (None, "This work is licensed under the GNU General Public License, version 3. " + prose(50))]
-    got = counted(tuple(r) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    rows += [(6, prose(40) + ". Licensed under the Apache License,\nVersion 2.0. " + prose(40)), (7, prose(30) + ". Released under the BSD 3-Clause License. " + prose(30)), (8, "MIT License\n\n" + prose(30)), (9, "the license of the software is subject to a permission " * 30)]
+    rows += [(10 + k, prose(80) + "\n\n" + "\n".join(textwrap.wrap(t, 60)) + "\n\n" + prose(60)) for k, t in enumerate(full.values())]
+    rows += [(20, "Released under the MIT License.\n" * 300)]
+    scanned = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = counted(tuple(r) for r in scanned)
+    assert got == counted((i, *plain_scan(t)) for i, t in rows)
     con = duckdb.connect()
     con.execute("create table documents (doc_id bigint, text varchar)")
     con.executemany("insert into documents values (?, ?)", rows)
     assert got == counted(con.sql(licenses.scan_sql()).fetchall())
-    assert {(r[0], r[2]) for r in got} >= {(1, "mit"), (2, "mit"), (5, "apache-2.0"), (3, None), (5, None)}
+    assert {(r[0], r[2]) for r in got} >= {(1, "mit"), (2, "mit"), (5, "apache-2.0"), (3, None), (5, None), (6, "apache-2.0"), (7, "bsd-3-clause"), (8, "mit"), (9, None)}
+    for r in scanned:
+        if r.doc_id is not None and 10 <= r.doc_id < 15:
+            assert list(full)[r.doc_id - 10] in r.license_ids.split(",")
     assert licenses.scan(empty).count() == 0
 
 

@@ -15,7 +15,7 @@ COLUMNS = {
     "op3": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     "op4": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op5": ["doc_id", "n_words", "n_removed", "kept_sha256"],
-    "op6": ["doc_id", "n_hits", "license_id", "dice"],
+    "op6": ["doc_id", "n_hits", "license_id", "dice", "license_ids"],
     "op7": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op8": ["doc_id", "held_out", "lang_pred", "score"],
     "op9": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
