@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import textwrap
 import time
@@ -323,28 +324,35 @@ def test_quality_rules(spark, docs, empty):
     got = quality_rules.apply_rules(docs, trusted, buckets=512).select("doc.doc_id", "doc.text", "m.*", "llr", "kept").collect()
     assert counted(tuple(r)[:1] + tuple(r)[2:8] for r in got) == counted((i, *plain_measures(t)) for i, t, *_ in ROWS)
     assert {r.doc_id for r in got if r.kept} >= {10, 11, 16} and not any(r.kept for r in got if r.base_failed)
-    ratios = quality_rules.log_ratios(docs, trusted, "doc_id", "text", 512)
-    assert len(ratios) == 512
-    for r in got:  # the score, word by word
-        words = quality_words(r.text)
-        if words:
-            sums = ratios_of(spark, words, ratios)
-            assert r.llr == pytest.approx(sums, abs=1e-9)
-            break
+    buckets = {t: buckets_of(spark, quality_words(t), 512) for t in {t for _, t, *_ in ROWS}}
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t, *_ in ROWS:
+        raw.update(buckets[t])
+        target.update(buckets[t] if i in (10, 11, 13, 16) else ())
+    ratios = [math.log((target[b] + 1) / (target.total() + 512)) - math.log((raw[b] + 1) / (raw.total() + 512)) for b in range(512)]
+    assert quality_rules.log_ratios(docs, trusted, "doc_id", "text", 512) == pytest.approx(ratios, abs=1e-5)
+    plain = {t: np.mean([ratios[b] for b in bs]) if bs else None for t, bs in buckets.items()}
+    own = [plain[t] for i, t, *_ in ROWS if i in (10, 11, 13, 16)]
+    limit = np.mean(own) - 4 * np.std(own, ddof=1)
+    for r in got:
+        assert r.llr == (None if plain[r.text] is None else pytest.approx(plain[r.text], abs=2e-5))
+        assert r.kept == (not r.base_failed and plain[r.text] >= limit)
     assert quality_rules.apply_rules(empty, trusted).count() == 0
     assert quality_rules.apply_rules(docs, trusted.limit(0), buckets=64).where("kept").count() > 0
 
 
 def quality_words(text):
-    return [w.decode() for w in (text or "").lower().encode().split()]
+    return [w.decode() for w in (text or "").encode().split()]
 
 
-def ratios_of(spark, words, ratios):
-    grams = [(w, None) for w in words] + list(zip(words, words[1:], strict=False))
-    df = spark.createDataFrame(grams, "a string, b string")
-    h = F.when(F.col("b").isNull(), F.xxhash64("a")).otherwise(F.xxhash64("a", "b"))
-    at = [r.x for r in df.select(F.pmod(h, F.lit(len(ratios))).alias("x")).collect()]
-    return sum(ratios[k] for k in at) / len(at)
+def buckets_of(spark, words, buckets):
+    """Buckets of words and neighbouring pairs, hashed one by one."""
+    if not words:
+        return []
+    df = spark.createDataFrame(list(zip(words, [*words[1:], None], strict=True)), "a string, b string")
+    one, two = F.xxhash64("a"), F.when(F.col("b").isNotNull(), F.xxhash64(F.xxhash64("a"), F.xxhash64("b")))
+    rows = df.select(F.pmod(one, F.lit(buckets)).alias("x"), F.pmod(two, F.lit(buckets)).alias("y")).collect()
+    return [r.x for r in rows] + [r.y for r in rows if r.y is not None]
 
 
 @pytest.mark.parametrize(("chunk", "bucket"), [(2 << 20, 2_000_000), (3000, 100)])
