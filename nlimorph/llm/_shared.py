@@ -17,25 +17,38 @@ _own_scratch: str | None = None
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, one of our own in local mode (tests), an error on a cluster."""
     global _own_scratch
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_scratch is None:
         _own_scratch = tempfile.mkdtemp(prefix="spark-")
     return _own_scratch
 
 
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """df written to a new Parquet folder in the shared scratch folder and read back, and that folder."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to a new Parquet folder in the shared scratch folder and read it back.
 
     Lineage ends there, so lost executors cost no recomputation of what came before.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, label)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a written folder that no later step reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def fold_of(id_col: str, folds: int) -> Column:

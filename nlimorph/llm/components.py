@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nlimorph.llm._shared import materialize
+from nlimorph.llm._shared import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,20 +28,21 @@ def _mark(edges: DataFrame) -> tuple:
     return row.n, row.x
 
 
-def components(edges: DataFrame, label: str, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, label: str) -> DataFrame:
     """(u, v): every node u that is not the smallest of its component, with that smallest node v.
 
-    ``edges`` has long columns u and v; each round is written out, so a lost executor repeats one round
-    at most. The table ends as stars, which is when a round changes nothing.
+    ``edges`` has long columns u and v; each round is written out, so a lost executor repeats one round at most, and
+    takes the place of the one before. The table ends as stars, which is when a round changes nothing; the number of
+    rounds grows with the logarithm of the number of nodes.
     """
-    now = materialize(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
+    spark = edges.sparkSession
+    now, path = written(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
     mark = _mark(now)
-    for _ in range(most_rounds):
-        if not mark[0]:
-            return now
-        now = materialize(_small_star(_large_star(now)), label)
-        after = _mark(now)
-        if after == mark:
-            return now
-        mark = after
-    raise RuntimeError("components did not settle")
+    while mark[0]:
+        last, last_mark = path, mark
+        now, path = written(_small_star(_large_star(now)), label)
+        mark = _mark(now)
+        discard(spark, last)
+        if mark == last_mark:
+            break
+    return now

@@ -4,13 +4,16 @@ Every word has a fixed sparse index vector, drawn by hash. A word's vector is th
 of its neighbours (up to two words away) in the training sample, scaled to length one. The same is done for
 the shapes of words (letters, digits and signs in runs), which carries over to words never seen. A document
 is pooled to the mean and the spread of its word and shape vectors; a two-layer network turns that into a
-logit, and a temperature fitted on a held-back part of the sample turns the logit into a probability.
+logit, and a temperature fitted on a held-back fifth of the sample turns the logit into a probability. Its targets
+are a little inside 0 and 1, by the number of held-back rows of each label (Platt's rule), so that no score is surer
+than these rows allow.
 
 The fit takes at most ``sample_rows`` labelled rows outside the held-out fold, chosen by a hash of the id:
 the documented bound of the sample, and so of the one task that fits. Scoring reads every whole text.
 
 Defined results: null or empty text is scored as a document of no words; ties do not arise (a score is a
-function of the text alone); repeated rows score alike; a null label is not learned from; without rows to
+function of the text alone); repeated rows score alike; a null label is not learned from; of the rows of one id the
+first text in order is learned from; without rows to
 learn from every score is 0.5; an empty table gives an empty result; other columns are not read.
 """
 
@@ -38,7 +41,7 @@ LETTERS, CAPITALS, DIGITS = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"
 def shape_of(word: str) -> str:
     """Runs of small letters, capitals and digits as one sign each; other signs stay, at most two alike in a row."""
     short = DIGITS.sub("0", CAPITALS.sub("A", LETTERS.sub("a", word)))
-    return re.sub(r"(.)\1{2,}", r"\1\1", short)[:12]
+    return re.sub(r"(.)\1{2,}", r"\1\1", short)
 
 
 class Rows(dict):
@@ -84,6 +87,19 @@ def context_vectors(rows: np.ndarray, owner: np.ndarray, seed: int) -> np.ndarra
     return (total / np.where(length > 0, length, 1)).astype(np.float32)
 
 
+def scaled(x: np.ndarray, center: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Features as the network takes them, in training and in scoring alike."""
+    return np.clip((x - center) / scale, -8, 8)
+
+
+def temperature_of(logit: np.ndarray, y: np.ndarray) -> float:
+    """The temperature of the least log loss against smoothed targets."""
+    good, grid = y.sum(), np.geomspace(0.02, 50, 391)
+    target = np.where(y > 0, (good + 1) / (good + 2), 1 / (len(y) - good + 2))
+    loss = [np.mean(np.logaddexp(0, logit / t) - target * logit / t) for t in grid]
+    return float(grid[int(np.argmin(loss))])
+
+
 @dataclass
 class QualityModel:
     words: np.ndarray
@@ -111,7 +127,7 @@ class QualityModel:
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         center, scale, w1, b1, w2, b2 = self.layers
-        return np.maximum((x - center) / scale @ w1 + b1, 0) @ w2 + b2[0]
+        return np.maximum(scaled(x, center, scale) @ w1 + b1, 0) @ w2 + b2[0]
 
     def scores(self, texts: list[str], rows: Rows) -> np.ndarray:
         if not self.layers:
@@ -120,7 +136,7 @@ class QualityModel:
 
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 120) -> QualityModel:
-    """A model from texts and 0/1 labels; a tenth of the rows is held back for the temperature."""
+    """A model from texts and 0/1 labels; a fifth of the rows is held back for the temperature."""
     model = QualityModel(np.zeros((ROWS, DIMS), np.float32), np.zeros((ROWS, DIMS), np.float32), [], 1.0)
     if len(texts) < 20 or labels.min() == labels.max():
         return model
@@ -131,10 +147,10 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 120)
     x, y = model.features(texts, rows), labels.astype(float)
     draw = np.random.default_rng(seed)
     order = draw.permutation(len(x))
-    held, train = order[: len(x) // 10], order[len(x) // 10 :]
+    held, train = order[: len(x) // 5], order[len(x) // 5 :]
     center, scale = x[train].mean(axis=0), x[train].std(axis=0) + 1e-3
     weights = [draw.normal(0, np.sqrt(2 / x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), draw.normal(0, np.sqrt(1 / HIDDEN), HIDDEN), np.zeros(1)]
-    z = np.clip((x - center) / scale, -8, 8)
+    z = scaled(x, center, scale)
     first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
     for _ in range(epochs):
         shuffled = draw.permutation(train)
@@ -151,10 +167,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 120)
                 second[k] = 0.999 * second[k] + 0.001 * g * g
                 weights[k] = weights[k] - 2e-3 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
     model.layers = [center, scale, *weights]
-    if len(held):
-        logit, grid = model.logits(x[held]), np.geomspace(0.25, 8, 41)
-        loss = [np.mean(np.logaddexp(0, np.where(y[held] > 0, -logit, logit) / t)) for t in grid]
-        model.temperature = float(grid[int(np.argmin(loss))])
+    model.temperature = temperature_of(model.logits(x[held]), y[held])
     return model
 
 
@@ -171,7 +184,8 @@ def train(df: DataFrame, labels: DataFrame, in_training: Column, id_col: str = "
         parts = [m.words, m.shapes, *m.layers, np.array([m.temperature])]
         yield pa.RecordBatch.from_pydict({"part": np.arange(len(parts)), "shape": pa.array([list(p.shape) for p in parts], pa.list_(pa.int64())), "data": pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())})
 
-    parts = rows.select("_id", "_text", "label").repartition(1).mapInArrow(run, "part long, shape array<long>, data binary").orderBy("part").collect()
+    one_each = rows.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("label").alias("label"))  # an id may have any number of rows
+    parts = one_each.select("_id", "_text", "label").repartition(1).mapInArrow(run, "part long, shape array<long>, data binary").orderBy("part").collect()
     if not parts:
         return fit([], np.empty(0))
     arrays = [np.frombuffer(bytes(p.data), dtype=np.float32).reshape(p.shape) for p in parts]

@@ -219,7 +219,9 @@ def links(prints: DataFrame, words: list[str], most: int, within: int = 1) -> Da
                     place = (block[row] << np.uint64(1) | home).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array((anchor | np.uint64(number << 40)).view(np.int64)), pa.array(node[row]), pa.array(lo[row]), pa.array(place)], ["anchor", "node", "lo", "place"])
 
-    return _edges(prints.select("node", "lo", *[F.col(w).alias(f"w{k}") for k, w in enumerate(words)]).mapInArrow(replicate, "anchor long, node long, lo long, place long"), within, most)
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    even = prints.select("node", "lo", *[F.col(w).alias(f"w{k}") for k, w in enumerate(words)]).repartition(parts, "node")  # few bytes now, many rows soon
+    return _edges(even.mapInArrow(replicate, "anchor long, node long, lo long, place long"), within, most)
 
 
 def band_links(prints: DataFrame) -> DataFrame:

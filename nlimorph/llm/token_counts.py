@@ -4,8 +4,9 @@ A tokenizer that drops white space encodes each run between ASCII white space on
 document's count is the sum over its runs. Tier one is a broadcast table of the lengths of frequent
 runs; tier two is each worker's own cache, filled by the tokenizer. No run is ever shuffled.
 
-The table is drawn from about ``sample_rows`` rows, chosen by a hash of the id, and holds at most ``frequent`` entries: it is a
-cache and cannot change a count.
+The table holds the ``frequent`` runs that are met most often in all documents. Each task tallies its own and sends its most
+frequent ones; a tally that has grown past ``MOST_TALLIED`` runs keeps the more frequent half. The table is a cache and cannot
+change a count.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows give repeated results;
 a null id stays null; an empty table gives an empty result; only the id and the text are read, so
@@ -30,6 +31,7 @@ from nlimorph.llm._shared import split_batch
 
 CACHE_ENTRIES = 700_000
 LONGEST_CACHED = 64
+MOST_TALLIED = 1 << 19
 _tokenizers: dict[str, object] = {}
 
 
@@ -124,31 +126,37 @@ def encoder(path: str) -> RunEncoder:
     return _encoders[path]
 
 
-def _frequent_table(df: DataFrame, path: str, id_col: str, text_col: str, frequent: int, sample_rows: int) -> tuple[str, bytes]:
-    """Runs joined by spaces, and their lengths as bytes: the most frequent of a bounded sample."""
+def _frequent_table(df: DataFrame, path: str, text_col: str, frequent: int) -> tuple[str, bytes]:
+    """The most frequent runs joined by spaces, and their lengths as bytes."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
+        for whole in batches:
+            for batch in split_batch(whole, text_col, 4 << 20):
+                for text in batch.column(0).to_pylist():
+                    if text:
+                        seen.update(runs_of(text))
+                if len(seen) > MOST_TALLIED:
+                    seen = Counter({r: n for r, n in seen.most_common(MOST_TALLIED // 2) if len(r) <= LONGEST_CACHED})
+        top = [(r, n) for r, n in seen.most_common(frequent) if 0 < len(r) <= LONGEST_CACHED]
+        yield pa.RecordBatch.from_pydict({"run": pa.array([r for r, _ in top], pa.string()), "times": pa.array([n for _, n in top], pa.int64())})
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    seen.update(r for r in runs_of(text) if r and len(r) <= LONGEST_CACHED)
-        runs = [r for r, n in seen.most_common(frequent) if n > 1]
-        if runs:
+            runs = batch.column(0).to_pylist()
             lengths = [len(e) for e in load_tokenizer(path).encode_batch_fast(runs, add_special_tokens=False)]
             keep = [(r, n) for r, n in zip(runs, lengths, strict=True) if n < 256]
-            yield pa.RecordBatch.from_pydict({"run": [r for r, _ in keep], "n": pa.array([n for _, n in keep], pa.int32())})
+            yield pa.RecordBatch.from_pydict({"run": pa.array([r for r, _ in keep], pa.string()), "n": pa.array([n for _, n in keep], pa.int32())})
 
-    share = min(1.0, sample_rows / max(df.count(), 1))
-    drawn = df.select(id_col, text_col).where(F.pmod(F.xxhash64(F.lit("runs"), F.col(id_col)), F.lit(1 << 30)) < share * (1 << 30))
-    rows = drawn.select(text_col).repartition(1).mapInArrow(tally, "run string, n int").collect()
+    times = df.select(text_col).mapInArrow(tally, "run string, times long").groupBy("run").agg(F.sum("times").alias("times"))
+    rows = times.orderBy(F.desc("times"), "run").limit(frequent).select("run").mapInArrow(measure, "run string, n int").collect()
     return " ".join(r.run for r in rows), bytes(r.n for r in rows)
 
 
-def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = 65_536, sample_rows: int = 4_096) -> DataFrame:
+def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = 65_536) -> DataFrame:
     """(id, n_bytes, n_tokens) for every row of df, as the tokenizer counts the whole text."""
     schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long"
-    table = df.sparkSession.sparkContext.broadcast(_frequent_table(df, tokenizer_path, id_col, text_col, frequent, sample_rows))
+    table = df.sparkSession.sparkContext.broadcast(_frequent_table(df, tokenizer_path, text_col, frequent))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, lengths = table.value

@@ -55,11 +55,12 @@ def counted(rows):
     return collections.Counter(rows)
 
 
-def test_token_counts(docs, empty):
+def test_token_counts(docs, empty, monkeypatch):
     tok = Tokenizer.from_file(WORD)
     want = counted((i, len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in ROWS)
-    for size in (1, 4096):
-        assert counted(tuple(r) for r in token_counts.token_counts(docs, WORD, sample_rows=size).collect()) == want
+    for size, most in ((1, 1 << 19), (4096, 1 << 19), (4096, 50)):
+        monkeypatch.setattr(token_counts, "MOST_TALLIED", most)
+        assert counted(tuple(r) for r in token_counts.token_counts(docs, WORD, frequent=size).collect()) == want
     assert token_counts.token_counts(empty, WORD).count() == 0
 
 
@@ -431,8 +432,19 @@ def test_language_filter_has_no_false_negatives():
     hashes = draw.integers(0, 1 << 63, 3000).astype(np.uint64)
     f = langid.LanguageFilter.build(["a", "b"], {0: hashes[:2000], 1: hashes[1000:]}, 1 << 14, 3)
     found = f.languages_of(hashes)
-    assert (found[:2000] & 1).all() and (found[1000:] & 2 > 0).all()
-    assert np.mean(f.languages_of(draw.integers(0, 1 << 63, 20_000).astype(np.uint64)) & 1) == pytest.approx(f.expected[0], abs=0.02)
+    assert f.has(found, 0)[:2000].all() and f.has(found, 1)[1000:].all()
+    assert np.mean(f.has(f.languages_of(draw.integers(0, 1 << 63, 20_000).astype(np.uint64)), 0)) == pytest.approx(f.expected[0], abs=0.02)
+
+
+def test_more_than_64_languages(spark):
+    names = [f"l{k:02d}" for k in range(70)]
+    words = {n: [f"{chr(0x4E00 + 40 * k + j)}{chr(0x4E00 + 40 * k + j + 1)}" * 2 for j in range(30)] for k, n in enumerate(names)}
+    rows = [(100 * k + j, " ".join(draw.choice(words[n], 12)), n) for k, n in enumerate(names) for j in range(2 if k == 3 else 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, fold_of("doc_id", 4) != 2)
+    assert model.masks.shape[0] == 2
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df, model).collect()}
+    assert np.mean([got[i] == n for i, _, n in rows if n in model.languages]) > 0.97
 
 
 @pytest.mark.parametrize("shard", [2_000_000, 3_000])
@@ -492,5 +504,18 @@ def test_quality_classifier(spark, empty):
     assert quality_model.score(empty, model).count() == 0
 
 
+def test_quality_scores_are_calibrated():
+    """Labels that hold only three times in four: scores near their frequency, on texts never seen."""
+    texts = [prose(40) if k % 2 else " ".join(w + "##" for w in prose(40).split()) for k in range(3000)]
+    y = np.array([int(draw.random() < (0.75 if k % 2 else 0.25)) for k in range(3000)])
+    model = quality_model.fit(texts[:1500], y[:1500])
+    got = model.scores(texts[1500:], quality_model.Rows())
+    bins = np.clip((got * 10).astype(int), 0, 9)
+    error = sum(abs(got[bins == b].mean() - y[1500:][bins == b].mean()) * (bins == b).mean() for b in range(10) if (bins == b).any())
+    assert error < 0.1
+    sure = quality_model.temperature_of(np.array([30.0, -30.0] * 50), np.array([1, 0] * 50))
+    assert 1 / (1 + np.exp(-30 / sure)) == pytest.approx(51 / 52, abs=0.01)
+
+
 def test_scratch_folder_is_the_session_s(spark):
     assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir")
