@@ -1,14 +1,17 @@
 """Operator 9: packing by lexical retrieval.
 
-Documents are encoded once into a written table of token ids and dealt to shards by a hash of their row.
-Each shard holds an inverted index with BM25 weights over token ids; document frequencies, the number of
-documents and their mean length are those of all documents. A seed document starts a window; the index
-returns the unused documents nearest to it, which fill the window greedily in order of score. What still
-is open is filled by the head of the best neighbour that did not fit; its rest is the next seed. So only
-the end of a shard leaves a window open, and that is cut into sequences whose lengths are powers of two.
-
-Terms that stand in more than half of all documents are left out of the index: their BM25 weight is
-next to nothing.
+Documents are encoded once into a written table of token ids. They are put in order of their ``ROUTE`` highest token ids
+(in a merge vocabulary the latest merges, so its rarest words), cut into ranges of rows, and each range is cut into shards
+of ``SHARD_TOKENS`` as its rows stream by. So documents that share rare words meet in a shard however many shards there
+are, and words that very many documents share are split by the words after them and by row. Each shard holds an inverted
+index with BM25 weights over token ids; document frequencies, the number of documents and their mean length are those of
+all documents. A seed document starts a window; the index returns the unused documents nearest to it, which fill the
+window greedily in order of score. What still is open is filled by the head of the best neighbour that did not fit; its
+rest is the next seed. So only the end of a shard leaves a window open, and that is cut into sequences whose lengths are
+powers of two.
+
+Terms that stand in more than half of all documents are kept as rows of weights over all documents of the shard, others
+as lists of documents; both count alike.
 
 Defined results: null or empty text is the end id alone; every id lies in exactly one piece; ties in score
 go by row order; repeated rows are packed each; null ids stay null; an empty table gives an empty result;
@@ -30,83 +33,85 @@ from nlimorph.llm._shared import materialize, split_batch
 from nlimorph.llm.token_counts import encoder
 
 SHARD_TOKENS = 2_000_000
+ROUTE = 3
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
+TOKENS = ["row", "doc", "n", "ids", "r1", "r2", "r3"]
 
 
 def token_table(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, n, ids): the ids of every row with the end id, two bytes each where they fit."""
+    """(row, id, n, ids, r1, r2, r3): the ids of every row with the end id, two bytes each where they fit, and its route.
+
+    Each partition ends with a row of negative number: pairs of token id and number of its documents that have it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
-        wide = enc.tok.get_vocab_size() > 1 << 16
-        row = TaskContext.get().partitionId() << 33
+        kind = "<u4" if enc.tok.get_vocab_size() > 1 << 16 else "<u2"
+        part = TaskContext.get().partitionId()
+        row, docs, doc_type = part << 33, np.zeros(1, dtype=np.int64), None
         for whole in batches:
             for batch in split_batch(whole, text_col, 2 << 20):
-                ids = [enc.text(t or "") + end for t in batch.column(1).to_pylist()]
-                n = pa.array([len(x) >> 2 for x in ids], pa.int64())
-                if not wide:
-                    ids = [np.frombuffer(x, dtype="<u4").astype("<u2").tobytes() for x in ids]
+                ids = [np.frombuffer(enc.text(t or "") + end, dtype="<u4").astype(kind) for t in batch.column(1).to_pylist()]
+                terms, doc_type = [np.unique(x) for x in ids], batch.column(0).type
+                held = np.bincount(np.concatenate(terms))
+                docs = np.pad(docs, (0, max(0, len(held) - len(docs))))
+                docs[: len(held)] += held
+                route = np.array([[*x[: -ROUTE - 1 : -1].tolist(), *[-1] * (ROUTE - len(x))] for x in terms])
                 rows = pa.array(np.arange(row, row + batch.num_rows))
                 row += batch.num_rows
-                yield pa.RecordBatch.from_arrays([rows, batch.column(0), n, pa.array(ids, pa.binary())], ["row", "doc", "n", "ids"])
-
-    return df.select(id_col, text_col).mapInArrow(run, f"row long, doc {df.schema[id_col].dataType.simpleString()}, n long, ids binary")
-
+                yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), *(pa.array(r, pa.int32()) for r in route.T)], TOKENS)
+        if doc_type is not None:
+            at = np.flatnonzero(docs)
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - part], pa.int64()), pa.nulls(1, doc_type), pa.array([0], pa.int64()), pa.array([np.stack([at, docs[at]]).astype("<u8").tobytes()], pa.binary()), *(pa.nulls(1, pa.int32()) for _ in range(ROUTE))], TOKENS)
 
-def _flat(ids: pa.ChunkedArray | pa.Array, sizes: np.ndarray) -> np.ndarray:
-    data = b"".join(ids.to_pylist())
-    return np.frombuffer(data, dtype="<u2" if len(data) == 2 * sizes.sum() else "<u4")
+    return df.select(id_col, text_col).mapInArrow(run, f"row long, doc {df.schema[id_col].dataType.simpleString()}, n long, ids binary, r1 int, r2 int, r3 int")
 
 
 def document_frequencies(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     """In how many documents each token id stands; its length is bounded by the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocabulary, dtype=np.int64)
-        seen = np.zeros((64, vocabulary), dtype=bool)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
-                sizes = np.asarray(batch.column(0))
-                seen[np.repeat(np.arange(len(sizes)), sizes), _flat(batch.column(1), sizes)] = True
-                total += seen.sum(axis=0)
-                seen[:] = False
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"token": at, "docs": total[at]})
-
-    rows = tokens.select("n", "ids").mapInArrow(run, "token long, docs long").groupBy("token").agg(F.sum("docs").alias("docs")).collect()
+        for batch in batches:
+            for data in batch.column(0):
+                token, docs = np.frombuffer(data.as_py(), dtype="<u8").astype(np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_pydict({"token": token, "docs": docs})
+
+    counts = tokens.where(F.col("row") < 0).select("ids").mapInArrow(run, "token long, docs long")
     out = np.zeros(vocabulary, dtype=np.int64)
-    for r in rows:
+    for r in counts.groupBy("token").agg(F.sum("docs").alias("docs")).collect():
         out[r.token] = r.docs
     return out
 
 
 class Index:
-    """Inverted index of one shard: for each term its documents and their BM25 weights."""
+    """Inverted index of one shard: for each term its documents and their BM25 weights (frequent terms: weights of all documents)."""
 
     def __init__(self, flat: np.ndarray, sizes: np.ndarray, docs: np.ndarray, n_docs: int, mean: float):
         n = len(sizes)
         kind = np.uint32 if len(docs) * n < 1 << 32 else np.uint64  # shorter keys sort faster
         pairs, tf = np.unique(flat.astype(kind) * kind(n) + np.repeat(np.arange(n, dtype=kind), sizes), return_counts=True)
         term, doc = (pairs // kind(n)).astype(np.int64), (pairs % kind(n)).astype(np.int64)
-        rare = docs[term] * 2 <= n_docs
-        term, doc, tf = term[rare], doc[rare], tf[rare]
         idf = np.log1p((n_docs - docs[term] + 0.5) / (docs[term] + 0.5))
-        self.weight = (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean)))
-        self.doc, self.n = doc, n
+        weight = (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))).astype(np.float32)
+        often = docs[term] * 2 > n_docs
+        terms, number = np.unique(term[often], return_inverse=True)
+        self.frequent = np.zeros((len(terms), n), dtype=np.float32)
+        self.frequent[number, doc[often]] = weight[often]
+        term, self.doc, self.weight, self.n = term[~often], doc[~often], weight[~often], n
         terms, self.start = np.unique(term, return_index=True)
         self.length = np.diff(np.r_[self.start, len(term)])
-        order = np.argsort(doc.astype(np.uint16) if n < 1 << 16 else doc, kind="stable")
+        order = np.argsort(self.doc.astype(np.uint16) if n < 1 << 16 else self.doc, kind="stable")
         self.terms_of = np.searchsorted(terms, term)[order]  # term numbers, document by document
-        self.bounds = np.searchsorted(doc[order], np.arange(n + 1))
+        self.bounds = np.searchsorted(self.doc[order], np.arange(n + 1))
 
     def scores(self, seed: int) -> np.ndarray:
+        """The summed weights, in each document, of the terms that the seed has."""
         mine = self.terms_of[self.bounds[seed] : self.bounds[seed + 1]]
         length = self.length[mine]
         at = np.repeat(self.start[mine] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-        return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
+        return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n) + self.frequent[self.frequent[:, seed] > 0].sum(axis=0)
 
 
 def fill(sizes: np.ndarray, index: Index, window: int) -> list[list[tuple[int, int, int]]]:
@@ -179,22 +184,23 @@ def powers_of_two(window: list[tuple[int, int, int]], size: int) -> list[list[tu
 def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row a piece: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids])."""
     tokens = materialize(token_table(df, tokenizer_path, end_id, id_col, text_col), "tokens")
-    facts = tokens.agg(F.count("*").alias("docs"), F.sum("n").alias("n")).first()
+    held = tokens.where(F.col("row") >= 0)
+    facts = held.agg(F.count("*").alias("docs"), F.sum("n").alias("n")).first()
     n_docs, n_tokens = facts.docs, facts.n or 0
     shared = df.sparkSession.sparkContext.broadcast((document_frequencies(tokens, max(encoder(tokenizer_path).tok.get_vocab_size(), end_id + 1)), n_docs, n_tokens / max(n_docs, 1)))
-    shards = max(1, -(-n_tokens // SHARD_TOKENS))
+    ranges = max(1, -(-n_tokens // (2 * SHARD_TOKENS)))
+    kind, shard_tokens = tokens.schema["doc"].dataType, SHARD_TOKENS
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
-    schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
+    schema = f"`{id_col}` {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("row")
+    def packed(table: pa.Table, first: int) -> tuple[pa.RecordBatch, int]:
+        """The pieces of one shard, and how many sequences they fill."""
         sizes = table.column("n").to_numpy()
-        flat = _flat(table.column("ids"), sizes)
+        data = b"".join(table.column("ids").to_pylist())
+        flat = np.frombuffer(data, dtype="<u2" if len(data) == 2 * sizes.sum() else "<u4")
         begin = np.cumsum(sizes) - sizes
         windows = fill(sizes, Index(flat, sizes, *shared.value), window)
-        if windows:
-            windows[-1:] = powers_of_two(windows[-1], window)
-        first = table.column("shard")[0].as_py() << 32 if table.num_rows else 0
+        windows[-1:] = powers_of_two(windows[-1], window)
         doc, start, length, crc, sequence, offset, ids = [], [], [], [], [], [], []
         for k, pieces in enumerate(windows):
             at = 0
@@ -206,8 +212,27 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 2048
                     ids.append(part.astype(np.int32))
                 at += n
         doc = pa.array(doc, pa.int64())
-        columns = [table.column("doc").take(doc), *(pa.array(x, pa.int64()) for x in (start, length, crc)), table.column("n").take(doc), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())]
-        return pa.table(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=names)
+        columns = [table.column("doc").combine_chunks().take(doc), *(pa.array(x, pa.int64()) for x in (start, length, crc)), table.column("n").combine_chunks().take(doc), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=names), len(windows)
 
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, tokens_waiting, sequence = [], 0, TaskContext.get().partitionId() << 33
+        for whole in batches:
+            ends = np.cumsum(whole.column("n").to_numpy())
+            start = 0
+            while start < whole.num_rows:
+                before = ends[start - 1] if start else 0
+                stop = min(whole.num_rows, int(np.searchsorted(ends, before + shard_tokens - tokens_waiting)) + 1)
+                waiting.append(whole.slice(start, stop - start))
+                tokens_waiting += int(ends[stop - 1] - before)
+                start = stop
+                if tokens_waiting >= shard_tokens:
+                    batch, filled = packed(pa.Table.from_batches(waiting), sequence)
+                    yield batch
+                    waiting, tokens_waiting, sequence = [], 0, sequence + filled
+        if waiting:
+            yield packed(pa.Table.from_batches(waiting), sequence)[0]
+
+    order = ["r1", "r2", "r3", "row"]
+    ranged = held.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    return ranged.select("doc", "n", "ids").mapInArrow(run, schema)

@@ -483,6 +483,37 @@ def test_neighbours_come_from_the_index():
     assert {d for d, _, _ in windows[0]} == {0, 2, 4} and {d for d, _, _ in windows[1]} == {1, 3, 5}
 
 
+def test_scores_are_those_of_plain_bm25():
+    texts = [draw.zipf(1.3, 60 + 5 * k) % 300 for k in range(40)]
+    sizes = np.array([len(t) for t in texts])
+    docs = np.bincount(np.concatenate([np.unique(t) for t in texts]), minlength=300)
+    index = packing.Index(np.concatenate(texts), sizes, docs, 40, sizes.mean())
+    assert len(index.frequent) and len(index.length)
+    for seed in range(40):
+        want = np.zeros(40)
+        for d, text in enumerate(texts):
+            for term in set(texts[seed].tolist()) & set(text.tolist()):
+                tf = (text == term).sum()
+                idf = np.log(1 + (40 - docs[term] + 0.5) / (docs[term] + 0.5))
+                want[d] += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * sizes[d] / sizes.mean()))
+        assert index.scores(seed) == pytest.approx(want, rel=1e-5)
+
+
+def test_documents_that_share_a_rare_word_share_a_shard(spark, monkeypatch):
+    """Pairs with a word of their own among many shards: a random deal would join one pair in fifty."""
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 6_000)
+    vocabulary = sorted((i, w) for w, i in Tokenizer.from_file(WORD).get_vocab().items() if w.endswith("</w>") and w[:-4].isalpha() and w.isascii() and len(w) > 9)
+    own = [w[:-4] for _, w in vocabulary[-100:]]
+    common = [w[:-4] for _, w in vocabulary[:50]]
+    rows = [(2 * k + j, " ".join([*draw.choice(common, 400), own[k], *draw.choice(common, 50)])) for k in range(100) for j in (0, 1)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), WORD).collect()
+    assert len({r.sequence_id >> 33 for r in got}) > 4
+    where = collections.defaultdict(set)
+    for r in got:
+        where[r.doc_id].add(r.sequence_id)
+    assert np.mean([bool(where[2 * k] & where[2 * k + 1]) for k in range(100)]) > 0.4
+
+
 def test_powers_of_two():
     parts = packing.powers_of_two([(0, 0, 700), (1, 5, 800)], 2048)
     assert [sum(p[2] for p in s) for s in parts] == [1024, 256, 128, 64, 16, 8, 4]
