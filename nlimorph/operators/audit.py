@@ -19,6 +19,11 @@ def length_stats(df: DataFrame, length: Column, cutoff: int | None = None) -> Da
     return upto.agg(F.sum("n").alias("n_rows"), F.min("len").alias("min_len"), median.alias("median_len"), F.max("len").alias("max_len"), *above)
 
 
+def first_k(df: DataFrame, k: int, *order: str) -> DataFrame:
+    """The first k rows in an order, for reports."""
+    return df.orderBy(*order).limit(k)
+
+
 def data_signature(df: DataFrame) -> DataFrame:
     """A digest of the rows that no order or partitioning changes: count, XOR and sum of row digests."""
     digest = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)

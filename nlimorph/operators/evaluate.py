@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nlimorph.functions.labels import LABELS_2, LABELS_3, predicted, rate, rate_band
+from nlimorph.functions.labels import LABELS_2, LABELS_3, cleaned, label_of, rate, rate_band, token_cost
+from nlimorph.functions.settle import settled
 
 
 def scorable(df: DataFrame, null_gold: str = "drop") -> DataFrame:
@@ -18,7 +19,29 @@ def scorable(df: DataFrame, null_gold: str = "drop") -> DataFrame:
 
 
 def with_prediction(df: DataFrame, rule: str = "strict") -> DataFrame:
-    return df.withColumn("pred", predicted(F.col("reply"), F.col("task"), rule))
+    """df with ``pred``; the reply is cleaned once and its label found once, whatever filters follow."""
+    text = df.withColumn("_reply", cleaned(F.col("reply"), rule))
+    return settled(text, "pred", label_of(F.col("_reply"), F.col("task"), rule)).drop("_reply")
+
+
+def with_correct(df: DataFrame) -> DataFrame:
+    """df with ``correct``: whether pred is the gold label in small letters; a null on either side is not."""
+    return df.withColumn("correct", F.coalesce(F.col("pred") == F.lower("gold"), F.lit(False)))
+
+
+def mr_type_or_stem(df: DataFrame) -> DataFrame:
+    """``mr_type``: the row's own if it is not empty, else the file stem."""
+    return df.withColumn("mr_type", F.coalesce(F.nullif(F.col("mr_type"), F.lit("")), F.col("stem")))
+
+
+def only(df: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """Rows of the named datasets or experiments."""
+    return df.where(F.col(column).isin(names))
+
+
+def first_n(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows by ``index`` of whatever the index counts in."""
+    return df.where(F.col("index") <= n)
 
 
 def parsed(df: DataFrame) -> DataFrame:
@@ -39,18 +62,16 @@ def status_summary(df: DataFrame) -> DataFrame:
     return by.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
-def _label_sets(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """One row a group with its labels: 2-way if any of its rows is."""
-    two = F.bool_or(F.col("task") == "nli-binary")
-    names = [F.array(*map(F.lit, labels)) for labels in (LABELS_2, LABELS_3)]
-    return df.groupBy(*by).agg(F.when(two, names[0]).otherwise(names[1]).alias("labels"))
-
-
 def _pairs(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Counts by gold and predicted label, with the label set of each group."""
-    counts = df.groupBy(*by, "gold", "pred", "task").agg(F.count("*").alias("n"))
-    sets = _label_sets(counts, by)
-    return counts.groupBy(*by, "gold", "pred").agg(F.sum("n").alias("n")).join(F.broadcast(sets), list(by))
+    """Counts by gold and predicted label, with the label set of each group: 2-way if any of its rows is.
+
+    A wrong reply that is no label counts as ``?``, so that a group has as many rows as it has kinds of labels.
+    """
+    plain = F.col("pred").isin(*LABELS_3, *LABELS_2) | ~wrong() | F.col("pred").isNull()
+    counts = df.groupBy(*by, "gold", F.when(plain, F.col("pred")).otherwise("?").alias("pred"), "task").agg(F.count("*").alias("n"))
+    two = F.bool_or(F.col("task") == "nli-binary").over(Window.partitionBy(*by))
+    names = [F.array(*map(F.lit, labels)) for labels in (LABELS_2, LABELS_3)]
+    return counts.withColumn("labels", F.when(two, names[0]).otherwise(names[1])).groupBy(*by, "labels", "gold", "pred").agg(F.sum("n").alias("n"))
 
 
 def confusion(df: DataFrame, by: tuple[str, ...] = ("dataset",)) -> DataFrame:
@@ -97,12 +118,20 @@ def token_usage(df: DataFrame, price_prompt: float = 0.0, price_completion: floa
 
     sums = df.agg(F.count_if(has).alias("n_usage"), *[total(f"{k}_tokens") for k in ("prompt", "completion", "cached")])
     both = F.col("prompt_tokens") + F.col("completion_tokens")
-    cost = F.col("prompt_tokens") * price_prompt / 1e6 + F.col("completion_tokens") * price_completion / 1e6
+    cost = token_cost(F.col("prompt_tokens"), price_prompt) + token_cost(F.col("completion_tokens"), price_completion)
     return sums.select("*", both.alias("total_tokens"), rate(both, F.col("n_usage")).alias("avg_tokens"), cost.alias("cost"))
 
 
 def _error_columns() -> list[Column]:
-    return [F.count("mr").alias("total"), F.count_if(F.col("mr").isNotNull() & wrong()).alias("errors")]
+    return [F.count("*").alias("total"), F.count_if(wrong()).alias("errors")]
+
+
+def _cells(df: DataFrame) -> DataFrame:
+    return df.groupBy("dataset", "mr").agg(*_error_columns())
+
+
+def _error_sums() -> list[Column]:
+    return [F.grouping_id().alias("g"), F.sum("total").alias("total"), F.sum("errors").alias("errors")]
 
 
 def _level(df: DataFrame) -> DataFrame:
@@ -112,19 +141,19 @@ def _level(df: DataFrame) -> DataFrame:
 
 
 def mrv(df: DataFrame) -> DataFrame:
-    """Error rate by dataset and relation, by dataset, and over all."""
-    return _level(df.rollup("dataset", "mr").agg(F.grouping_id().alias("g"), *_error_columns()))
+    """Error rate by dataset and relation, by dataset, and over all; rows without a relation are a cell of their own."""
+    return _level(_cells(df).rollup("dataset", "mr").agg(*_error_sums()))
 
 
 def mrv_cube(df: DataFrame) -> DataFrame:
     """As ``mrv``, with the relations over all datasets."""
-    return _level(df.cube("dataset", "mr").agg(F.grouping_id().alias("g"), *_error_columns()))
+    return _level(_cells(df).cube("dataset", "mr").agg(*_error_sums()))
 
 
 def mrv_with_empty(df: DataFrame, datasets: DataFrame) -> DataFrame:
     """Error rate of every listed dataset; 0 of 0 where nothing could be scored."""
     by = df.groupBy("dataset").agg(*_error_columns())
-    out = F.broadcast(datasets).join(by, "dataset", "left").na.fill(0, ["total", "errors"])
+    out = datasets.join(by, "dataset", "left").na.fill(0, ["total", "errors"])
     return out.withColumn("error_rate", rate(F.col("errors"), F.col("total")))
 
 
@@ -134,8 +163,7 @@ def mrv_matrix(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
 
 
 def mrv_detail(df: DataFrame) -> DataFrame:
-    by = df.groupBy("dataset", "mr").agg(*_error_columns())
-    out = by.withColumn("correct", F.col("total") - F.col("errors")).withColumn("error_rate", F.round(rate(F.col("errors"), F.col("total")), 4))
+    out = _cells(df).withColumn("correct", F.col("total") - F.col("errors")).withColumn("error_rate", F.round(rate(F.col("errors"), F.col("total")), 4))
     return out.withColumn("accuracy", F.round(rate(F.col("correct"), F.col("total")), 4)).withColumn("band", rate_band(F.col("error_rate")))
 
 

@@ -7,7 +7,7 @@ most 4096 rows, and windows run inside buckets only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nlimorph.functions.labels import py_strip
@@ -16,11 +16,12 @@ KEY = ["source_file", "pair_key"]
 
 
 def ensure_pair_id(df: DataFrame, content: list[str], pair_id: str = "pair_id") -> DataFrame:
-    """``pair_key``: the trimmed pair id; a row without one gets a key of its own, made from its content and its number among equal rows."""
+    """``pair_key``: the trimmed pair id; a row without one gets a key of its own, made from its content, its partition and its number among equal rows there."""
     digest = F.md5(F.to_json(F.struct(*content)))
     missing = F.col(pair_id).isNull()
-    numbered = df.where(missing).withColumn("_h", digest).withColumn("_n", F.row_number().over(Window.partitionBy("_h").orderBy(*content)))
-    own = numbered.withColumn("pair_key", F.concat(F.lit("__row_"), "_h", F.lit("_"), F.col("_n").cast("string"))).drop("_h", "_n")
+    placed = df.where(missing).select("*", digest.alias("_h"), F.spark_partition_id().alias("_p"))
+    numbered = placed.withColumn("_n", F.row_number().over(Window.partitionBy("_h", "_p").orderBy(*content)))
+    own = numbered.withColumn("pair_key", F.concat_ws("_", F.lit("__row"), "_h", F.col("_p").cast("string"), F.col("_n").cast("string"))).drop("_h", "_p", "_n")
     return df.where(~missing).withColumn("pair_key", py_strip(F.col(pair_id).cast("string"))).unionByName(own)
 
 
@@ -34,7 +35,7 @@ def group_size_hist(groups: DataFrame) -> DataFrame:
 
 def primary_label(df: DataFrame) -> DataFrame:
     """Majority label of each group, the smallest of equals; what is not a number counts as 0."""
-    number = F.when(F.col("label_is_int"), F.try_to_number("label", F.lit("S999999999")).cast("int")).otherwise(0) if "label_is_int" in df.columns else F.col("label")
+    number = F.when(F.col("label_is_int"), F.col("label").try_cast("bigint")).otherwise(0) if "label_is_int" in df.columns else F.col("label")
     return df.groupBy(*KEY).agg(F.mode(F.coalesce(number, F.lit(0)), deterministic=True).alias("primary_label"), F.count("*").alias("n_rows"))
 
 
@@ -96,9 +97,20 @@ def split_from_manifest(df: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def verify_manifest(groups: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Ids on one side only, with the side."""
-    a, b = groups.select(*KEY), manifest.select(*KEY)
-    return a.join(b, KEY, "left_anti").withColumn("side", F.lit("data")).unionByName(b.join(a, KEY, "left_anti").withColumn("side", F.lit("manifest")))
+    """Ids on one side only, with the side; where both tables have splits, also ids whose split differs (side ``split``)."""
+    keys = [*KEY, "split"] if "split" in groups.columns and "split" in manifest.columns else KEY
+    a, b = (t.select(*keys).withColumn("_on", F.lit(True)) for t in (groups, manifest))
+    other = b.select(*KEY, F.col("_on").alias("_other"), *[F.col(c).alias(f"_{c}") for c in keys[2:]])
+    met = a.join(other, KEY, "full")
+    side = F.when(F.col("_other").isNull(), "data").when(F.col("_on").isNull(), "manifest")
+    if len(keys) > 2:
+        side = side.when(F.col("split") != F.col("_split"), "split")
+    return met.select(*KEY, side.alias("side")).where(F.col("side").isNotNull())
+
+
+def shared_groups(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Groups that stand in both tables; none for a train and a validation part."""
+    return a.select(*KEY).intersect(b.select(*KEY))
 
 
 def check_group_integrity(everything: DataFrame, selected: DataFrame) -> DataFrame:
@@ -108,9 +120,25 @@ def check_group_integrity(everything: DataFrame, selected: DataFrame) -> DataFra
     return b.join(a, KEY, "left").withColumn("whole", F.col("n_all").eqNullSafe(F.col("n_selected")))
 
 
-def write_manifest(groups: DataFrame, path: str) -> None:
-    groups.select(*KEY, "split").write.parquet(path)
+def write_manifest(groups: DataFrame, path: str, seed: int | None = None, ratio: float | None = None, signature: str | None = None) -> None:
+    """Groups with their split, and one row of facts: seed, ratio, numbers of groups and rows, files and the data's signature."""
+    groups.select(*KEY, "split").write.parquet(f"{path}/groups")
+    rows = F.col("n_rows") if "n_rows" in groups.columns else F.lit(None).cast("long")
+    counts = [x for s in ("train", "val") for x in (F.count_if(F.col("split") == s).alias(f"n_{s}_groups"), F.sum(F.when(F.col("split") == s, rows)).alias(f"n_{s}_rows"))]
+    given = [F.lit(seed).cast("long").alias("seed"), F.lit(ratio).cast("double").alias("ratio"), F.lit(signature).cast("string").alias("signature")]
+    groups.agg(*counts, F.array_sort(F.collect_set("source_file")).alias("source_files")).select(*given, "*").write.parquet(f"{path}/facts")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/groups")
+
+
+def manifest_facts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/facts")
 
 
-def read_manifest(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def signature_check(facts: DataFrame, current: DataFrame) -> DataFrame:
+    """The recorded and the current signature and whether they differ; a manifest without one does not."""
+    now = current.select(F.col("signature").alias("current"))
+    differs = F.coalesce(F.col("recorded") != F.col("current"), F.lit(False))
+    return facts.select(F.col("signature").alias("recorded")).crossJoin(now).withColumn("differs", differs)  # one row each

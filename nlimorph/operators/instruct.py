@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nlimorph.functions.labels import label_name, py_strip
+from nlimorph.functions.labels import fill, label_name, py_strip
 from nlimorph.operators.groups import KEY
 
 MODES = ("none", "operation_only", "pair_only", "pair_operation", "shuffled_operation", "relation_aware", "full_oracle")
@@ -63,15 +63,6 @@ def shuffle_operations(df: DataFrame, seed: int, row_key: str) -> DataFrame:
     return df.crossJoin(F.broadcast(pool)).withColumn("shown_mr", F.when(F.col("mr_id") == "none", "none").otherwise(drawn)).drop("pool")
 
 
-def _fill(template: str, **values: Column) -> Column:
-    out, rest = [], template
-    while "{" in rest:
-        head, _, tail = rest.partition("{")
-        name, _, rest = tail.partition("}")
-        out += [F.lit(head), values[name]]
-    return F.concat(*out, F.lit(rest))
-
-
 def build_instructions(df: DataFrame, mode: str, templates: dict = TEMPLATES) -> DataFrame:
     """instruction, input and output of each row of ``attach_source`` and ``attach_mr_texts``.
 
@@ -81,9 +72,9 @@ def build_instructions(df: DataFrame, mode: str, templates: dict = TEMPLATES) ->
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
     task = F.when(F.col("task") == "nli-binary", templates["task"]["nli-binary"]).otherwise(templates["task"]["nli"])
-    pair = _fill(templates["pair"], p=py_strip(F.col("source_premise")), h=py_strip(F.col("source_hypothesis")))
-    operation, effect = _fill(templates["operation"], o=F.col("operation_text")), _fill(templates["effect"], e=F.col("effect_text"))
-    label = _fill(templates["label"], l=label_name(F.col("source_label").cast("string"), F.col("source_label_is_int"), F.col("task")))
+    pair = fill(templates["pair"], p=py_strip(F.col("source_premise")), h=py_strip(F.col("source_hypothesis")))
+    operation, effect = fill(templates["operation"], o=F.col("operation_text")), fill(templates["effect"], e=F.col("effect_text"))
+    label = fill(templates["label"], l=label_name(F.col("source_label").cast("string"), F.col("source_label_is_int"), F.col("task")))
     parts = {
         "none": [], "operation_only": [operation], "pair_only": [pair], "pair_operation": [pair, operation], "shuffled_operation": [pair, operation],
         "relation_aware": [pair, operation, effect], "full_oracle": [pair, label, operation, effect],
@@ -106,10 +97,15 @@ def mr_id_audit(df: DataFrame, known: DataFrame, strict: bool = False) -> DataFr
     return out
 
 
-def leak_audit(df: DataFrame) -> DataFrame:
-    """Rows whose instruction names the relation id, the effect, the row's own pair or its source's label."""
+def leak_audit(df: DataFrame, templates: dict = TEMPLATES) -> DataFrame:
+    """Rows whose instruction names the relation id, the effect, the row's own pair or, before the closing task text, its source's label."""
     text = F.col("instruction")
     named = {"names_mr": text.contains(F.col("mr_id")), "shows_effect": (F.col("effect_text") != "") & text.contains(F.col("effect_text")), "shows_own_pair": text.contains(F.col("premise")) & text.contains(F.col("hypothesis"))}
+    own_task = F.when(F.col("task") == "nli-binary", templates["task"]["nli-binary"]).otherwise(templates["task"]["nli"])
+    before_task = F.when(text.endswith(own_task), F.expr("left(instruction, length(instruction) - length(own_task))")).otherwise(text)
+    source = label_name(F.col("source_label").cast("string"), F.col("source_label_is_int"), F.col("task"))
+    named["names_source_label"] = F.coalesce(F.col("has_source") & F.lower(before_task).contains(F.lower(source)), F.lit(False))
+    df = df.withColumn("own_task", own_task)
     return df.agg(F.count("*").alias("n_rows"), *[F.count_if(c).alias(k) for k, c in named.items()])
 
 

@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nlimorph.functions.labels import prompt
+from nlimorph.functions.labels import PROMPTS, prompt
 
 
 def with_index(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
-    """``index`` from 1 inside a dataset and relation, where rows have none yet."""
+    """``index`` from 1 inside a dataset and relation, where rows have none yet.
+
+    Rows of a table have no order of their own; they are numbered by the hash of the columns ``order`` and then by these.
+    Even hash buckets are counted first and numbered inside, so that no task takes a whole dataset.
+    """
     if "index" in df.columns:
         return df
-    return df.withColumn("index", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+    rows = df.withColumn("_h", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in order]))).withColumn("_b", F.substring("_h", 1, 3))
+    counts = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_b").alias("_bucket"), F.coalesce(ahead, F.lit(0)).alias("_offset"))  # 4096 rows a group at most
+    same = functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by), F.col("_b") == F.col("_bucket"))
+    number = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", *order))
+    numbered = rows.withColumn("_inside", number).join(offsets, same)
+    return numbered.select(*df.columns, (F.col("_inside") + F.col("_offset")).alias("index"))
 
 
-def prompts(df: DataFrame) -> DataFrame:
-    return df.withColumn("prompt", prompt(F.col("premise"), F.col("hypothesis"), F.col("task")))
+def prompts(df: DataFrame, templates: dict[str, str] = PROMPTS) -> DataFrame:
+    return df.withColumn("prompt", prompt(F.col("premise"), F.col("hypothesis"), F.col("task"), templates))
 
 
 def pending(rows: DataFrame, done: DataFrame, keys: tuple[str, ...] = ("dataset", "index")) -> DataFrame:
@@ -27,7 +40,7 @@ def pending(rows: DataFrame, done: DataFrame, keys: tuple[str, ...] = ("dataset"
 
 
 def score(df: DataFrame, predict: Callable[[list[str]], list[str]], batch_size: int = 32) -> DataFrame:
-    """df with ``pred`` from ``predict`` over prompts; a batch that fails is marked ERROR and the job goes on."""
+    """df with ``pred`` from ``predict`` over prompts; a batch that fails, or gets too few or too many replies, is marked ERROR and the job goes on."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -35,9 +48,10 @@ def score(df: DataFrame, predict: Callable[[list[str]], list[str]], batch_size:
             for at in range(0, len(frame), batch_size):
                 batch = frame["prompt"].iloc[at : at + batch_size].tolist()
                 try:
-                    out += predict(batch)
+                    replies = list(predict(batch))
                 except Exception:  # the model is the caller's; its failures belong in the result
-                    out += ["ERROR"] * len(batch)
+                    replies = []
+                out += replies if len(replies) == len(batch) else ["ERROR"] * len(batch)
             yield frame.assign(pred=out)
 
     return df.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", pred string")

@@ -27,14 +27,25 @@ REPLIES = {
     "8": "1", "9": "C", "a": "contradictory", "b": "I cannot tell", "c": "", "d": "entailment, not contradiction", "e": "2", "f": "neutral or entailment",
 }
 
-_reply = "case digit " + " ".join(f"when '{d}' then '{t}'" for d, t in REPLIES.items()) + " end"
+#: What stands before and after these, by further digits; with a number behind, some thousand replies differ.
+BEFORE = {"0": "Not ", "1": "The answer: ", "2": "  ", "3": "i think it is ", "4": "NO, ", "5": "(", "6": "not_", "7": "2 "}
+AFTER = {"0": ".", "1": "!?", "2": ",", "3": " .", "4": " or neutral", "5": " not entailed", "6": "\n", "7": "-ish"}
+
+
+def _choice(digit: str, table: dict[str, str], otherwise: str) -> str:
+    quoted = {d: t.replace("\n", "'||chr(10)||'") for d, t in table.items()}
+    return f"case {digit} " + " ".join(f"when '{d}' then '{t}'" for d, t in quoted.items()) + f" else {otherwise} end"
+
+
+_reply = f"""{_choice("before", BEFORE, "''")}||case when shout = '0' then upper({_choice("digit", REPLIES, "''")}) else {_choice("digit", REPLIES, "''")} end||{_choice("after", AFTER, "case when after = '8' then ' in case '||prompt_tokens||'/'||pair_key else '' end")}"""
 PREDICTIONS = f"""
-select row_key, dataset, pair_key, mr_id as mr, task, premise, hypothesis, label, status, gold, digit, {_reply} as reply, prompt_tokens, completion_tokens,
+select row_key, dataset, pair_key, mr, task, premise, hypothesis, label, status, gold, {_reply} as reply, prompt_tokens, completion_tokens,
   case when prompt_tokens % 2 = 0 then prompt_tokens // 2 else 0 end as cached_tokens, true as has_usage
-from (select *, substr(md5('r|'||row_key),1,1) as digit,
+from (select *, substr(md5('r|'||row_key),1,1) as digit, substr(md5('r|'||row_key),2,1) as before, substr(md5('r|'||row_key),3,1) as after, substr(md5('r|'||row_key),4,1) as shout,
+  case when substr(md5('n|'||row_key),1,2) <> '00' then mr_id end as mr,
   case when substr(md5('s|'||row_key),1,1) = '0' then 0 else 200 end as status,
   case when dataset = 'rte' then case when label = 0 then 'entailment' else 'not_entailment' end
-       when label = 0 then 'entailment' when label = 1 then 'neutral' else 'contradiction' end as gold
+       when label = 0 then 'entailment' when label = 1 then 'neutral' when substr(md5('g|'||row_key),1,1) = '0' then 'contradictory' else 'contradiction' end as gold
   from samples where mr_id <> 'none') q"""
 
 EXPERIMENTS = ("mettrain_small_one", "mettrain_small_two", "original_full_one", "original_full_two")
@@ -45,12 +56,6 @@ select experiment, seed, case when substr(md5('t|'||row_key),1,1) < '8' then 'or
 from predictions cross join (values {", ".join(f"('{e}')" for e in EXPERIMENTS)}) e(experiment) cross join (values {", ".join(f"({s})" for s in SEEDS)}) s(seed)
 where not (experiment = 'original_full_one' and seed = 43 and dataset = 'rte')"""
 
-MESSAGES = """
-select 'conv' as source_file, cast(conv_id as string) as pair_key, case when turn = 0 then 'none' when turn % 6 = 1 then 'negation_flip' when turn % 6 = 2 then 'antonym_substitution'
-  when turn % 6 = 3 then 'synonym_replacement' when turn % 6 = 4 then 'voice_switch' else 'conditional_clause' end as mr_id, turn, role, text
-from conversations"""
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -73,13 +78,9 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, RESULTS, predictions=predictions(spark, sf_dir))
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, MESSAGES, conversations=table(spark, sf_dir, "conversations"))
-
-
 def with_sql(*names: str) -> str:
     """The same tables as common table expressions."""
-    all_of = {"samples": SAMPLES, "predictions": PREDICTIONS, "results": RESULTS, "messages": MESSAGES}
+    all_of = {"samples": SAMPLES, "predictions": PREDICTIONS, "results": RESULTS}
     need = []
     for n in names:
         need += {"predictions": ["samples"], "results": ["samples", "predictions"]}.get(n, []) + [n]

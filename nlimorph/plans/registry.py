@@ -11,6 +11,7 @@ from nlimorph.functions import labels as L
 from nlimorph.operators import audit, evaluate, groups, instruct, score, seeds
 from nlimorph.plans import fixtures as fx
 from nlimorph.sources import jsonl, layouts
+from nlimorph.sources.scratch import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _all: dict[str, tuple[Query, str | None]] = {}
@@ -36,33 +37,54 @@ def oracle_sql() -> dict[str, str]:
     return {k: s for k, (_, s) in _all.items() if s}
 
 
-# Expected labels of the replies, by rule and task; '=' is the cleaned reply itself.
-_RULES = ("strict", "loose", "echo", "echo_plain")
-_TABLE = {
-    "0": "EEEEEEEE", "1": "NXNXNXNX", "2": "CXCXCXCX", "3": "-XEXEXXX", "4": "-XEXEX=X", "5": "EEEEEEEE", "6": "NXNXNX=X", "7": "EEEEEEEE",
-    "8": "NXNXNXNX", "9": "CXCXCCC=", "a": "CXCXCXCX", "b": "----====", "c": "----EE==", "d": "EXEXEX=X", "e": "CXCXCXCX", "f": "EXEXEE=X",
-}
-_NAMES = {"E": "entailment", "N": "neutral", "C": "contradiction", "X": "not_entailment"}
+# --- the reply rules as SQL over s (words only), t and u (cleaned), bare (letters and digits of t)
+
+
+def _in(c: str, *values: str) -> str:
+    return f"{c} in ({', '.join(repr(v) for v in values)})"
+
 
+def _case(*tests: tuple[str, str], otherwise: str = "null") -> str:
+    return "case " + " ".join(f"when {test} then {value}" for test, value in tests) + f" else {otherwise} end"
 
-def _expected(digit: str, at: int) -> str:
-    code = _TABLE[digit][at]
-    text = _NAMES.get(code) if code not in "-=" else None if code == "-" else fx.REPLIES[digit].strip().lower().rstrip(".!?,")
-    return "null" if text is None else f"'{text}'"
 
+def _short(c: str, otherwise: str = "null", *more: tuple[str, str]) -> str:
+    three = [(_in(c, "entailment", "entailed", "e", "0"), "'entailment'"), (_in(c, "neutral", "n", "1"), "'neutral'"), (_in(c, "contradiction", "contradictory", "contradict", "c", "2"), "'contradiction'")]
+    return _case(*three, *more, otherwise=otherwise)
 
-def _label_rows() -> str:
-    rows = [f"('{d}', {', '.join(_expected(d, k) for k in range(8))})" for d in _TABLE]
-    return "rules as (select * from (values " + ", ".join(rows) + ") v(digit, strict3, strict2, loose3, loose2, echo3, echo2, plain3, plain2))"
+
+_E, _X = "'entailment'", "'not_entailment'"
+_WHOLE = "(' '||s||' ')"
+_RULE_SQL = {
+    "strict3": _case((_in("s", "entailment", "neutral", "contradiction"), "s"), ("contains(' '||s, ' not entail')", "null"), *[(f"contains({_WHOLE}, ' {w} ')", f"'{w}'") for w in ("entailment", "neutral", "contradiction")], otherwise=_short("s")),
+    "strict2": _case(("s = 'not entailment'", _X), (_in("s", "entailment", "entailed", "e", "0"), _E), *[(f"contains({_WHOLE}, ' {w} ')", _X) for w in ("not entailment", "neutral", "contradiction", "contradictory", "contradict")], (_in("s", "n", "1", "c", "2"), _X)),
+    "loose3": _case(*[(f"contains(t, '{w}')", f"'{w}'") for w in ("entailment", "neutral", "contradiction")], otherwise=_short("bare")),
+    "loose2": _case(
+        (_in("t", "entailment", "entailed", "e", "0"), _E), *[(f"contains(t, '{w}')", _X) for w in ("not_entailment", "neutral", "contradict")], (_in("bare", "entailment", "entailed", "e", "0"), _E),
+        (_in("bare", "n", "1", "c", "2"), _X), ("contains(t, 'not') and contains(t, 'entail')", _X), ("contains(t, 'entail')", _E),
+    ),
+    "echo3": _case((_in("u", "entailment", "neutral", "contradiction"), "u"), *[(f"contains(u, '{w}') or contains('{w}', u)", f"'{w}'") for w in ("entailment", "neutral", "contradiction")], otherwise=_short("u", "u", (_in("u", "not_entailment", "not entailment"), _X))),
+    "echo2": _case(
+        (_in("u", "entailment", "not_entailment"), "u"), ("contains(u, 'entail') and not contains(u, 'not')", _E), *[(f"contains(u, '{w}')", _X) for w in ("not_entail", "not entail", "neutral", "contradict", "2")],
+        (_in("u", "entailed", "e", "0"), _E), (_in("u", "n", "1"), _X), *[(f"contains(u, '{w}') or contains('{w}', u)", f"'{w}'") for w in ("entailment", "neutral", "contradiction")], otherwise="u",
+    ),
+    "plain3": _short("u", "u"),
+    "plain2": _case(
+        (_in("u", "entailment", "not_entailment"), "u"), (_in("u", "entailed", "e", "0"), _E), *[(f"contains(u, '{w}')", _X) for w in ("neutral", "contradict", "2")],
+        ("contains(u, 'entail') and not contains(u, 'not')", _E), *[(f"contains(u, '{w}')", _X) for w in ("not_entail", "not entail", "1")], otherwise="u",
+    ),
+}
+_STRIPPED = r"lower(regexp_replace(reply, '^\s+|\s+$', '', 'g'))"
+_CLEANED = f"cleaned as (select *, trim(regexp_replace(t, '[^a-z0-9]+', ' ', 'g')) as s, regexp_replace(t, '[^a-z0-9]', '', 'g') as bare from (select *, rtrim({_STRIPPED}, '.!?') as t, rtrim({_STRIPPED}, '.!?,') as u from predictions))"
 
 
 def _pred(rule: str) -> str:
-    return f"case when task = 'nli-binary' then {rule}2 else {rule}3 end"
+    return f"case when task = 'nli-binary' then {_RULE_SQL[f'{rule}2']} else {_RULE_SQL[f'{rule}3']} end"
 
 
 def _with_pred(rule: str = "strict", where: str = "status = 200") -> str:
     """CTEs up to ``scored``: predictions with pred, unparsed ones left out."""
-    return fx.with_sql("predictions") + f", {_label_rows()}, judged as (select p.*, {_pred(rule)} as pred from predictions p join rules using (digit) where {where}), scored as (select * from judged where pred is not null)"
+    return fx.with_sql("predictions") + f", {_CLEANED}, judged as (select *, {_pred(rule)} as pred from cleaned where {where}), scored as (select * from judged where pred is not null)"
 
 
 def _scored(spark: SparkSession, sf_dir: str, rule: str = "strict") -> DataFrame:
@@ -78,11 +100,11 @@ def _sets(by: str = "dataset") -> str:
 
 def _replies(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
     p = fx.predictions(spark, sf_dir)
-    return p.groupBy("task", "reply", L.predicted(F.col("reply"), F.col("task"), rule).alias("pred")).agg(F.count("*").alias("n"))
+    return evaluate.with_prediction(p.groupBy("task", "reply").agg(F.count("*").alias("n")), rule).select("task", "reply", "pred", "n")
 
 
 def _replies_sql(rule: str) -> str:
-    return fx.with_sql("predictions") + f", {_label_rows()} select task, reply, {_pred(rule)} as pred, count(*) as n from predictions join rules using (digit) group by all"
+    return fx.with_sql("predictions") + f", {_CLEANED} select task, reply, {_pred(rule)} as pred, count(*) as n from cleaned group by all"
 
 
 @_query(_replies_sql("strict"))
@@ -107,7 +129,7 @@ def normalize_echo_plain(spark, sf_dir):
 
 @_query(
     fx.with_sql("predictions")
-    + """, g as (select task, reply, lower(trim(reply)) as s, count(*) as n from predictions group by all)
+    + """, g as (select task, reply, lower(regexp_replace(reply, '^\\s+|\\s+$', '', 'g')) as s, count(*) as n from predictions group by all)
 select task, reply, case when s in ('entailment', 'entailed', 'e', '0') then 'entailment' when s in ('neutral', 'n', '1') then 'neutral'
   when s in ('contradiction', 'contradictory', 'c', 'contradict', '2') then 'contradiction' else s end as gold_3,
   case when s in ('entailment', 'entailed', 'e', '0') then 'entailment' else 'not_entailment' end as gold_2, n from g"""
@@ -119,14 +141,14 @@ def gold_labels(spark, sf_dir):
 
 @_query(
     fx.with_sql("predictions")
-    + f""", {_label_rows()}, c as (select dataset, case when label = 0 then 'entailment' else 'not_entailment' end as gold, strict2 as pred from predictions join rules using (digit))
+    + f""", {_CLEANED}, c as (select dataset, case when gold in ('neutral', 'contradiction', 'contradictory') and task <> 'nli-binary' then 'not_entailment' else gold end as gold, {_RULE_SQL["strict2"]} as pred from cleaned)
 select dataset, gold, count(*) as n, count(*) filter (pred = lower(gold)) as n_correct from c group by all"""
 )
 def collapse_label(spark, sf_dir):
     p = fx.predictions(spark, sf_dir)
     two = F.lit("nli-binary")
-    p = p.select("dataset", L.collapse_label(F.col("gold"), F.col("task"), two).alias("gold"), L.predicted(F.col("reply"), two).alias("pred"))
-    return p.groupBy("dataset", "gold").agg(F.count("*").alias("n"), F.count_if(F.col("pred") == F.lower("gold")).alias("n_correct"))
+    p = evaluate.with_prediction(p.withColumn("gold", L.collapse_label(F.col("gold"), F.col("task"), two)).withColumn("task", two))
+    return evaluate.with_correct(p).groupBy("dataset", "gold").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"))
 
 
 # --- sources
@@ -188,26 +210,117 @@ def path_fields(spark, sf_dir):
     return layouts.with_path_fields(s.select(path.alias("path"))).groupBy("dataset", "mr", "stem", "task").agg(F.count("*").alias("n"))
 
 
-@_query(
-    fx.with_sql("samples")
-    + """, r as (select *, row_number() over (partition by dataset, mr_id order by row_key) as i from samples where dataset <> 'snli')
-select dataset, case when label = 0 then mr_id||'_file' else mr_id end as mr_type, count(*) as n from r where i <= 100 group by all"""
-)
+_ORDERED = "order by md5(row_key), row_key"
+
+
+@_query(fx.with_sql("samples") + " select dataset, case when label = 0 then mr_id||'_file' else mr_id end as mr_type, count(*) as n from samples group by all")
 def mr_dir_union(spark, sf_dir):
-    """Files of a folder in one table; the relation is the row's own or the file stem; first rows of some datasets."""
-    s = fx.samples(spark, sf_dir).where(F.col("dataset") != "snli")
-    rows = score.with_index(s.withColumn("mr_type", F.when(F.col("label") != 0, F.col("mr_id")).otherwise("")), ("dataset", "mr_id"), ("row_key",)).where(F.col("index") <= 100)
-    kind = F.coalesce(F.nullif(F.col("mr_type"), F.lit("")), F.concat("mr_id", F.lit("_file")))
-    return rows.groupBy("dataset", kind.alias("mr_type")).agg(F.count("*").alias("n"))
+    """Rows of a folder's files in one table; the relation is the row's own or the file stem."""
+    s = fx.samples(spark, sf_dir).select("dataset", F.when(F.col("label") != 0, F.col("mr_id")).otherwise("").alias("mr_type"), F.concat("mr_id", F.lit("_file")).alias("stem"))
+    return evaluate.mr_type_or_stem(s).groupBy("dataset", "mr_type").agg(F.count("*").alias("n"))
+
 
+@_query(fx.with_sql("samples") + f", r as (select *, row_number() over (partition by dataset, mr_id {_ORDERED}) as index from samples where dataset in ('mnlim', 'rte')) select dataset, mr_id, index, row_key from r where index <= 100")
+def first_rows(spark, sf_dir):
+    """The first rows of each relation of some datasets."""
+    rows = evaluate.only(fx.samples(spark, sf_dir), "dataset", ["mnlim", "rte"])
+    return evaluate.first_n(score.with_index(rows, ("dataset", "mr_id"), ("row_key",)), 100).select("dataset", "mr_id", "index", "row_key")
 
-@_query(fx.with_sql("predictions") + " select dataset, mr, row_number() over (partition by dataset, mr order by row_key) as index, row_key, case when status = 200 then reply end as reply from predictions")
+
+@_query(fx.with_sql("predictions") + f" select dataset, mr, row_number() over (partition by dataset, mr {_ORDERED}) as index, row_key, case when status = 200 then reply end as reply from predictions")
 def combine_predictions(spark, sf_dir):
     p = score.with_index(fx.predictions(spark, sf_dir), ("dataset", "mr"), ("row_key",))
     good = p.where(F.col("status") == 200).select("dataset", "mr", "index", "row_key", "reply")
     return evaluate.combine([good, p.where(F.col("status") != 200).select("dataset", "mr", "index", "row_key")])
 
 
+# --- files written to the shared folder and read back
+
+
+def _named(folder: str, end: str):
+    return lambda values, k: folder.format(**values) + f"_{k:05d}{end}"
+
+
+@_query(fx.with_sql("samples") + " select dataset, mr_id as mr, task, case when label = 0 then 'own' else 'file' end as of, count(*) as n, count(distinct premise) as n_premises from samples where mr_id <> 'none' group by all")
+def mr_folders(spark, sf_dir):
+    """Test files by dataset and relation, read as folders."""
+    s = fx.samples(spark, sf_dir).where(F.col("mr_id") != "none")
+    root = new_folder(spark, "tests")
+    line = F.to_json(F.struct("premise", "hypothesis", "label", F.when(F.col("label") == 0, F.lit("own")).otherwise("").alias("mr_type")))
+    layouts.write_layout(s.select(line.alias("value"), "dataset", "mr_id"), root, ["dataset", "mr_id"], _named("{dataset}_test_MR/{dataset}_test_{mr_id}", ".json"))
+    rows = layouts.read_mr_dir(spark, root)
+    fields = rows.select("dataset", "mr", "task", F.lit("file").alias("stem"), F.try_variant_get("v", "$.mr_type", "string").alias("mr_type"), F.try_variant_get("v", "$.premise", "string").alias("premise"))
+    return evaluate.mr_type_or_stem(fields).groupBy("dataset", "mr", "task", F.col("mr_type").alias("of")).agg(F.count("*").alias("n"), F.countDistinct("premise").alias("n_premises"))
+
+
+@_query(
+    fx.with_sql("predictions")
+    + f""", {_CLEANED}, judged as (select *, {_pred("loose")} as pred from cleaned where status = 200 and mr is not null and substr(md5('j|'||row_key),1,1) not in ('0', '1')), scored as (select * from judged where pred is not null)
+select 'model_a' as model, dataset, mr, count(*) as total, count(*) filter (gold <> pred) as errors from scored group by all"""
+)
+def prediction_folders(spark, sf_dir):
+    """Predictions as folders by model and dataset with a combined file beside them, which is left out; error rates of what is read."""
+    lines = fx.prediction_lines(fx.predictions(spark, sf_dir).where(F.col("mr").isNotNull())).select("value", "dataset", "mr")
+    root = new_folder(spark, "predictions")
+    layouts.write_layout(lines, root, ["dataset", "mr"], lambda v, k: f"model_a/{v['dataset']}/{v['mr']}~{k:05d}.jsonl")
+    layouts.write_layout(lines.withColumn("mr", F.lit("all")), f"{root}_all", ["dataset", "mr"], lambda v, k: f"model_a/{v['dataset']}/{k:05d}_all.jsonl")
+    rows = layouts.read_predictions(spark, [root, f"{root}_all"])
+    p = rows.select("model", "dataset", F.regexp_extract("mr", "^([^~]*)", 1).alias("mr"), jsonl.prediction_fields(F.col("v")).alias("p")).select("model", "dataset", "mr", "p.*")
+    scored = evaluate.parsed(evaluate.with_prediction(evaluate.scorable(p), "loose"))
+    return scored.groupBy("model", "dataset", "mr").agg(F.count("*").alias("total"), F.count_if(evaluate.wrong()).alias("errors"))
+
+
+@_query(
+    fx.with_sql("results")
+    + """ select experiment, seed, test_type, dataset, count(*) filter (not malformed) as total, count(*) filter (not malformed and correct) as n_correct, count(*) filter (malformed) as n_malformed,
+  coalesce(count(*) filter (not malformed and correct) / nullif(count(*) filter (not malformed), 0), 0) * 100 as accuracy from results group by all"""
+)
+def experiment_folders(spark, sf_dir):
+    """Results as folders by experiment, seed and test, broken lines among them; accuracy of what is read."""
+    r = fx.results(spark, sf_dir)
+    line = F.to_json(F.struct("correct"))
+    root = new_folder(spark, "experiments")
+    layouts.write_layout(r.select(F.when(F.col("malformed"), F.concat(line, F.lit(" tail"))).otherwise(line).alias("value"), "experiment", "seed", "test_type", "dataset"), root, ["experiment", "seed", "test_type", "dataset"], lambda v, k: f"{k:05d}/{v['experiment']}_seed{v['seed']}/tests/{v['test_type']}/{v['dataset']}.jsonl")
+    return seeds.seed_accuracy(layouts.read_experiment_tests(spark, root))
+
+
+@_query(
+    fx.with_sql("results")
+    + f""", grid as (select * from (values {", ".join(f"('{e}')" for e in fx.EXPERIMENTS)}) e(experiment) cross join (values (42), (43), (44)) s(seed) cross join (select distinct test_type, dataset from results))
+select experiment, seed, test_type, dataset, '/data/'||dataset as path from grid"""
+)
+def config_grid(spark, sf_dir):
+    """A configuration file with a test set for each kind and dataset of the results, read back and spread to the expected grid."""
+    sets = fx.results(spark, sf_dir).select("test_type", "dataset").distinct()
+    by_type = sets.groupBy("test_type").agg(F.map_from_entries(F.collect_list(F.struct("dataset", F.concat(F.lit("/data/"), "dataset")))).alias("sets"))
+    names = F.array(*[F.struct(F.lit(e).alias("name"), F.lit(5).alias("target")) for e in fx.EXPERIMENTS])
+    config = by_type.agg(F.map_from_entries(F.collect_list(F.struct("test_type", "sets"))).alias("test_sets")).select(names.alias("experiments"), "test_sets")
+    path = new_folder(spark, "config")
+    config.write.json(path)
+    experiments, tests = layouts.read_config(spark, path)
+    grid = seeds.expected_grid(experiments.select(F.col("name").alias("experiment")), list(fx.SEEDS), tests)
+    return grid.join(tests, ["test_type", "dataset"]).select("experiment", "seed", "test_type", "dataset", "path")
+
+
+@_query(fx.with_sql("samples") + " select dataset, mr_id, task, count(*) as n, sum(length(premise))::bigint as n_chars from samples group by all")
+def jsonl_round_trip(spark, sf_dir):
+    """Rows written as JSON lines by dataset and read back."""
+    path = new_folder(spark, "rows")
+    jsonl.write_jsonl(fx.samples(spark, sf_dir).withColumn("part", F.col("dataset")), path, ("part",))
+    v = [F.try_variant_get("v", f"$.{c}", "string").alias(c) for c in ("dataset", "mr_id", "task", "premise")]
+    return jsonl.read_jsonl(spark, path, mode="fail").select(*v).groupBy("dataset", "mr_id", "task").agg(F.count("*").alias("n"), F.sum(F.length("premise")).alias("n_chars"))
+
+
+@_query(fx.with_sql("samples") + " select dataset, count(*) as n, count(distinct premise) as n_premises from samples group by all")
+def large_json_files(spark, sf_dir):
+    """Files above the size for whole reading: the same rows, read as lines."""
+    path = new_folder(spark, "large")
+    jsonl.write_jsonl(fx.samples(spark, sf_dir).withColumn("part", F.col("dataset")), path, ("part",))
+    rows = jsonl.read_json_any(spark, path, whole_up_to=4096)
+    v = [F.try_variant_get("v", f"$.{c}", "string").alias(c) for c in ("dataset", "premise")]
+    return rows.select(*v).groupBy("dataset").agg(F.count("*").alias("n"), F.countDistinct("premise").alias("n_premises"))
+
+
 # --- evaluation
 
 
@@ -260,7 +373,12 @@ def error_cases(spark, sf_dir):
     return evaluate.error_cases(_scored(spark, sf_dir), "row_key", "premise", "hypothesis")
 
 
-@_query(_with_pred() + " select dataset, mr, count(*) filter (gold = pred) as correct, count(*) as total, count(*) filter (gold = pred) / count(*) as accuracy from scored group by all")
+@_query(_with_pred() + " select dataset, mr, row_key, gold, pred from scored where gold <> pred order by row_key limit 3")
+def first_errors(spark, sf_dir):
+    return audit.first_k(evaluate.error_cases(_scored(spark, sf_dir), "row_key"), 3, "row_key")
+
+
+@_query(_with_pred() + " select dataset, coalesce(mr, '?') as mr, count(*) filter (gold = pred) as correct, count(*) as total, count(*) filter (gold = pred) / count(*) as accuracy from scored group by all")
 def breakdown_mr(spark, sf_dir):
     return evaluate.breakdown(_scored(spark, sf_dir), "dataset", "mr")
 
@@ -328,9 +446,15 @@ def group_size_hist(spark, sf_dir):
 _PRIMARY = "c as (select source_file, pair_key, label, count(*) as n from samples group by all), prim as (select source_file, pair_key, first(label order by n desc, label) as primary_label, sum(n)::bigint as n_rows from c group by all)"
 
 
-@_query(fx.with_sql("samples") + f", {_PRIMARY} select source_file, pair_key, primary_label, n_rows from prim")
+_MIXED = "mixed as (select * replace (case when prompt_tokens % 7 = 0 then 0 when prompt_tokens % 7 = 1 then label + 5000000000 else label end as label) from samples)"
+
+
+@_query(fx.with_sql("samples") + f", {_MIXED}, {_PRIMARY.replace('from samples', 'from mixed')} select source_file, pair_key, primary_label, n_rows from prim")
 def primary_label(spark, sf_dir):
-    return groups.primary_label(fx.samples(spark, sf_dir).withColumn("label", F.col("label").cast("string"))).withColumn("primary_label", F.col("primary_label").cast("int"))
+    """Labels as text: numbers, large numbers and words, which count as 0."""
+    kind, label = F.col("prompt_tokens") % 7, F.col("label").cast("long")
+    text = F.when(kind == 0, "word").when(kind == 1, (label + 5_000_000_000).cast("string")).otherwise(label.cast("string"))
+    return groups.primary_label(fx.samples(spark, sf_dir).withColumn("label_is_int", kind != 0).withColumn("label", text))
 
 
 _GROUPS = "g as (select source_file, pair_key, count(*) as n_rows from samples group by all)"
@@ -386,6 +510,44 @@ def group_integrity(spark, sf_dir):
     return groups.check_group_integrity(s, s.where(F.col("prompt_tokens") < 45))
 
 
+@_query(fx.with_sql("samples") + f", {_SPLIT}, a as (select source_file, pair_key from split where split = 'train'), b as (select source_file, pair_key from split where split = 'val') select (select count(*) from a) as n_train, (select count(*) from b) as n_val, (select count(*) from (from a intersect from b)) as n_shared, (select count(*) from (from a intersect (from a where source_file = 'rte'))) as n_shared_rte")
+def split_parts_are_disjoint(spark, sf_dir):
+    """No group in both parts; a part and a piece of itself share that piece."""
+    g = groups.split_groups(groups.pair_groups(fx.samples(spark, sf_dir)), RATIO, SEED + 999)
+    a, b = g.where(F.col("split") == "train"), g.where(F.col("split") == "val")
+    counts = [t.agg(F.count("*").alias(n)) for t, n in ((a, "n_train"), (b, "n_val"), (groups.shared_groups(a, b), "n_shared"), (groups.shared_groups(a, evaluate.only(a, "source_file", ["rte"])), "n_shared_rte"))]
+    return counts[0].crossJoin(counts[1]).crossJoin(counts[2]).crossJoin(counts[3])  # one row each
+
+
+@_query(fx.with_sql("samples") + f", {_GROUPS}, t as (select *, coalesce(sum(n_rows) over ({_ORDER} rows between unbounded preceding and 1 preceding), 0) as before from g) select row_key, mr_id, label from samples semi join (select source_file, pair_key from t where before < {TARGET}) k using (source_file, pair_key)")
+def sampled_rows(spark, sf_dir):
+    s = fx.samples(spark, sf_dir)
+    return groups.rows_of(s, groups.sample_groups(groups.pair_groups(s), TARGET, SEED)).select("row_key", "mr_id", "label")
+
+
+@_query(
+    fx.with_sql("samples")
+    + f""", {_SPLIT}, n as (select split.*, n_rows from split join g using (source_file, pair_key)),
+d as (select source_file, pair_key, 'split' as side from n where source_file = 'snli' union all select source_file, pair_key, 'data' from n where source_file = 'rte' union all select source_file, pair_key, 'manifest' from n where source_file = 'sick')
+select {SEED + 999}::bigint as seed, {RATIO}::double as ratio, count(*) filter (split = 'train') as n_train_groups, count(*) filter (split = 'val') as n_val_groups, (sum(n_rows) filter (split = 'train'))::bigint as n_train_rows,
+  (sum(n_rows) filter (split = 'val'))::bigint as n_val_rows, string_agg(distinct source_file, ',' order by source_file) as files, true as differs, (select count(*) from d where side = 'data') as n_data, (select count(*) from d where side = 'manifest') as n_manifest, (select count(*) from d where side = 'split') as n_split
+from n where source_file <> 'rte'"""
+)
+def manifest_round_trip(spark, sf_dir):
+    """A written manifest with its facts, held against data that lacks a file, has another, splits a third otherwise and has another signature."""
+    s = fx.samples(spark, sf_dir)
+    all_groups = groups.split_groups(groups.pair_groups(s), RATIO, SEED + 999)
+    path = new_folder(spark, "manifest")
+    groups.write_manifest(all_groups.where(F.col("source_file") != "rte"), path, SEED + 999, RATIO, "0" * 16)
+    facts = groups.manifest_facts(spark, path)
+    turned = F.when(F.col("source_file") != "snli", F.col("split")).when(F.col("split") == "val", "train").otherwise("val")
+    other = groups.verify_manifest(all_groups.where(F.col("source_file") != "sick").withColumn("split", turned), groups.read_manifest(spark, path))
+    counts = other.agg(*[F.count_if(F.col("side") == x).alias(f"n_{x}") for x in ("data", "manifest", "split")])
+    check = groups.signature_check(facts, audit.data_signature(s)).select("differs")
+    named = facts.select("seed", "ratio", "n_train_groups", "n_val_groups", "n_train_rows", "n_val_rows", F.array_join("source_files", ",").alias("files"))
+    return named.crossJoin(check).crossJoin(counts)  # one row each
+
+
 # --- source join and instructions
 
 _SOURCE = "src as (select source_file, pair_key, any_value(premise) as sp, any_value(hypothesis) as sh, any_value(label) as sl from samples where mr_id = 'none' group by all having count(*) = 1)"
@@ -401,6 +563,11 @@ def source_problems(spark, sf_dir):
     return instruct.source_problems(fx.samples(spark, sf_dir))
 
 
+@_query(fx.with_sql("samples") + " select source_file, pair_key, count(*) filter (mr_id = 'none') as n_sources, case when count(*) filter (mr_id = 'none') = 0 then 'no source' else 'several sources' end as problem from samples group by all having count(*) filter (mr_id = 'none') <> 1 order by source_file, pair_key limit 5")
+def first_problems(spark, sf_dir):
+    return audit.first_k(instruct.source_problems(fx.samples(spark, sf_dir)), 5, "source_file", "pair_key")
+
+
 def _catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(instruct.CATALOG, CATALOG)
 
@@ -467,7 +634,7 @@ def mr_id_audit(spark, sf_dir):
     return instruct.mr_id_audit(s.select(L.normalize_mr_id(raw).alias("mr_id")), known)
 
 
-@_query(f"with b as ({_instructions_sql('full_oracle')}), {fx.with_sql('samples')[5:]}, {_CATALOG_SQL} select count(*) as n_rows, count(*) filter (contains(instruction, mr_id)) as names_mr, count(*) filter (effect_text <> '' and contains(instruction, effect_text)) as shows_effect, count(*) filter (contains(instruction, premise) and contains(instruction, hypothesis)) as shows_own_pair from samples join b using (row_key) left join cat using (mr_id)")
+@_query(f"with b as ({_instructions_sql('full_oracle')}), {fx.with_sql('samples')[5:]}, {_CATALOG_SQL}, {_SOURCE} select count(*) as n_rows, count(*) filter (sp is not null and contains(case when ends_with(instruction, {_TASK}) then left(instruction, length(instruction) - length({_TASK})) else instruction end, {_OUT.format('sl')})) as names_source_label, count(*) filter (contains(instruction, mr_id)) as names_mr, count(*) filter (effect_text <> '' and contains(instruction, effect_text)) as shows_effect, count(*) filter (contains(instruction, premise) and contains(instruction, hypothesis)) as shows_own_pair from samples join b using (row_key) left join cat using (mr_id) left join src using (source_file, pair_key)")
 def leak_audit(spark, sf_dir):
     return instruct.leak_audit(_built(spark, sf_dir, "full_oracle"))
 
@@ -491,15 +658,26 @@ def length_stats(spark, sf_dir):
     return audit.length_stats(_built(spark, sf_dir, "relation_aware"), F.length("instruction"), 250)
 
 
-@_query(None)
+_FIELDS = ("completion_tokens", "dataset", "hypothesis", "label", "label_is_int", "mr_id", "pair_key", "premise", "prompt_tokens", "row_key", "source_file", "task")
+_JSON = "'{'||" + "||','||".join(f"""'"{c}":'||""" + (c if c in ("completion_tokens", "label", "label_is_int", "prompt_tokens") else f"""'"'||{c}||'"'""") for c in _FIELDS) + "||'}'"
+
+
+@_query(fx.with_sql("samples") + f", x as (select ('0x'||substr(sha256({_JSON}),1,15))::bigint as x from samples), y as (select count(*) as n, bit_xor(x) as b, sum(x::hugeint)::varchar as t from x) select n as n_rows, substr(sha256(n||'|'||b||'|'||t),1,16) as signature from y")
 def data_signature(spark, sf_dir):
     return audit.data_signature(fx.samples(spark, sf_dir))
 
 
 # --- prompts and scoring
 
-_PROMPT = "'Premise: '||premise||chr(10)||'Hypothesis: '||hypothesis||chr(10)||'Question: Is the hypothesis entailed by the premise? Answer ONLY with one of: '||case when task = 'nli-binary' then 'entailment, not_entailment.' else 'entailment, neutral, contradiction.' end"
-_INDEX = "row_number() over (partition by dataset, mr_id order by row_key) as index"
+
+
+def _prompt_sql(template: str) -> str:
+    text = _quoted(template).replace("\n", "'||chr(10)||'").replace("{premise}", "'||premise||'").replace("{hypothesis}", "'||hypothesis||'")
+    return f"({text})"
+
+
+_PROMPT = f"case when task = 'nli-binary' then {_prompt_sql(L.PROMPTS['nli-binary'])} else {_prompt_sql(L.PROMPTS['nli'])} end"
+_INDEX = f"row_number() over (partition by dataset, mr_id {_ORDERED}) as index"
 
 
 @_query(fx.with_sql("samples") + f" select dataset, mr_id, {_INDEX}, {_PROMPT} as prompt from samples")
@@ -514,11 +692,11 @@ def pending_rows(spark, sf_dir):
     return score.pending(rows, done, ("dataset", "mr_id", "index")).select("dataset", "mr_id", "index")
 
 
-@_query(None)
+@_query(fx.with_sql("samples") + f", p as (select row_key, dataset, task, {_PROMPT} as prompt from samples) select row_key, dataset, case when length(prompt) % 2 = 0 then 'entailment' when task = 'nli-binary' then 'not_entailment' else 'contradiction' end as pred from p")
 def score_stub(spark, sf_dir):
-    """Scoring with a stand-in model: the label named last in the prompt."""
+    """Scoring with a stand-in model: by the prompt's length, the first or the last label it names."""
     rows = score.prompts(fx.samples(spark, sf_dir)).select("row_key", "dataset", "prompt")
-    return score.score(rows, lambda batch: [p.rstrip(".").split(", ")[-1] for p in batch]).select("row_key", "dataset", "pred")
+    return score.score(rows, lambda batch: ["entailment" if len(p) % 2 == 0 else p.rstrip(".").split(" ")[-1] for p in batch]).select("row_key", "dataset", "pred")
 
 
 @_query(fx.with_sql("predictions") + " select dataset, count(*) as total, count(*) filter (status = 200) as succeeded, count(*) filter (status <> 200) as failed from predictions group by all")
@@ -532,6 +710,13 @@ _CELLS = "cells as (select experiment, seed, test_type, dataset, count(*) filter
 _GRID = "grid as (select * from (values " + ", ".join(f"('{e}')" for e in fx.EXPERIMENTS) + ") e(experiment) cross join (values " + ", ".join(f"({s})" for s in fx.SEEDS) + ") s(seed) cross join (select distinct test_type, dataset from results))"
 
 
+@_query(fx.with_sql("results") + " select experiment, seed, dataset||' '||test_type as label, count(*) as n from results group by all")
+def experiment_names(spark, sf_dir):
+    """Base name and seed out of run names, and the column label of each test."""
+    r = fx.results(spark, sf_dir).select(F.concat("experiment", F.lit("_seed"), F.col("seed").cast("string")).alias("run"), "test_type", "dataset")
+    return r.select(L.experiment_of(F.col("run")).alias("e"), L.column_label(F.col("test_type"), F.col("dataset")).alias("label")).groupBy("e.experiment", "e.seed", "label").agg(F.count("*").alias("n"))
+
+
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.seed_accuracy(fx.results(spark, sf_dir))
 

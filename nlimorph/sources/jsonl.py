@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nlimorph.functions.labels import py_strip
+from nlimorph.functions.settle import settled
 
 #: Key names by preference.
 PREMISE = ("premise", "sentence1", "sentence1_text", "text_a")
@@ -15,24 +16,39 @@ TEXT = ("input", "prompt", "text", "source")
 LISTS = ("data", "examples", "tests")
 
 
+WHOLE_UP_TO = 100 << 20
+
+
+def _alone(line: Column) -> Column:
+    """The text parsed as the only item of a list: an array of one value, if it is one value."""
+    return F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))), "$", "array<variant>")
+
+
+def _closed(line: Column) -> Column:
+    """Whether the text also parses inside an object; so it does not close the list around it."""
+    return F.try_parse_json(F.concat(F.lit('{"x":'), line, F.lit("}"))).isNotNull()
+
+
 def is_json_value(line: Column) -> Column:
     """Whether the text is exactly one JSON value; parsing alone would accept what follows one."""
-    one = F.size(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))), "$", "array<variant>")) == 1
-    return F.coalesce(one & F.try_parse_json(F.concat(F.lit('{"x":'), line, F.lit("}"))).isNotNull(), F.lit(False))
+    return F.coalesce((F.size(_alone(line)) == 1) & _closed(line), F.lit(False))
 
 
 def parse_lines(df: DataFrame, col: str = "value", mode: str = "drop") -> DataFrame:
-    """df with ``v``, the parsed line; blank lines go. ``mode``: drop malformed lines, flag them, or fail."""
-    rows = df.where(py_strip(F.col(col)) != "")
-    ok = is_json_value(F.col(col))
-    parsed = F.when(ok, F.try_parse_json(F.col(col)))
-    if mode == "fail":
-        return rows.withColumn("v", F.when(ok, F.try_parse_json(F.col(col))).otherwise(F.raise_error(F.concat(F.lit("not JSON: "), F.col(col)))))
-    if mode == "flag":
-        return rows.withColumn("v", parsed).withColumn("malformed", ~ok)
-    if mode != "drop":
+    """df with ``v``, the parsed line; blank lines go. ``mode``: drop malformed lines, flag them, or fail.
+
+    A line is parsed once for its value and once more to check where it ends.
+    """
+    if mode not in ("drop", "flag", "fail"):
         raise ValueError(f"unknown mode {mode}")
-    return rows.where(ok).withColumn("v", F.try_parse_json(F.col(col)))
+    rows = df.where(py_strip(F.col(col)) != "").withColumn("_items", _alone(F.col(col)))
+    good = (F.size("_items") == 1) & _closed(F.col(col))
+    read = settled(rows, "_line", F.struct(F.when(good, F.get("_items", F.lit(0))).alias("v"), F.coalesce(good, F.lit(False)).alias("ok")))
+    v, ok = F.col("_line.v"), F.col("_line.ok")
+    if mode == "fail":
+        v = F.when(ok, v).otherwise(F.raise_error(F.concat(F.lit("not JSON: "), F.col(col))))
+    out = read.where(ok) if mode == "drop" else read
+    return out.select(*df.columns, v.alias("v"), *([(~ok).alias("malformed")] if mode == "flag" else []))
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], mode: str = "drop") -> DataFrame:
@@ -43,18 +59,28 @@ def read_jsonl(spark: SparkSession, path: str | list[str], mode: str = "drop") -
 
 def parse_whole(df: DataFrame, col: str = "value") -> DataFrame:
     """Items of whole files: those of an array, of an object's list, the object itself, or of JSON lines; with ``item``, the number inside."""
-    whole = F.try_parse_json(F.col(col))
-    array = F.try_variant_get(whole, "$", "array<variant>")
-    lists = [F.try_variant_get(whole, f"$.{k}", "array<variant>") for k in LISTS]
-    lines = F.filter(F.transform(F.split(F.col(col), r"\r?\n"), lambda s: F.when(is_json_value(s), F.try_parse_json(s))), lambda v: v.isNotNull())
-    items = F.when(is_json_value(F.col(col)), F.coalesce(array, *lists, F.array(whole))).otherwise(lines)
     rest = [c for c in df.columns if c != col]
-    return df.select(*rest, F.posexplode(items).alias("item", "v"))
-
-
-def read_json_any(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    files = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path)
-    return parse_whole(files.select(F.col("_metadata.file_path").alias("path"), "value"))
+    rows = df.withColumn("_items", _alone(F.col(col)))
+    whole = F.when((F.size("_items") == 1) & _closed(F.col(col)), F.get("_items", F.lit(0)))
+    read = settled(rows, "_file", F.struct(whole.alias("v"), F.col(col).alias("text")))
+    v = F.col("_file.v")
+    array = F.try_variant_get(v, "$", "array<variant>")
+    lists = [F.try_variant_get(v, f"$.{k}", "array<variant>") for k in LISTS]
+    lines = F.filter(F.transform(F.split(F.col("_file.text"), r"\r?\n"), lambda s: F.when(is_json_value(s), F.try_parse_json(s))), lambda x: x.isNotNull())
+    items = F.when(v.isNotNull(), F.coalesce(array, *lists, F.array(v))).otherwise(lines)
+    return read.select(*rest, F.posexplode(items).alias("item", "v"))
+
+
+def read_json_any(spark: SparkSession, path: str | list[str], whole_up_to: int = WHOLE_UP_TO) -> DataFrame:
+    """(path, item, v) of JSON files of any form; files of more than ``whole_up_to`` bytes are read as JSON lines, split between tasks.
+
+    ``item`` numbers the values of a file; in those large files it only tells them apart.
+    """
+    read = spark.read.option("recursiveFileLookup", True)
+    size, name = F.col("_metadata.file_size"), F.col("_metadata.file_path").alias("path")
+    small = parse_whole(read.option("wholetext", True).text(path).where(size <= whole_up_to).select(name, "value"))
+    large = parse_lines(read.option("wholetext", False).text(path).where(size > whole_up_to).select(name, "value"))
+    return small.withColumn("item", F.col("item").cast("long")).unionByName(large.select("path", F.monotonically_increasing_id().alias("item"), "v"))
 
 
 def _present(v: Column, keys: tuple[str, ...]) -> Column:

@@ -55,6 +55,30 @@ def test_null_gold_is_an_error_or_dropped(spark):
     assert evaluate.error_cases(kept).count() == 1
 
 
+def test_rows_without_relation_count(spark):
+    df = spark.createDataFrame([("d", None, "e", "e"), ("d", None, "e", "n"), ("d", "m", "e", "e")], "dataset string, mr string, gold string, pred string")
+    got = {(r.dataset, r.mr, r.level): (r.total, r.errors) for r in evaluate.mrv_cube(df).collect()}
+    assert got["d", None, "dataset"] == (3, 1) and got["d", None, "cell"] == (2, 1) and got[None, None, "all"] == (3, 1)
+
+
+def test_suffixes_are_no_patterns(spark):
+    rows = [("e_3.5b", 1, "mr", "snli", 80.0), ("e_375b", 1, "mr", "snli", 10.0), ("e_4+b", 1, "mr", "snli", 70.0)]
+    cells = spark.createDataFrame(rows, "experiment string, seed int, test_type string, dataset string, accuracy double")
+    assert seeds.compare_models(cells, "_3.5b", "_4+b", 1).first().delta == 10.0
+
+
+def test_index_by_hash_order(spark):
+    import hashlib
+
+    from nlimorph.operators import score
+
+    df = spark.createDataFrame([("d" if k % 3 else None, f"r{k}") for k in range(500)], "dataset string, row_key string")
+    got = {(r.dataset, r.row_key): r["index"] for r in score.with_index(df.repartition(7), ("dataset",), ("row_key",)).collect()}
+    for d in ("d", None):
+        names = sorted((k for x, k in got if x == d), key=lambda k: hashlib.md5(k.encode()).hexdigest())
+        assert [got[d, k] for k in names] == list(range(1, len(names) + 1))
+
+
 def test_seeds(spark):
     rows = [("e_one", s, "mr", "snli", a) for s, a in ((42, 80.0), (43, 82.0), (44, 84.0))] + [("e_two", s, "mr", "snli", a) for s, a in ((42, 70.0), (43, 71.0))]
     cells = spark.createDataFrame(rows, "experiment string, seed int, test_type string, dataset string, accuracy double")
@@ -75,4 +99,5 @@ def test_scoring_survives_a_failing_batch(spark):
         return ["e"] * len(batch)
 
     df = spark.createDataFrame([("a",), ("bad",), ("b",)], "prompt string").coalesce(1)
+    assert {r.pred for r in score.score(df, lambda batch: ["e"] * (len(batch) + 1)).collect()} == {"ERROR"}
     assert [r.pred for r in score.score(df, predict, batch_size=1).collect()] == ["e", "ERROR", "e"]

@@ -77,3 +77,17 @@ def test_integrity(spark):
     df = rows(spark, [2, 3])
     got = {r.pair_key: r.whole for r in groups.check_group_integrity(df, df.where(~((F.col("pair_key") == "g1") & (F.col("label") == 2)))).collect()}
     assert got == {"g0": True, "g1": False}
+
+
+def test_large_and_word_labels(spark):
+    data = [("f", "a", "5000000001", True), ("f", "a", "5000000001", True), ("f", "a", "1", True), ("f", "b", "word", False), ("f", "b", "-2", True), ("f", "b", "-2", True)]
+    got = groups.primary_label(spark.createDataFrame(data, "source_file string, pair_key string, label string, label_is_int boolean")).collect()
+    assert {r.pair_key: r.primary_label for r in got} == {"a": 5000000001, "b": -2}
+
+
+def test_parts_share_no_group_and_manifests_tell_splits_apart(spark):
+    g = groups.split_groups(groups.pair_groups(rows(spark, [2] * 10)), 0.2, 3)
+    train, val = g.where("split = 'train'"), g.where("split = 'val'")
+    assert groups.shared_groups(train, val).count() == 0 and groups.shared_groups(train, g).count() == 8
+    turned = g.withColumn("split", F.when(F.col("pair_key") == "g0", "other").otherwise(F.col("split")))
+    assert [tuple(r) for r in groups.verify_manifest(turned, g).collect()] == [("f", "g0", "split")]

@@ -52,4 +52,6 @@ def test_audits(spark):
     with pytest.raises(ValueError, match="unknown"):
         instruct.mr_id_audit(table(spark), known, strict=True)
     built = instruct.build_instructions(table(spark), "pair_operation")
-    assert tuple(instruct.leak_audit(built).first()) == (6, 0, 0, 0)
+    assert tuple(instruct.leak_audit(built).first()) == (6, 0, 0, 0, 0)
+    oracle = instruct.leak_audit(instruct.build_instructions(table(spark), "full_oracle")).first()
+    assert (oracle.shows_effect, oracle.names_source_label, oracle.names_mr) == (1, 1, 0)
