@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -257,10 +257,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(by_print, "lo").select(id_col, named, "component_id")
 
 
-#: The general form: a 256-bit SimHash of the distinct words, with eight blocks and a looser bound on its first 64 bits.
+#: The general form: a 256-bit SimHash of the set of shingles, with eight blocks and a looser bound on its first 64 bits.
 WORDS = ["lo", "s1", "s2", "s3"]
 LOOSE_BITS = 16
-VERIFY_GROUP = 512
+#: A group of texts that are verified together: so many texts, or so many bytes of them.
+VERIFY_GROUP, VERIFY_BYTES = 512, 4 << 20
 #: MinHash of the shingle sets, for edits that change whole passages: pairs at similarity 0.8 share a band but for one in 20,000.
 BAND, BANDS = 5, 25
 FACTORS = mix64(np.arange(1, BAND * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -284,25 +285,26 @@ def bands_of(least: np.ndarray) -> tuple[int, np.ndarray]:
 
 
 def _sketches(df: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """Every row as struct ``doc`` with a row number, the 256-bit SimHash of its distinct words, and digest and MinHash of its shingle set."""
+    """Every row as struct ``doc`` with a row number, the bytes of its text, and SimHash, digest and MinHash of its set of shingles."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = T.StructType().add("doc", df.schema).add("row", T.LongType()).add("lo", T.LongType()).add("s1", T.LongType()).add("s2", T.LongType()).add("s3", T.LongType())
-    schema = schema.add("content", T.StringType()).add("sketch", T.LongType()).add("bands", T.ArrayType(T.LongType()))
+    schema = schema.add("content", T.StringType()).add("sketch", T.LongType()).add("bands", T.ArrayType(T.LongType())).add("bytes", T.LongType())
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for whole in batches:
             for batch in split_batch(whole, text_col, 2 << 20):
-                sketches, content, bits, bands = [], [], [], []
+                sketches, content, bits, bands, sizes = [], [], [], [], []
                 for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
-                    hashes, sketch = np.unique(shingle_hashes(text or "", 1)), []
+                    shingles = np.unique(shingle_hashes(text or "", shingle))
+                    hashes, sketch = shingles, []
                     for _ in WORDS:
                         sketch.append(_bits_over_half(hashes) if len(hashes) else 0)
                         hashes = mix64(hashes)
                     sketches.append(sketch)
-                    shingles = np.unique(shingle_hashes(text or "", shingle))
+                    sizes.append(len(text) if text else 0)
                     content.append(xxhash.xxh3_128_hexdigest(shingles.tobytes()))
                     one, keys = bands_of(min_hashes(shingles))
                     bits.append(one)
@@ -311,7 +313,7 @@ def _sketches(df: DataFrame, text_col: str, shingle: int) -> DataFrame:
                 row += batch.num_rows
                 doc = pa.StructArray.from_arrays(batch.columns, fields=list(arrow.field("doc").type))
                 columns = [doc, rows, *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in zip(*sketches, strict=True)), pa.array(content, pa.string()), pa.array(bits, pa.int64())]
-                columns.append(pa.array(bands, arrow.field("bands").type))
+                columns += [pa.array(bands, arrow.field("bands").type), pa.array(sizes, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.mapInArrow(run, schema)
@@ -329,7 +331,7 @@ def _verified(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float
             _, number, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
             holder = np.repeat(np.arange(len(rows), dtype=np.int32), size)[np.argsort(number, kind="stable")]
             first = np.cumsum(holders) - holders
-            label = np.arange(len(rows))
+            label = np.unique([m["label"] for m in rows], return_inverse=True)[1]
             for i in range(len(rows) - 1):
                 near = np.minimum(size[i + 1 :], size[i]) >= similarity * np.maximum(size[i + 1 :], size[i])
                 if not (near & (label[i + 1 :] != label[i])).any():
@@ -347,6 +349,50 @@ def _verified(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
+def _part(share: Column) -> Column:
+    """One of ``share`` parts, by node."""
+    return F.pmod(F.xxhash64("node"), share).cast("int")
+
+
+def _parts() -> Column:
+    """How many groups the counted texts need."""
+    return F.ceil(F.greatest(F.count("*") / VERIFY_GROUP, F.sum("bytes") / VERIFY_BYTES)).cast("int")
+
+
+def _compared(members: DataFrame, texts: DataFrame, keys: list[str], shingle: int, similarity: float) -> DataFrame:
+    """Verified edges inside each group of (keys, node, label)."""
+    rows = members.join(texts, "node").groupBy(*keys).agg(F.collect_list(F.struct("node", "label", "text")).alias("members"))
+    return rows.select("members").mapInArrow(lambda batches: _verified(batches, shingle, similarity), "u long, v long")
+
+
+def verified_links(candidates: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Stars (u, v) of the verified links inside each group of candidates.
+
+    ``candidates`` has node, group and bytes, ``texts`` node and text. Groups are cut into parts of bounded size and each
+    part is compared inside. Where a group has several parts, those of different labels (what the first step has joined)
+    then meet: a label of many texts fills parts of its own, small labels share some. Parts of one label never meet, so a
+    large group of copies costs each of its texts one comparison, and what does not belong to it meets all its parts.
+    """
+    sizes = candidates.groupBy("group").agg(_parts().alias("parts"))
+    cut = candidates.join(sizes, "group").withColumn("part", _part(F.col("parts")))
+    inside = materialize(_compared(cut.withColumn("label", F.col("node")), texts, ["group", "part"], shingle, similarity), "inside")
+    stars = components(inside, "inside")
+    several = cut.where(F.col("parts") > 1).select("group", "node", "bytes").join(stars.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labels = several.groupBy("group", "label").agg(_parts().alias("parts"), F.count("*").alias("n"))
+    mixed = (F.col("parts") == 1) & (F.col("n") < VERIFY_GROUP // 2)
+    bins = several.join(labels.withColumn("kind", F.when(mixed, F.lit(None).cast("long")).otherwise(F.col("label"))).select("group", "label", "kind"), ["group", "label"])
+    shares = bins.groupBy("group", "kind").agg(_parts().alias("share"))
+    placed = bins.alias("b").join(shares.alias("s"), (F.col("b.group") == F.col("s.group")) & F.col("b.kind").eqNullSafe(F.col("s.kind"))).select("b.group", "b.node", "b.label", "b.kind", _part(F.col("share")).alias("at"))
+    bin_of = F.struct(F.col("kind"), F.col("at"))
+    placed = materialize(placed.select("group", "node", "label", bin_of.alias("bin")), "placed")
+    every = placed.select("group", "bin").distinct()
+    met = every.alias("x").join(every.select("group", F.col("bin").alias("other")).alias("y"), "group").where((F.col("bin") <= F.col("other")) & (F.col("bin.kind").isNull() | ~F.col("bin.kind").eqNullSafe(F.col("other.kind"))))
+    numbered = materialize(met.select("group", "bin", "other", F.monotonically_increasing_id().alias("meeting")), "meetings")
+    both = numbered.select("group", "meeting", F.explode(F.array_distinct(F.array("bin", "other"))).alias("bin"))
+    across = _compared(both.join(placed, ["group", "bin"]).select("meeting", "node", "label"), texts, ["meeting"], shingle, similarity)
+    return components(stars.union(across), "copies")
+
+
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of df without near copies: of every group the row with the smallest id stays (null ids last).
 
@@ -356,16 +402,13 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """
     rows = materialize(_sketches(df, text_col, shingle), "sketches")
     rank = F.struct(F.col("doc")[id_col].isNull().alias("null_id"), F.col("doc")[id_col].alias("id"), F.col("row").alias("row"))
-    classes = materialize(rows.groupBy("content").agg(F.min(rank).alias("first"), *[F.first(w).alias(w) for w in [*WORDS, "sketch", "bands"]]).select("content", F.col("first.row").alias("node"), "first", *WORDS, "sketch", "bands"), "classes")
+    facts = [*WORDS, "sketch", "bands", "bytes"]
+    classes = materialize(rows.groupBy("content").agg(F.min(rank).alias("first"), *[F.first(w).alias(w) for w in facts]).select("content", F.col("first.row").alias("node"), "first", *facts), "classes")
     near = components(links(classes.select("node", *WORDS), WORDS, LOOSE_BITS).union(band_links(classes)), "near")
     member = near.select(F.col("u").alias("node"), F.col("v").alias("group")).union(near.select(F.col("v").alias("node"), F.col("v").alias("group")).distinct())
-    sizes = member.groupBy("group").agg(F.ceil(F.count("*") / VERIFY_GROUP).cast("int").alias("parts"))
-    texts = rows.alias("rows").join(member.join(sizes, "group"), F.col("row") == F.col("node")).select("group", "parts", F.struct("node", F.col("doc")[text_col].alias("text")).alias("r"))
-    own = F.pmod(F.xxhash64("r.node"), F.col("parts")).cast("int")
-    met = texts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    groups = met.groupBy("group", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.collect_list("r").alias("members")).select("members")
-    edges = groups.mapInArrow(lambda batches: _verified(batches, shingle, similarity), "u long, v long")
-    stars = components(edges, "copies")
+    candidates = materialize(member.join(classes.select("node", "bytes"), "node"), "candidates")
+    texts = rows.select(F.col("row").alias("node"), F.col("doc")[text_col].alias("text"))
+    stars = verified_links(candidates, texts, shingle, similarity)
     labelled = classes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = labelled.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     return rows.join(kept, "row", "left_semi").select("doc.*")

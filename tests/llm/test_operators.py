@@ -192,17 +192,66 @@ def test_one_of_each(spark, docs, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
-def test_one_of_each_finds_block_edits(spark):
-    """Other text appended, the end cut off, one block replaced: similarity between 0.8 and 0.9."""
-    rows = []
-    for k in range(60):
-        words, others = ([f"w{n}" for n in draw.integers(0, 1 << 30, size)] for size in (300, 60))
-        changed = (words + others, words[:246], words[:200] + others[:26] + words[226:])[k % 3]
+def near_groups(texts, shingle=5, similarity=0.8):
+    """Groups of linked texts, every pair compared."""
+    sets = [{" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} for w in (t.lower().split() for t in texts)]
+    return least_of([(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])], range(len(sets)))
+
+
+def edits_of(words, others, k, share):
+    """Words replaced or deleted here and there, a block appended, put in front, cut off, replaced or moved."""
+    n = len(words)
+    few, block = max(1, int(n * share / 9)), int(n * share)
+    at = sorted(draw.choice(n, few, replace=False).tolist())
+    return [
+        [others[i % len(others)] if i in at else w for i, w in enumerate(words)],
+        [w for i, w in enumerate(words) if i not in at],
+        words + others[:block],
+        others[:block] + words,
+        words[: n - block],
+        words[: n // 2] + others[: block // 2] + words[n // 2 + block // 2 :],
+        words[n // 3 :] + words[: n // 3],
+    ][k]
+
+
+def test_one_of_each_finds_every_kind_of_edit(spark):
+    """Recall by kind of edit and band of similarity, of pairs at 0.8 or more."""
+    rows, bands = [], {}
+    while len(rows) < 1400:
+        words, others = ([f"w{n}" for n in draw.integers(0, 1 << 30, size)] for size in (300, 100))
+        kind = len(rows) // 2 % 7
+        changed = edits_of(words, others, kind, float(draw.uniform(0.03, 0.22)))
         a, b = ({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, changed))
-        assert 0.8 <= len(a & b) / len(a | b) < 0.9
-        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed))]
+        alike = len(a & b) / len(a | b)
+        if alike >= 0.8 or kind == 6:
+            bands[len(rows)] = (kind, int(alike * 20))
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(changed))]
     got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == set(range(0, 120, 2))
+    assert set(bands) <= got
+    found = collections.defaultdict(list)
+    for k, band in bands.items():
+        found[band].append(k + 1 not in got)
+    assert all(np.mean(x) >= 0.9 for x in found.values()), dict(found)
+    assert np.mean([x for xs in found.values() for x in xs]) > 0.995
+
+
+@pytest.mark.parametrize("group", [512, 8])
+def test_one_of_each_equals_brute_force_on_families(spark, monkeypatch, group):
+    """Large and small families, chains and strangers; the same if groups are cut into many parts."""
+    monkeypatch.setattr(simhash, "VERIFY_GROUP", group)
+    texts = []
+    for size in (60, 25, 3, 1, 1):
+        base = [f"w{n}" for n in draw.integers(0, 1 << 30, 200)]
+        for k in range(size):
+            words = list(base)
+            for at in draw.integers(0, 200, k % 7):
+                words[at] = f"new{draw.integers(1 << 30)}"
+            texts.append(" ".join(words))
+            if k % 5 == 4:  # each link of this chain is close to the one before
+                base = [*base[12:], *(f"w{n}" for n in draw.integers(0, 1 << 30, 12))]
+    want = near_groups(texts)
+    got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == set(want.values())
 
 
 def test_components_of_a_chain(spark):
