@@ -3,7 +3,8 @@
 Documents are encoded once into a written table of token ids. They are put in order of their ``ROUTE`` highest token ids
 (in a merge vocabulary the latest merges, so its rarest words), cut into ranges of rows, and each range is cut into shards
 of ``SHARD_TOKENS`` as its rows stream by. So documents that share rare words meet in a shard however many shards there
-are, and words that very many documents share are split by the words after them and by row. Each shard holds an inverted
+are, and words that very many documents share are split by the words after them and by row. Documents of more than ``LONG``
+tokens have rare words of every kind and fill windows by themselves; they are dealt evenly, by a hash of their row. Each shard holds an inverted
 index with BM25 weights over token ids; document frequencies, the number of documents and their mean length are those of
 all documents. A seed document starts a window; the index returns the unused documents nearest to it, which fill the
 window greedily in order of score. What still is open is filled by the head of the best neighbour that did not fit; its
@@ -29,11 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nlimorph.llm._shared import materialize, split_batch
+from nlimorph.llm._shared import materialize, mix64, split_batch
 from nlimorph.llm.token_counts import encoder
 
 SHARD_TOKENS = 2_000_000
-ROUTE = 3
+ROUTE, LONG = 3, 8_192
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
 TOKENS = ["row", "doc", "n", "ids", "r1", "r2", "r3"]
@@ -48,7 +49,8 @@ def token_table(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str, te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
-        kind = "<u4" if enc.tok.get_vocab_size() > 1 << 16 else "<u2"
+        vocabulary = enc.tok.get_vocab_size()
+        kind = "<u4" if vocabulary > 1 << 16 else "<u2"
         part = TaskContext.get().partitionId()
         row, docs, doc_type = part << 33, np.zeros(1, dtype=np.int64), None
         for whole in batches:
@@ -59,7 +61,10 @@ def token_table(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str, te
                 docs = np.pad(docs, (0, max(0, len(held) - len(docs))))
                 docs[: len(held)] += held
                 route = np.array([[*x[: -ROUTE - 1 : -1].tolist(), *[-1] * (ROUTE - len(x))] for x in terms])
-                rows = pa.array(np.arange(row, row + batch.num_rows))
+                numbers = np.arange(row, row + batch.num_rows)
+                long = np.array([len(x) > LONG for x in ids])
+                route[long] = np.stack([mix64(numbers[long].astype(np.uint64)) % np.uint64(vocabulary), *[np.zeros(long.sum(), dtype=np.uint64)] * (ROUTE - 1)], axis=1).astype(np.int64)
+                rows = pa.array(numbers)
                 row += batch.num_rows
                 yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), *(pa.array(r, pa.int32()) for r in route.T)], TOKENS)
         if doc_type is not None:
