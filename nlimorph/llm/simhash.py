@@ -220,7 +220,7 @@ def links(prints: DataFrame, words: list[str], most: int, within: int = 1) -> Da
                     yield pa.RecordBatch.from_arrays([pa.array((anchor | np.uint64(number << 40)).view(np.int64)), pa.array(node[row]), pa.array(lo[row]), pa.array(place)], ["anchor", "node", "lo", "place"])
 
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    even = prints.select("node", "lo", *[F.col(w).alias(f"w{k}") for k, w in enumerate(words)]).repartition(parts, "node")  # few bytes now, many rows soon
+    even = prints.select("node", "lo", *[F.col(w).alias(f"w{k}") for k, w in enumerate(words)]).repartition(parts)  # few bytes now, many rows soon; by key it would be left out, as the rows come by that key
     return _edges(even.mapInArrow(replicate, "anchor long, node long, lo long, place long"), within, most)
 
 
