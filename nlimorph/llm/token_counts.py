@@ -4,9 +4,10 @@ A tokenizer that drops white space encodes each run between ASCII white space on
 document's count is the sum over its runs. Tier one is a broadcast table of the lengths of frequent
 runs; tier two is each worker's own cache, filled by the tokenizer. No run is ever shuffled.
 
-The table holds the ``frequent`` runs that are met most often in all documents. Each task tallies its own and sends its most
-frequent ones; a tally that has grown past ``MOST_TALLIED`` runs keeps the more frequent half. The table is a cache and cannot
-change a count.
+The table holds at most ``frequent`` runs, those that are met most often in all documents. Each task tallies its own and sends
+its most frequent ones; a tally that has grown past ``MOST_TALLIED`` runs keeps the more frequent half. How many runs reach each
+level of frequency tells which levels fit the table; a level that would overfill it stays out as a whole, so no task ever sorts the
+runs of others. The table is a cache and cannot change a count.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows give repeated results;
 a null id stays null; an empty table gives an empty result; only the id and the text are read, so
@@ -27,11 +28,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nlimorph.llm._shared import split_batch
+from nlimorph.llm._shared import materialize, split_batch
 
 CACHE_ENTRIES = 700_000
 LONGEST_CACHED = 64
 MOST_TALLIED = 1 << 19
+LEVELS = 64  # a doubling of the frequency
 _tokenizers: dict[str, object] = {}
 
 
@@ -127,7 +129,7 @@ def encoder(path: str) -> RunEncoder:
 
 
 def _frequent_table(df: DataFrame, path: str, text_col: str, frequent: int) -> tuple[str, bytes]:
-    """The most frequent runs joined by spaces, and their lengths as bytes."""
+    """The most frequent runs, at most ``frequent``, joined by spaces, and their lengths as bytes."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -149,7 +151,16 @@ def _frequent_table(df: DataFrame, path: str, text_col: str, frequent: int) -> t
             yield pa.RecordBatch.from_pydict({"run": pa.array([r for r, _ in keep], pa.string()), "n": pa.array([n for _, n in keep], pa.int32())})
 
     times = df.select(text_col).mapInArrow(tally, "run string, times long").groupBy("run").agg(F.sum("times").alias("times"))
-    rows = times.orderBy(F.desc("times"), "run").limit(frequent).select("run").mapInArrow(measure, "run string, n int").collect()
+    levelled = materialize(times.select("run", F.floor(F.log2("times") * LEVELS).cast("int").alias("level")), "runs")
+    least, total = None, 0
+    for r in sorted(levelled.groupBy("level").count().collect(), reverse=True):  # 63 * LEVELS rows at most
+        total += r["count"]
+        if total > frequent:
+            break
+        least = r.level
+    if least is None:
+        return "", b""
+    rows = levelled.where(F.col("level") >= least).select("run").mapInArrow(measure, "run string, n int").collect()
     return " ".join(r.run for r in rows), bytes(r.n for r in rows)
 
 
