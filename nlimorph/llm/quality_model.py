@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nlimorph.llm._shared import split_batch
+from nlimorph.llm._shared import first_by_hash, split_batch
 
 ROWS = 1 << 15
 DIMS = 48
@@ -174,7 +174,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 120)
 def train(df: DataFrame, labels: DataFrame, in_training: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 6_000) -> QualityModel:
     """Fit on at most ``sample_rows`` labelled rows for which ``in_training`` (over the labels' id) holds."""
     ids = labels.where(in_training & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
-    drawn = ids.orderBy(F.xxhash64(F.lit("quality"), F.col(id_col)), id_col).limit(sample_rows)
+    drawn = first_by_hash(ids, "quality", sample_rows, id_col)
     rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(drawn.select(F.col(id_col).alias("_id"), "label")), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

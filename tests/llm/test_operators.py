@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from nlimorph.llm import bpe, digests, langid, licenses, packing, quality_model, quality_rules, simhash, substrings, token_counts
-from nlimorph.llm._shared import fold_of, materialize, scratch_dir
+from nlimorph.llm._shared import first_by_hash, fold_of, materialize, scratch_dir
 from nlimorph.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, score double, chunk string"  # score and chunk clash with names used inside
@@ -599,3 +599,11 @@ def test_quality_scores_are_calibrated():
 
 def test_scratch_folder_is_the_session_s(spark):
     assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+@pytest.mark.parametrize("n", [0, 3, 300, 50_000])
+@pytest.mark.parametrize("limit", [1, 5, 1000])
+def test_first_by_hash_equals_plain_top_k(spark, n, limit):
+    ids = spark.range(n)
+    hashed = F.xxhash64(F.lit("x"), F.col("id"))
+    assert first_by_hash(ids, "x", limit, "id").collect() == ids.orderBy(hashed, "id").limit(limit).collect()
