@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -57,18 +56,6 @@ def fold_of(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
-def first_by_hash(ids: DataFrame, salt: str, limit: int, id_col: str) -> DataFrame:
-    """The first ``limit`` rows of a table of distinct ids, in the order of their hashes.
-
-    Hashes are even, so those of the first rows lie under a bound that follows from the number of rows; it has ten standard
-    deviations to spare. Only what lies under it is sorted, so the last task meets little more than ``limit`` rows.
-    """
-    n, hashed = ids.count(), F.xxhash64(F.lit(salt), F.col(id_col))
-    share = (limit + 10 * math.sqrt(limit) + 50) / max(n, 1)
-    near = ids.where(hashed <= F.lit(min((1 << 63) - 1, int((share - 0.5) * 2.0**64)))) if share < 1 else ids
-    return near.orderBy(hashed, id_col).limit(limit)
-
-
 def split_batch(batch: pa.RecordBatch, text_col: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batch holding about ``max_bytes`` of text each (one row at least)."""
     if batch.num_rows == 0:
