@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nlimorph.llm import bpe, digests, langid, licenses, packing, quality_model, quality_rules, simhash, substrings, token_counts
-from nlimorph.llm._shared import fold_of
+from nlimorph.llm import bpe, digests, langid, licenses, packing, quality_model, quality_rules, simhash, substrings, token_counts, vector_codes, warc, whitening
+from nlimorph.llm._shared import discard, fold_of, scratch_dir
 
 SEQUENCE_TOKENS = 2048
 
@@ -67,9 +68,26 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, model).select("doc_id", (fold == 1).alias("held_out"), "score", "predicted")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    path = f"{scratch_dir(spark)}/archives-{uuid.uuid4().hex}"
+    warc.write_archives(pages, path, row_key=["_file", "_at"])
+    read = warc.page_digests(spark, path, pages.schema["page_id"].dataType.simpleString())
+    discard(spark, path)  # the digests are written
+    return read
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_improbable_digests, op4_quality_rules, op5_substring_dedup, op6_license_scan, op7_bpe_round_trip, op8_language_id, op9_retrieval_packing, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_improbable_digests, op4_quality_rules, op5_substring_dedup, op6_license_scan, op7_bpe_round_trip, op8_language_id, op9_retrieval_packing, op10_quality_classifier, op11_embedding_whitening, op12_warc_archives, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": substrings.remove_repeats_sql(), "op6_license_scan": licenses.scan_sql()}
+    return {"op5_substring_dedup": substrings.remove_repeats_sql(), "op6_license_scan": licenses.scan_sql(), "op12_warc_archives": warc.page_digests_sql(), "op13_vector_codes": vector_codes.compress_sql()}

@@ -20,6 +20,9 @@ COLUMNS = {
     "op8": ["doc_id", "held_out", "lang_pred", "score"],
     "op9": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
     "op10": ["doc_id", "held_out", "score", "predicted"],
+    "op11": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
+    "op12": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
+    "op13": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
 }
 
 
@@ -28,8 +31,9 @@ def test_query(spark, name):
     got = queries.queries()[name](spark, SF)
     want = COLUMNS[name.split("_")[0]]
     assert got.columns[: len(want)] == want
-    n = spark.read.parquet(f"{SF}/documents.parquet").count()
-    assert got.count() == n if name[:4] != "op9_" else got.select("doc_id").distinct().count() == n
+    table = {"op11": "embeddings", "op12": "pages", "op13": "embeddings"}.get(name.split("_")[0], "documents")
+    n = spark.read.parquet(f"{SF}/{table}.parquet").count()
+    assert got.count() == n * (16 if name[:4] == "op11" else 1) if name[:4] != "op9_" else got.select("doc_id").distinct().count() == n
 
 
 def test_pipeline_stages(spark):
