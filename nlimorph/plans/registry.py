@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from nlimorph.functions import labels as L
 from nlimorph.operators import audit, evaluate, groups, instruct, score, seeds
+from nlimorph.plans import files
 from nlimorph.plans import fixtures as fx
 from nlimorph.sources import jsonl, layouts
 from nlimorph.sources.scratch import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
-_all: dict[str, tuple[Query, str | None]] = {}
+_all: dict[str, tuple[Query, str | None]] = dict(files.QUERIES)
 
 SEED, TARGET, CAP, RATIO = 42, 4413, 2000, 0.05
 MR_ORDER = ("adding_contradiction", "antonym_substitution", "conditional_clause", "negation_flip", "pronoun_substitution", "synonym_replacement", "uninformative", "voice_switch")
@@ -170,8 +171,8 @@ def read_jsonl_quality(spark, sf_dir):
     + """, f as (select pair_key, dataset, max(mr_id) as kind, count(*) as n from samples group by pair_key, dataset)
 select dataset, case when cast(pair_key as bigint) % 3 = 0 then 'array' when cast(pair_key as bigint) % 3 = 1 then 'object' else 'lines' end as form, count(*) as n_files, sum(n)::bigint as n_items from f group by all"""
 )
-def read_json_any(spark, sf_dir):
-    """Files of three forms, one for each pair group, read as whole texts."""
+def parse_json_any(spark, sf_dir):
+    """Texts of three forms, one for each pair group."""
     s = fx.samples(spark, sf_dir)
     row = F.to_json(F.struct("premise", "hypothesis", "label"))
     files = s.groupBy("dataset", "pair_key").agg(F.collect_list(row).alias("rows"))
@@ -699,9 +700,9 @@ def score_stub(spark, sf_dir):
     return score.score(rows, lambda batch: ["entailment" if len(p) % 2 == 0 else p.rstrip(".").split(" ")[-1] for p in batch]).select("row_key", "dataset", "pred")
 
 
-@_query(fx.with_sql("predictions") + " select dataset, count(*) as total, count(*) filter (status = 200) as succeeded, count(*) filter (status <> 200) as failed from predictions group by all")
+@_query(fx.with_sql("predictions") + " select case when prompt_tokens % 2 = 0 then 'model_a' else 'model_b' end as model, dataset, count(*) as total, count(*) filter (status = 200) as succeeded, count(*) filter (status <> 200) as failed from predictions group by all")
 def run_totals(spark, sf_dir):
-    return seeds.run_totals(fx.predictions(spark, sf_dir))
+    return seeds.run_totals(fx.predictions(spark, sf_dir).withColumn("model", F.when(F.col("prompt_tokens") % 2 == 0, "model_a").otherwise("model_b")))
 
 
 # --- seeds
@@ -710,7 +711,7 @@ _CELLS = "cells as (select experiment, seed, test_type, dataset, count(*) filter
 _GRID = "grid as (select * from (values " + ", ".join(f"('{e}')" for e in fx.EXPERIMENTS) + ") e(experiment) cross join (values " + ", ".join(f"({s})" for s in fx.SEEDS) + ") s(seed) cross join (select distinct test_type, dataset from results))"
 
 
-@_query(fx.with_sql("results") + " select experiment, seed, dataset||' '||test_type as label, count(*) as n from results group by all")
+@_query(fx.with_sql("results") + " select experiment, seed, case test_type when 'original' then 'Orig' else 'MR' end||' '||case dataset when 'mnlim' then 'MNLIm' when 'mnlimm' then 'MNLImm' when 'sick' then 'SICK' when 'snli' then 'SNLI' else upper(dataset) end as label, count(*) as n from results group by all")
 def experiment_names(spark, sf_dir):
     """Base name and seed out of run names, and the column label of each test."""
     r = fx.results(spark, sf_dir).select(F.concat("experiment", F.lit("_seed"), F.col("seed").cast("string")).alias("run"), "test_type", "dataset")

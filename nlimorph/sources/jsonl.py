@@ -7,31 +7,17 @@ from pyspark.sql import functions as F
 
 from nlimorph.functions.labels import py_strip
 from nlimorph.functions.settle import settled
+from nlimorph.sources.documents import read_documents
+from nlimorph.sources.json_text import LISTS, alone, closed, is_json_value
+from nlimorph.sources.ranges import files, numbered_lines
 
 #: Key names by preference.
 PREMISE = ("premise", "sentence1", "sentence1_text", "text_a")
 HYPOTHESIS = ("hypothesis", "sentence2", "sentence2_text", "text_b")
 LABEL = ("label", "gold_label", "annotator_labels")
 TEXT = ("input", "prompt", "text", "source")
-LISTS = ("data", "examples", "tests")
-
-
-WHOLE_UP_TO = 100 << 20
-
-
-def _alone(line: Column) -> Column:
-    """The text parsed as the only item of a list: an array of one value, if it is one value."""
-    return F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))), "$", "array<variant>")
-
-
-def _closed(line: Column) -> Column:
-    """Whether the text also parses inside an object; so it does not close the list around it."""
-    return F.try_parse_json(F.concat(F.lit('{"x":'), line, F.lit("}"))).isNotNull()
-
-
-def is_json_value(line: Column) -> Column:
-    """Whether the text is exactly one JSON value; parsing alone would accept what follows one."""
-    return F.coalesce((F.size(_alone(line)) == 1) & _closed(line), F.lit(False))
+#: Larger files are read by several tasks.
+WHOLE_UP_TO = 16 << 20
 
 
 def parse_lines(df: DataFrame, col: str = "value", mode: str = "drop") -> DataFrame:
@@ -41,8 +27,8 @@ def parse_lines(df: DataFrame, col: str = "value", mode: str = "drop") -> DataFr
     """
     if mode not in ("drop", "flag", "fail"):
         raise ValueError(f"unknown mode {mode}")
-    rows = df.where(py_strip(F.col(col)) != "").withColumn("_items", _alone(F.col(col)))
-    good = (F.size("_items") == 1) & _closed(F.col(col))
+    rows = df.where(py_strip(F.col(col)) != "").withColumn("_items", alone(F.col(col)))
+    good = (F.size("_items") == 1) & closed(F.col(col))
     read = settled(rows, "_line", F.struct(F.when(good, F.get("_items", F.lit(0))).alias("v"), F.coalesce(good, F.lit(False)).alias("ok")))
     v, ok = F.col("_line.v"), F.col("_line.ok")
     if mode == "fail":
@@ -60,8 +46,8 @@ def read_jsonl(spark: SparkSession, path: str | list[str], mode: str = "drop") -
 def parse_whole(df: DataFrame, col: str = "value") -> DataFrame:
     """Items of whole files: those of an array, of an object's list, the object itself, or of JSON lines; with ``item``, the number inside."""
     rest = [c for c in df.columns if c != col]
-    rows = df.withColumn("_items", _alone(F.col(col)))
-    whole = F.when((F.size("_items") == 1) & _closed(F.col(col)), F.get("_items", F.lit(0)))
+    rows = df.withColumn("_items", alone(F.col(col)))
+    whole = F.when((F.size("_items") == 1) & closed(F.col(col)), F.get("_items", F.lit(0)))
     read = settled(rows, "_file", F.struct(whole.alias("v"), F.col(col).alias("text")))
     v = F.col("_file.v")
     array = F.try_variant_get(v, "$", "array<variant>")
@@ -72,15 +58,22 @@ def parse_whole(df: DataFrame, col: str = "value") -> DataFrame:
 
 
 def read_json_any(spark: SparkSession, path: str | list[str], whole_up_to: int = WHOLE_UP_TO) -> DataFrame:
-    """(path, item, v) of JSON files of any form; files of more than ``whole_up_to`` bytes are read as JSON lines, split between tasks.
+    """(path, item, v) of JSON files of any form, items numbered from 0 in file order.
 
-    ``item`` numbers the values of a file; in those large files it only tells them apart.
+    Files of up to ``whole_up_to`` bytes are parsed as one text, larger ones are cut between tasks; the rows are the same.
     """
-    read = spark.read.option("recursiveFileLookup", True)
-    size, name = F.col("_metadata.file_size"), F.col("_metadata.file_path").alias("path")
-    small = parse_whole(read.option("wholetext", True).text(path).where(size <= whole_up_to).select(name, "value"))
-    large = parse_lines(read.option("wholetext", False).text(path).where(size > whole_up_to).select(name, "value"))
-    return small.withColumn("item", F.col("item").cast("long")).unionByName(large.select("path", F.monotonically_increasing_id().alias("item"), "v"))
+    text = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    small = text.where(F.col("_metadata.file_size") <= whole_up_to).select(F.col("_metadata.file_path").alias("path"), "value")
+    items = parse_whole(small).withColumn("item", F.col("item").cast("long"))
+    if files(spark, path).where(F.col("size") > whole_up_to).isEmpty():
+        return items
+    return items.unionByName(read_documents(spark, path, whole_up_to))
+
+
+def read_jsonl_in_order(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, line, index, v) of JSON lines files: number of the line in its file, and of the row among those that parse, both from 1."""
+    rows = numbered_lines(spark, path, keep=is_json_value(F.col("value"))).where(F.col("item").isNotNull())
+    return rows.select("path", "line", (F.col("item") + 1).alias("index"), F.try_parse_json("value").alias("v"))
 
 
 def _present(v: Column, keys: tuple[str, ...]) -> Column:
