@@ -499,6 +499,14 @@ def split_from_manifest(spark, sf_dir):
     return groups.split_from_manifest(s, manifest).groupBy("split", "mr_id").agg(F.count("*").alias("n"))
 
 
+@_query(fx.with_sql("samples") + """, k as (select row_key, case when label > 0 then pair_key end as pair_id, hypothesis from samples)
+select hypothesis, pair_id, coalesce(pair_id, '__row_'||md5('{"hypothesis":"'||hypothesis||'"}')||'_'||row_number() over (partition by pair_id is null, hypothesis)) as pair_key from k""")
+def own_pair_ids(spark, sf_dir):
+    """Keys of rows without a pair id, from their content and their number among equal rows."""
+    rows = fx.samples(spark, sf_dir).select(F.when(F.col("label") > 0, F.col("pair_key")).alias("pair_id"), "hypothesis")
+    return groups.ensure_pair_id(rows, ["hypothesis"])
+
+
 @_query(fx.with_sql("samples") + f", {_GROUPS} select source_file, pair_key, 'data' as side from g where source_file = 'rte' union all select source_file, pair_key, 'manifest' from g where source_file = 'sick'")
 def verify_manifest(spark, sf_dir):
     g = groups.pair_groups(fx.samples(spark, sf_dir))
@@ -545,8 +553,9 @@ def manifest_round_trip(spark, sf_dir):
     other = groups.verify_manifest(all_groups.where(F.col("source_file") != "sick").withColumn("split", turned), groups.read_manifest(spark, path))
     counts = other.agg(*[F.count_if(F.col("side") == x).alias(f"n_{x}") for x in ("data", "manifest", "split")])
     check = groups.signature_check(facts, audit.data_signature(s)).select("differs")
-    named = facts.select("seed", "ratio", "n_train_groups", "n_val_groups", "n_train_rows", "n_val_rows", F.array_join("source_files", ",").alias("files"))
-    return named.crossJoin(check).crossJoin(counts)  # one row each
+    named = facts.select("seed", "ratio", "n_train_groups", "n_val_groups", "n_train_rows", "n_val_rows")
+    files = groups.manifest_files(spark, path).agg(F.array_join(F.array_sort(F.collect_set("source_file")), ",").alias("files"))
+    return named.crossJoin(files).crossJoin(check).crossJoin(counts)  # one row each
 
 
 # --- source join and instructions

@@ -91,3 +91,48 @@ def test_parts_share_no_group_and_manifests_tell_splits_apart(spark):
     assert groups.shared_groups(train, val).count() == 0 and groups.shared_groups(train, g).count() == 8
     turned = g.withColumn("split", F.when(F.col("pair_key") == "g0", "other").otherwise(F.col("split")))
     assert [tuple(r) for r in groups.verify_manifest(turned, g).collect()] == [("f", "g0", "split")]
+
+
+@pytest.mark.parametrize("parts", [1, 2, 3, 200])
+def test_own_keys_do_not_change_with_partitioning(spark, parts):
+    df = spark.range(5000).selectExpr("'f' as source_file", "cast(null as string) as pair_id", "cast(id % 7 * (id % 3) as string) as premise")
+    keys = sorted(r.pair_key for r in groups.ensure_pair_id(df.repartition(parts), ["premise"]).select("pair_key").collect())
+    assert len(set(keys)) == 5000
+    assert keys == sorted(r.pair_key for r in groups.ensure_pair_id(df, ["premise"]).select("pair_key").collect())
+
+
+def test_a_million_equal_rows(spark, monkeypatch):
+    df = spark.range(0, 1_000_000, 1, 5).selectExpr("'f' as source_file", "cast(null as string) as pair_id", "'same' as premise")
+    got = groups.ensure_pair_id(df, ["premise"]).select(F.split("pair_key", "_").alias("k")).select(F.element_at("k", -1).cast("long").alias("n"))
+    assert tuple(got.agg(F.count("*"), F.countDistinct("n"), F.min("n"), F.max("n")).first()) == (1_000_000, 1_000_000, 1, 1_000_000)
+
+
+def test_selection_refines_and_orders_one_bucket(spark, monkeypatch):
+    monkeypatch.setattr(groups, "FEW", 3)
+    g = spark.range(3000).selectExpr("'f' as source_file", "cast(id as string) as pair_key", "id % 5 + 1 as n_rows", "id % 3 as primary_label").cache()
+    in_hash_order = in_order(g.collect(), 7)
+    for target in (1, 50, 4000, 8999, 9000, 9001, 20_000):
+        want, total = set(), 0
+        for r in in_hash_order:
+            if total < target:
+                want.add(r.pair_key)
+            total += r.n_rows
+        assert {r.pair_key for r in groups.sample_groups(g, target, 7).collect()} == want
+    got = groups.sample_groups_stratified(g, 100, 7).collect()
+    for label, share in ((0, 34), (1, 33), (2, 33)):
+        want, total = set(), 0
+        for r in (x for x in in_hash_order if x.primary_label == label):
+            if total < share:
+                want.add(r.pair_key)
+            total += r.n_rows
+        assert {r.pair_key for r in got if r.primary_label == label} == want
+    chosen = groups.Selection(g, 7, F.col("n_rows"), F.lit(4000).cast("long"))
+    assert chosen.cuts.first().n <= 3 and chosen._parts()[1].count() <= 3
+    plan = chosen.first()._jdf.queryExecution().executedPlan().toString()
+    assert "startswith" not in plan and plan.count("Window [") == 1 and plan.count("hashpartitioning(") <= 1
+
+
+def test_equal_manifests_join_no_row(spark):
+    g = groups.pair_groups(rows(spark, [2] * 50))
+    assert groups.differing_buckets(g, g.repartition(3), groups.KEY, 64).count() == 0
+    assert groups.differing_buckets(g, g.where("pair_key <> 'g7'"), groups.KEY, 64).count() == 1
