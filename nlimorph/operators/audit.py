@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nlimorph.sources.scratch import written
+
 
 def label_dist(df: DataFrame, label: Column) -> DataFrame:
     return df.groupBy(label.alias("label_name")).agg(F.count("*").alias("n"))
@@ -30,3 +34,48 @@ def data_signature(df: DataFrame) -> DataFrame:
     number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
     sums = df.select(number.alias("x")).agg(F.count("*").alias("n_rows"), F.bit_xor("x").alias("bits"), F.sum(F.col("x").cast("decimal(38,0)")).alias("total"))
     return sums.select("n_rows", F.substring(F.sha2(F.concat_ws("|", F.col("n_rows").cast("string"), F.col("bits").cast("string"), F.col("total").cast("string")), 256), 1, 16).alias("signature"))
+
+
+def merkle_tree(df: DataFrame, file: str, position: str, value: Column, fan: int = 1024) -> DataFrame:
+    """(file, level, at, n, digest): digests of ranges of a file's rows in order; the row of the highest level is the file's signature.
+
+    ``position`` numbers the rows of a file from 1. On level 1 range ``at`` holds the digests of the rows fan * at + 1 to fan * (at + 1), on level
+    2 those of ``fan`` ranges of level 1, and so on, until one range is left. No group has more than ``fan`` members.
+    """
+    rows = df.select(F.col(file).alias("file"), (F.col(position) - 1).cast("long").alias("child"), F.sha2(value, 256).alias("digest"), F.lit(1).cast("long").alias("n"))
+    levels, made = [], 0
+    while True:
+        in_order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("child", "digest"))), lambda c: c["digest"]), "")
+        ranges = rows.groupBy("file", F.floor(F.col("child") / fan).alias("at")).agg(F.sum("n").alias("n"), F.sha2(in_order, 256).alias("digest"))
+        made += 1
+        level = written(ranges.select("file", F.lit(made).alias("level"), "at", "n", "digest"), "ranges")
+        levels.append(level)
+        if not level.where("at > 0").head(1):
+            return functools.reduce(DataFrame.unionByName, levels)
+        rows = level.select("file", F.col("at").alias("child"), "digest", "n")
+
+
+def signatures(tree: DataFrame) -> DataFrame:
+    """(file, n_rows, signature): what rows each file holds, and in which order."""
+    top = tree.groupBy("file").agg(F.max(F.struct("level", F.struct("n", "digest").alias("of"))).alias("top"))
+    return top.select("file", F.col("top.of.n").alias("n_rows"), F.substring("top.of.digest", 1, 16).alias("signature"))
+
+
+def first_difference(a: DataFrame, b: DataFrame, fan: int = 1024) -> DataFrame:
+    """(file, first_row, last_row): the first range of level 1 in which two trees differ, of each file that they hold otherwise.
+
+    From the top only the children of the range that differs are compared, so what is read of a level is ``fan`` rows a file.
+    """
+    highest = max(a.agg(F.max("level")).first()[0] or 0, b.agg(F.max("level")).first()[0] or 0)
+    found = None
+    for level in range(highest, 0, -1):
+        one, other = (t.where(F.col("level") == level).select("file", "at", F.col("digest").alias(c)) for t, c in ((a, "_one"), (b, "_other")))
+        if found is not None:
+            inside = found.select("file", F.col("at").alias("_parent"))
+            one, other = (t.withColumn("_parent", F.floor(F.col("at") / fan)).join(inside, ["file", "_parent"], "left_semi").drop("_parent") for t in (one, other))
+        met = one.join(other, ["file", "at"], "full").where(~F.col("_one").eqNullSafe(F.col("_other")))
+        here = met.groupBy("file").agg(F.min("at").alias("at"))
+        found = written(here, "differing")
+    if found is None:
+        return a.select("file", F.lit(0).cast("long").alias("first_row"), F.lit(0).cast("long").alias("last_row")).limit(0)
+    return found.select("file", (F.col("at") * fan + 1).alias("first_row"), ((F.col("at") + 1) * fan).alias("last_row"))

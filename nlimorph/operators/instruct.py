@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nlimorph.functions.labels import fill, label_name, py_strip
@@ -42,6 +42,17 @@ def attach_source(df: DataFrame) -> DataFrame:
     return df.join(source_table(df), KEY, "left").withColumn("has_source", F.coalesce("has_source", F.lit(False)))
 
 
+def attach_source_clustered(df: DataFrame) -> DataFrame:
+    """As ``attach_source``, by a window over the group: for a clustered table, whose rows need no exchange for it and are read once."""
+    group = Window.partitionBy(*KEY)
+    source = F.col("mr_id") == "none"
+    one = F.count_if(source).over(group) == 1
+    columns = ["premise", "hypothesis", "label", "label_is_int"]
+    given = F.first(F.when(source, F.struct(*columns)), ignorenulls=True).over(group)
+    rows = df.withColumn("_one", one).withColumn("_source", given)
+    return rows.select(*df.columns, *[F.when(F.col("_one"), F.col("_source")[c]).alias(f"source_{c}") for c in columns], F.coalesce("_one", F.lit(False)).alias("has_source"))
+
+
 def source_problems(df: DataFrame) -> DataFrame:
     """Groups whose number of sources is not one."""
     return df.groupBy(*KEY).agg(F.count_if(F.col("mr_id") == "none").alias("n_sources")).where(F.col("n_sources") != 1).withColumn("problem", F.when(F.col("n_sources") == 0, "no source").otherwise("several sources"))
@@ -50,7 +61,7 @@ def source_problems(df: DataFrame) -> DataFrame:
 def attach_mr_texts(df: DataFrame, catalog: DataFrame, key: str = "mr_id") -> DataFrame:
     """Operation and effect texts of the relation; empty where the catalogue lacks it."""
     texts = catalog.select(F.col("mr_id").alias(key), "operation_text", "effect_text")
-    out = df.drop("operation_text", "effect_text").join(F.broadcast(texts), key, "left")
+    out = df.drop("operation_text", "effect_text").join(texts, key, "left")
     return out.na.fill("", ["operation_text", "effect_text"])
 
 

@@ -97,3 +97,8 @@ def prediction_lines(df: DataFrame) -> DataFrame:
     line = F.when(F.col("status") == 200, good).otherwise(failed)
     broken = F.substring(F.md5(F.concat(F.lit("j|"), "row_key")), 1, 1)
     return df.select("row_key", "dataset", "mr", F.when(broken == "0", F.concat(line, F.lit(" tail"))).when(broken == "1", F.lit("  ")).otherwise(line).alias("value"))
+
+
+def stand_in():
+    """A model that replies by the prompt's length: the first or the last label it names."""
+    return lambda batch: ["entailment" if len(p) % 2 == 0 else p.rstrip(".").split(" ")[-1] for p in batch]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,7 @@ from nlimorph.functions import labels as L
 from nlimorph.operators import audit, evaluate, groups, instruct, score, seeds
 from nlimorph.plans import files
 from nlimorph.plans import fixtures as fx
-from nlimorph.sources import jsonl, layouts
+from nlimorph.sources import clustered, jsonl, layouts
 from nlimorph.sources.scratch import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -568,6 +570,14 @@ def attach_source(spark, sf_dir):
     return instruct.attach_source(fx.samples(spark, sf_dir)).select("row_key", "source_premise", "source_hypothesis", "source_label", "has_source")
 
 
+@_query(fx.with_sql("samples") + f", {_SOURCE}, {_GROUPS}, t as (select *, coalesce(sum(n_rows) over ({_ORDER} rows between unbounded preceding and 1 preceding), 0) as before from g) select row_key, sp as source_premise, sh as source_hypothesis, sl as source_label, sp is not null as has_source from samples semi join (select source_file, pair_key from t where before < {TARGET}) k using (source_file, pair_key) left join src using (source_file, pair_key)")
+def clustered_sources(spark, sf_dir):
+    """Groups, a sample of them, its rows and their sources, all from one table clustered by group."""
+    s = clustered.write_clustered(fx.samples(spark, sf_dir), f"samples_{uuid.uuid4().hex}", 8)
+    picked = groups.sample_groups(groups.pair_groups(s), TARGET, SEED)
+    return instruct.attach_source_clustered(groups.rows_of(s, picked)).select("row_key", "source_premise", "source_hypothesis", "source_label", "has_source")
+
+
 @_query(fx.with_sql("samples") + " select source_file, pair_key, count(*) filter (mr_id = 'none') as n_sources, case when count(*) filter (mr_id = 'none') = 0 then 'no source' else 'several sources' end as problem from samples group by all having count(*) filter (mr_id = 'none') <> 1")
 def source_problems(spark, sf_dir):
     return instruct.source_problems(fx.samples(spark, sf_dir))
@@ -677,6 +687,19 @@ def data_signature(spark, sf_dir):
     return audit.data_signature(fx.samples(spark, sf_dir))
 
 
+@_query(
+    fx.with_sql("samples")
+    + """, o as (select dataset, row_number() over (partition by dataset order by md5(row_key), row_key) - 1 as child, sha256(row_key||premise) as digest from samples),
+a as (select dataset, child // 1024 as child, sha256(string_agg(digest, '' order by child)) as digest, count(*) as n from o group by dataset, child // 1024),
+b as (select dataset, count(*) as n_ranges, sum(n)::bigint as n_rows, sha256(string_agg(digest, '' order by child)) as digest, min(digest) as single from a group by dataset)
+select dataset as file, n_rows, substr(case when n_ranges = 1 then single else digest end, 1, 16) as signature from b"""
+)
+def ordered_signatures(spark, sf_dir):
+    """A signature of each dataset that tells the order of its rows, from a tree of digests (two levels up to a million rows)."""
+    s = score.with_index(fx.samples(spark, sf_dir), ("dataset",), ("row_key",))
+    return audit.signatures(audit.merkle_tree(s, "dataset", "index", F.concat("row_key", "premise")))
+
+
 # --- prompts and scoring
 
 
@@ -709,6 +732,16 @@ def score_stub(spark, sf_dir):
     return score.score(rows, lambda batch: ["entailment" if len(p) % 2 == 0 else p.rstrip(".").split(" ")[-1] for p in batch]).select("row_key", "dataset", "pred")
 
 
+@_query(_all["score_stub"][1])
+def score_resumed(spark, sf_dir):
+    """Scoring into a folder in two runs: the first had half of the rows, the second scores what is missing."""
+    rows = score.prompts(fx.samples(spark, sf_dir)).select("row_key", "dataset", "prompt")
+    path = new_folder(spark, "scored")
+    for part in (rows.where(F.substring(F.md5("row_key"), 1, 1) < "8"), rows):
+        done = score.score_into(part, path, fx.stand_in, ("dataset", "row_key"), waves=2, name="stand-in")
+    return done.select("row_key", "dataset", "pred")
+
+
 @_query(fx.with_sql("predictions") + " select case when prompt_tokens % 2 = 0 then 'model_a' else 'model_b' end as model, dataset, count(*) as total, count(*) filter (status = 200) as succeeded, count(*) filter (status <> 200) as failed from predictions group by all")
 def run_totals(spark, sf_dir):
     return seeds.run_totals(fx.predictions(spark, sf_dir).withColumn("model", F.when(F.col("prompt_tokens") % 2 == 0, "model_a").otherwise("model_b")))

@@ -58,8 +58,15 @@ def part_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(found)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _files(spark, path)
+    return files.exists(at)
+
+
 def move(spark: SparkSession, old: str, new: str) -> None:
+    """Rename a file or folder to a path that is free; an error if that fails."""
     at, files = _files(spark, old)
     target = _files(spark, new)[0]
     files.mkdirs(target.getParent())
-    files.rename(at, target)
+    if files.exists(target) or not files.rename(at, target):
+        raise OSError(f"{old} can't be moved to {new}")
