@@ -11,11 +11,16 @@ Three steps pass over what cannot reach ``least`` and change no result. A unit t
 template's pairs (at ``least`` 0.8), so it has one of the template's key words, which touch more than a third of them:
 texts without any key word have no hit. Nor have texts that hold less than two thirds of every template's pairs. And a run
 that begins or ends in a piece without a pair of any template is less alike than the run without that piece, so runs
-begin and end in pieces that have one.
+begin and end in pieces that have one. The same holds for runs as for texts: one without a key word has no hit, nor has one less than
+two thirds of whose pairs (at ``least`` 0.8) are pairs of templates.
+
+Work grows with the length of a text: a run holds at most the pairs of the largest bound, so each piece begins a bounded number of runs,
+found by where its words stand; sets of pairs are made one at a time.
 
 Defined results: null or empty text has no unit with a word pair: no hits, null licence and coefficient; n_hits counts
 the templates that some unit reaches; ties go to the first licence id; repeated rows give repeated results; null ids
-stay null; an empty table gives an empty result; other columns are not read.
+stay null; very long texts are read whole, in time that grows with
+their length; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nlimorph.functions.settle import settled
+
 #: Headings, notices, headers and paragraphs by licence id.
 TEMPLATES = [
     ("agpl-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
@@ -127,44 +134,68 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     """(id, n_hits, license_id, dice, license_ids) of every row: templates that some unit reaches, the best of them, and all their licences."""
     known = [(name, pairs_of(text)) for name, text in sorted(templates)]
     lowest, most = min(bounds(len(p), least)[0] for _, p in known), max(bounds(len(p), least)[1] for _, p in known)
+    keys = _strings(key_words(templates, least))
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), _words(F.col(text_col)).alias("words"))
-    has_key = F.arrays_overlap("words", _strings(key_words(templates, least)))
+    has_key = F.arrays_overlap("words", keys)
     words = rows.select("_id", F.when(has_key, F.col("_text")).alias("_text"), F.when(has_key, F.col("words")).alias("words"))
     shared = words.select("_id", "_text", F.array_intersect(_pairs(F.col("words")), _strings(sorted({x for _, p in known for x in p}))).alias("shared"))
     enough = [F.size(F.array_intersect("shared", _strings(p))) >= bounds(len(p), least)[0] for _, p in known]
     able = shared.select("_id", "shared", F.when((F.size("shared") > 0) & functools.reduce(operator.or_, enough), F.col("_text")).alias("_text"))
     split = F.transform(F.split("_text", PIECE_END), _words)
     pieces = able.select("_id", "shared", F.filter(split, lambda w: F.size(w) > 0).alias("pieces"))
-    flat = pieces.select("_id", "shared", F.transform("pieces", lambda p: F.size(p)).alias("sizes"), F.flatten("pieces").alias("words"), F.flatten(F.transform("pieces", lambda p, k: F.array_repeat(k, F.size(p)))).alias("piece"))
-    paired = flat.select("_id", "shared", "sizes", "piece", _pairs(F.col("words")).alias("pairs"))
-    inside = F.array_compact(F.transform("pairs", lambda p, i: F.when(F.array_contains("shared", p), i)))
-    marked = paired.select("_id", "sizes", "piece", "pairs", inside.alias("inside"))
-    starts = F.array_distinct(F.transform("inside", lambda i: F.get("piece", i)))
-    stops = F.array_distinct(F.transform("inside", lambda i: F.get("piece", i + 1)))
-    marked = marked.select("_id", "pairs", "sizes", starts.alias("starts"), stops.alias("stops"))
-
-    def pairs_in(a: Column, b: Column) -> Column:
-        """Distinct pairs of the run of pieces a to b."""
-        before = F.aggregate(F.slice("sizes", 1, a), F.lit(0), lambda x, y: x + y)
-        length = F.aggregate(F.slice("sizes", a + 1, b - a + 1), F.lit(0), lambda x, y: x + y) - 1
-        return F.when((length >= lowest) & (length <= most), F.array_distinct(F.slice("pairs", before + 1, length)))
-
-    runs = F.flatten(F.transform("starts", lambda a: F.transform(F.filter("stops", lambda b: b >= a), lambda b: pairs_in(a, b))))
-    units = F.concat(F.array(F.array_distinct("pairs")), F.filter(runs, lambda s: s.isNotNull()))
-    fitting = F.filter(units, lambda s: (F.size(s) >= lowest) & (F.size(s) <= most))
-    sets = marked.select("_id", F.when(F.size("starts") > 0, F.array_distinct(fitting)).alias("sets"))
-
-    def best_of(rank: int, own: list[str]) -> Column:
-        low, high = bounds(len(own), least)
-        near = F.filter("sets", lambda s: (F.size(s) >= low) & (F.size(s) <= high))
-        dice = F.array_max(F.transform(near, lambda s: F.size(F.array_intersect(s, _strings(own))) * 2.0 / (F.size(s) + len(own))))
-        return F.when(dice >= least, F.struct(dice.alias("dice"), F.lit(-rank).alias("rank")))
-
-    found = sets.select("_id", F.when(F.size("sets") > 0, F.array_compact(F.array(*[best_of(k, p) for k, (_, p) in enumerate(known)]))).alias("hits"))
+    flat = F.struct(F.flatten("pieces").alias("words"), F.flatten(F.transform("pieces", lambda p, k: F.array_repeat(k, F.size(p)))).alias("piece"), F.size("pieces").alias("n"))
+    told = settled(pieces, "_flat", flat).select("_id", "shared", "_flat.*")
+
+    begins = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (i == 0) | (F.get("piece", i) != F.get("piece", i - 1)))
+    marks = F.struct(_pairs(F.col("words")).alias("pairs"), F.transform("words", lambda w: F.array_contains(keys, w)).alias("key"), F.when(F.size("words") > 0, begins).alias("begins"))
+    told = settled(told, "_marks", marks).select("_id", "shared", "piece", "n", "_marks.*")
+    told = settled(told, "_hit", F.transform("pairs", lambda p: F.array_contains("shared", p))).withColumnRenamed("_hit", "hit")
+
+    def end(k: Column) -> Column:
+        """Behind the last word of a piece."""
+        return F.coalesce(F.get("begins", k + 1), F.size("key"))
+
+    def some(flags: str, a: Column, b: Column) -> Column:
+        """Whether a flag from a to before b is set."""
+        return F.exists(F.slice(flags, a + 1, F.greatest(b - a, F.lit(0))), lambda x: x)
+
+    starts = F.transform("begins", lambda a, k: some("hit", a, F.least(end(k), F.size("hit"))))
+    stops = F.transform("begins", lambda a, k: some("hit", F.greatest(a - 1, F.lit(0)), end(k) - 1))
+    told = settled(told, "_ends", F.struct(starts.alias("starts"), stops.alias("stops"))).select("_id", "shared", "piece", "n", "pairs", "key", "begins", "_ends.*")
+
+    def reach(k: Column) -> Column:
+        """The last piece that a run from piece k can have, or k itself."""
+        beyond = F.get("piece", F.get("begins", k) + most + 1)
+        return F.greatest(k, F.coalesce(beyond - 1, F.col("n") - 1))
+
+    def runs_from(k: Column) -> Column:
+        """Runs of pieces from k that hold a key word, by first pair and number of pairs."""
+        a = F.get("begins", k)
+        each = F.transform(F.filter(F.sequence(k, reach(k)), lambda j: F.get("stops", j)), lambda j: F.struct(a.alias("at"), (end(j) - a - 1).alias("length")))
+        return F.filter(each, lambda u: (u["length"] >= lowest) & (u["length"] <= most) & some("key", u["at"], u["at"] + u["length"] + 1))
+
+    able_starts = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.get("starts", k) & some("key", F.get("begins", k), F.get("begins", k) + most + 1))
+    whole = F.struct(F.lit(0).alias("at"), F.size("pairs").alias("length"))
+    units = F.when(F.size("pairs") >= lowest, F.concat(F.array(whole), F.flatten(F.transform(able_starts, runs_from))))
+    told = settled(told, "_units", units).select("_id", "shared", "pairs", F.col("_units").alias("units"))
+
+    def judged(own: Column) -> Column:
+        """Templates that a set of pairs reaches; two thirds of it (at least 0.8) must be pairs of templates."""
+        made = []
+        for rank, (_, pairs) in enumerate(known):
+            low, high = bounds(len(pairs), least)
+            dice = F.size(F.array_intersect(own, _strings(pairs))) * 2.0 / (F.size(own) + len(pairs))
+            made.append(F.when((F.size(own) >= low) & (F.size(own) <= high) & (dice >= least), F.struct(dice.alias("dice"), F.lit(-rank).alias("rank"))))
+        can = (F.size(own) <= most) & (F.size(F.array_intersect(own, F.col("shared"))) >= F.size(own) * (least / (2 - least)) - 1e-9)
+        return F.when(can, F.array_compact(F.array(*made))).otherwise(F.array().cast("array<struct<dice:double,rank:int>>"))
+
+    sets = F.transform("units", lambda u: F.flatten(F.transform(F.array(F.array_distinct(F.slice("pairs", u["at"] + 1, u["length"]))), judged)))
+    found = settled(told, "hits", F.flatten(sets))
+    ranks = F.array_distinct(F.transform("hits", lambda h: h["rank"]))
     names = _strings([name for name, _ in known])
     best = F.array_max("hits")
-    licences = F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda h: F.get(names, -h["rank"])))), ",")
-    return found.select(F.col("_id").alias(id_col), F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_hits"), F.get(names, -best["rank"]).alias("license_id"), best["dice"].alias("dice"), F.when(F.size("hits") > 0, licences).alias("license_ids"))
+    licences = F.array_join(F.array_sort(F.array_distinct(F.transform(ranks, lambda r: F.get(names, -r)))), ",")
+    return found.select(F.col("_id").alias(id_col), F.coalesce(F.size(ranks), F.lit(0)).cast("long").alias("n_hits"), F.get(names, -best["rank"]).alias("license_id"), best["dice"].alias("dice"), F.when(F.size("hits") > 0, licences).alias("license_ids"))
 
 
 def scan_sql(templates: list[tuple[str, str]] = TEMPLATES, least: float = 0.8) -> str:

@@ -440,6 +440,21 @@ def plain_scan(text, least=0.8):
     return (len(hits), *((min(hits)[1], -min(hits)[0], ",".join(sorted({n for _, n in hits}))) if hits else (None, None, None)))
 
 
+def test_licenses_in_long_texts(spark):
+    """Runs of many pieces against the plain scan, and texts of some MB whose sentences all hold pairs of templates."""
+    notices = [t for _, t in licenses.TEMPLATES]
+    mixed = " ".join(f"the {prose(3)} of the software is {notices[k % len(notices)]} {prose(k % 5)}. In the {prose(2)}." for k in range(120))
+    rows = [(1, mixed), (2, "MIT License\n" + "A license to the work. " * 200 + prose(40)), (3, "\n".join(notices * 3))]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert counted(tuple(r) for r in got) == counted((i, *plain_scan(t)) for i, t in rows)
+    dense = "MIT License\n\n" + f"the {prose(4)} of the software {prose(4)}. " * 2000
+    long = "MIT License\n\n" + f"in the {prose(8)} to the {prose(6)}. " * 40_000 + "\nReleased under the BSD 3-Clause License.\n"
+    began = time.monotonic()
+    got = licenses.scan(spark.createDataFrame([(1, dense), (2, long)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.license_ids for r in got} == {1: "mit", 2: "bsd-3-clause,mit"}
+    assert time.monotonic() - began < 120
+
+
 def test_licenses(spark, empty):
     full = {name: "\n\n".join(t for n, t in licenses.TEMPLATES if n in (name, name.split("-")[0])) for name in ("mit", "bsd-3-clause", "isc", "apache-2.0", "gpl-3.0")}
     rows = [(1, "x\nReleased under the MIT License.\ny"), (2, "released UNDER the mit license"), (3, None), (4, ""), (5, "Licensed under the Apache License, Version 2.0."), (5, "nothing here at all, only words of prose"), (None, "This work is licensed under the GNU General Public License, version 3. " + prose(50))]
