@@ -2,37 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_own_scratch: str | None = None
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, one of our own in local mode (tests), an error on a cluster."""
-    global _own_scratch
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if _own_scratch is None:
-        _own_scratch = tempfile.mkdtemp(prefix="spark-")
-    return _own_scratch
+from nlimorph.sources.scratch import discard, new_folder, scratch_dir
 
+__all__ = ["WordHashes", "discard", "first_by_hash", "fold_of", "materialize", "mix64", "new_folder", "rolling_hash", "scratch_dir", "split_batch", "written"]
 
 def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """df written to a new Parquet folder in the shared scratch folder and read back, and that folder."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -45,17 +31,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return written(df, label)[0]
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a written folder that no later step reads."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def fold_of(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds`` (null for a null id)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
+def first_by_hash(ids: DataFrame, id_col: str, limit: int, salt: str) -> DataFrame:
+    """The first ``limit`` rows in the order of a hash of their id, which no two of them share.
+
+    A histogram of the hashes' first 16 bits (65,536 rows at most) tells below which bound they lie; only rows under it are sorted.
+    """
+    order = F.xxhash64(F.lit(salt), F.col(id_col))
+    bucket = F.shiftright(order, 48).cast("int")
+    total, bound = 0, None
+    for r in sorted(ids.groupBy(bucket.alias("b")).count().collect()):
+        total, bound = total + r[1], r.b
+        if total >= limit:
+            break
+    return ids.limit(0) if bound is None else ids.where(bucket <= bound).orderBy(order, id_col).limit(limit)
+
+
 def split_batch(batch: pa.RecordBatch, text_col: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batch holding about ``max_bytes`` of text each (one row at least)."""
     if batch.num_rows == 0:

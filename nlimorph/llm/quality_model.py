@@ -20,6 +20,7 @@ learn from every score is 0.5; an empty table gives an empty result; other colum
 from __future__ import annotations
 
 import re
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nlimorph.llm._shared import split_batch
+from nlimorph.llm._shared import first_by_hash, materialize, split_batch
 
 ROWS = 1 << 15
 DIMS = 48
@@ -171,10 +172,20 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 120)
     return model
 
 
-def train(df: DataFrame, labels: DataFrame, in_training: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 6_000) -> QualityModel:
-    """Fit on at most ``sample_rows`` labelled rows for which ``in_training`` (over the labels' id) holds."""
+def within_bytes(sample: DataFrame, most: int) -> DataFrame:
+    """Rows of the sample in hash order until their texts hold ``most`` bytes; the driver gets a length for each of its ids."""
+    sizes = sample.select("_id", F.octet_length("_text").alias("n")).orderBy(F.xxhash64(F.lit("quality"), F.col("_id")), "_id").collect()
+    taken = [r._id for r, total in zip(sizes, itertools.accumulate(r.n for r in sizes), strict=True) if total <= most]
+    return sample if len(taken) == len(sizes) else sample.where(F.col("_id").isin(taken))
+
+
+def train(df: DataFrame, labels: DataFrame, in_training: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 6_000, sample_bytes: int = 256 << 20) -> QualityModel:
+    """Fit on labelled rows for which ``in_training`` (over the labels' id) holds: at most ``sample_rows`` ids in hash order, of whose texts those up to ``sample_bytes`` in all are taken.
+
+    Of several labels of an id the largest counts, of several texts the first in their order.
+    """
     ids = labels.where(in_training & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
-    drawn = ids.orderBy(F.xxhash64(F.lit("quality"), F.col(id_col)), id_col).limit(sample_rows)
+    drawn = first_by_hash(ids, id_col, sample_rows, "quality")
     rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(drawn.select(F.col(id_col).alias("_id"), "label")), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +195,9 @@ def train(df: DataFrame, labels: DataFrame, in_training: Column, id_col: str = "
         parts = [m.words, m.shapes, *m.layers, np.array([m.temperature])]
         yield pa.RecordBatch.from_pydict({"part": np.arange(len(parts)), "shape": pa.array([list(p.shape) for p in parts], pa.list_(pa.int64())), "data": pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())})
 
-    one_each = rows.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("label").alias("label"))  # an id may have any number of rows
-    parts = one_each.select("_id", "_text", "label").repartition(1).mapInArrow(run, "part long, shape array<long>, data binary").orderBy("part").collect()
+    one_each = materialize(rows.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("label").alias("label")), "quality-sample")  # an id may have any number of rows
+    sample = within_bytes(one_each, sample_bytes)
+    parts = sample.select("_id", "_text", "label").repartition(1).mapInArrow(run, "part long, shape array<long>, data binary").orderBy("part").collect()
     if not parts:
         return fit([], np.empty(0))
     arrays = [np.frombuffer(bytes(p.data), dtype=np.float32).reshape(p.shape) for p in parts]

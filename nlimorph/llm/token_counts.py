@@ -4,10 +4,9 @@ A tokenizer that drops white space encodes each run between ASCII white space on
 document's count is the sum over its runs. Tier one is a broadcast table of the lengths of frequent
 runs; tier two is each worker's own cache, filled by the tokenizer. No run is ever shuffled.
 
-The table holds at most ``frequent`` runs, those that are met most often in all documents. Each task tallies its own and sends
-its most frequent ones; a tally that has grown past ``MOST_TALLIED`` runs keeps the more frequent half. How many runs reach each
-level of frequency tells which levels fit the table; a level that would overfill it stays out as a whole, so no task ever sorts the
-runs of others. The table is a cache and cannot change a count.
+The table holds at most ``frequent`` runs, the most frequent of a sample: of the first ``SAMPLED_TASKS`` partitions, whole documents
+until ``SAMPLED_BYTES`` of text are met in each. Each of these tasks sends its ``SENT`` most frequent runs to the driver, one row a task.
+The table is a cache and cannot change a count, so it need not hold the most frequent runs of all.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows give repeated results;
 a null id stays null; an empty table gives an empty result; only the id and the text are read, so
@@ -28,12 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nlimorph.llm._shared import materialize, split_batch
+from nlimorph.llm._shared import split_batch
 
 CACHE_ENTRIES = 700_000
 LONGEST_CACHED = 64
-MOST_TALLIED = 1 << 19
-LEVELS = 64  # a doubling of the frequency
+SAMPLED_TASKS = 256
+SAMPLED_BYTES = 1 << 20
+SENT = 4096
 _tokenizers: dict[str, object] = {}
 
 
@@ -129,39 +129,29 @@ def encoder(path: str) -> RunEncoder:
 
 
 def _frequent_table(df: DataFrame, path: str, text_col: str, frequent: int) -> tuple[str, bytes]:
-    """The most frequent runs, at most ``frequent``, joined by spaces, and their lengths as bytes."""
+    """Frequent runs, at most ``frequent``, joined by spaces, and their lengths as bytes."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
-        for whole in batches:
-            for batch in split_batch(whole, text_col, 4 << 20):
-                for text in batch.column(0).to_pylist():
-                    if text:
-                        seen.update(runs_of(text))
-                if len(seen) > MOST_TALLIED:
-                    seen = Counter({r: n for r, n in seen.most_common(MOST_TALLIED // 2) if len(r) <= LONGEST_CACHED})
-        top = [(r, n) for r, n in seen.most_common(frequent) if 0 < len(r) <= LONGEST_CACHED]
-        yield pa.RecordBatch.from_pydict({"run": pa.array([r for r, _ in top], pa.string()), "times": pa.array([n for _, n in top], pa.int64())})
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = 0
         for batch in batches:
-            runs = batch.column(0).to_pylist()
-            lengths = [len(e) for e in load_tokenizer(path).encode_batch_fast(runs, add_special_tokens=False)]
-            keep = [(r, n) for r, n in zip(runs, lengths, strict=True) if n < 256]
-            yield pa.RecordBatch.from_pydict({"run": pa.array([r for r, _ in keep], pa.string()), "n": pa.array([n for _, n in keep], pa.int32())})
-
-    times = df.select(text_col).mapInArrow(tally, "run string, times long").groupBy("run").agg(F.sum("times").alias("times"))
-    levelled = materialize(times.select("run", F.floor(F.log2("times") * LEVELS).cast("int").alias("level")), "runs")
-    least, total = None, 0
-    for r in sorted(levelled.groupBy("level").count().collect(), reverse=True):  # 63 * LEVELS rows at most
-        total += r["count"]
-        if total > frequent:
-            break
-        least = r.level
-    if least is None:
-        return "", b""
-    rows = levelled.where(F.col("level") >= least).select("run").mapInArrow(measure, "run string, n int").collect()
-    return " ".join(r.run for r in rows), bytes(r.n for r in rows)
+            for part in split_batch(batch, text_col, 64 << 10) if met < SAMPLED_BYTES else ():
+                for text in part.column(0).to_pylist():
+                    if text and met < SAMPLED_BYTES:
+                        met += len(text)
+                        seen.update(runs_of(text))
+        top = [(r, n) for r, n in seen.most_common(SENT) if 0 < len(r) <= LONGEST_CACHED]
+        if top:
+            yield pa.RecordBatch.from_pydict({"runs": [" ".join(r for r, _ in top)], "times": pa.array([[n for _, n in top]], pa.list_(pa.int64()))})
+
+    sampled = df.where(F.spark_partition_id() < SAMPLED_TASKS).select(text_col).mapInArrow(tally, "runs string, times array<long>")
+    times: Counter[str] = Counter()
+    for r in sampled.collect():  # a row a sampled task
+        times.update(dict(zip(r.runs.split(" "), r.times, strict=True)))
+    runs = [r for r, _ in sorted(times.items(), key=lambda x: (-x[1], x[0]))[:frequent]]
+    lengths = [len(e) for e in load_tokenizer(path).encode_batch_fast(runs, add_special_tokens=False)]
+    kept = [(r, n) for r, n in zip(runs, lengths, strict=True) if n < 256]
+    return " ".join(r for r, _ in kept), bytes(n for _, n in kept)
 
 
 def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = 65_536) -> DataFrame:

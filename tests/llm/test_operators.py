@@ -58,10 +58,14 @@ def counted(rows):
 def test_token_counts(docs, empty, monkeypatch):
     tok = Tokenizer.from_file(WORD)
     want = counted((i, len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in ROWS)
-    for size, most in ((1, 1 << 19), (4096, 1 << 19), (4096, 50)):
-        monkeypatch.setattr(token_counts, "MOST_TALLIED", most)
+    for size, met, tasks in ((1, 1 << 20, 256), (4096, 1 << 20, 256), (4096, 50, 1), (4096, 50, 0)):
+        monkeypatch.setattr(token_counts, "SAMPLED_BYTES", met)
+        monkeypatch.setattr(token_counts, "SAMPLED_TASKS", tasks)
         assert counted(tuple(r) for r in token_counts.token_counts(docs, WORD, frequent=size).collect()) == want
     assert token_counts.token_counts(empty, WORD).count() == 0
+    words, lengths = token_counts._frequent_table(docs, WORD, "text", 20)
+    assert [len(tok.encode(w, add_special_tokens=False).ids) for w in words.split(" ")] == list(lengths) or tasks == 0
+    assert "Exchange" not in token_counts.token_counts(docs, WORD)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_token_counts_on_every_latin_character():
@@ -391,6 +395,29 @@ def test_quality_rules(spark, docs, empty):
     assert quality_rules.apply_rules(docs, trusted.limit(0), buckets=64).where("kept").count() > 0
 
 
+def test_an_id_of_many_labels_is_one_of_the_sample(spark):
+    rows = [(7, 1)] * 10_000 + [(k, 1) for k in range(100, 148)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int")
+    assert sorted(r.doc_id for r in quality_rules.trusted_ids(labels, limit=1000).collect()) == [7, *range(100, 148)]
+    first = [r.doc_id for r in quality_rules.trusted_ids(labels, limit=10).collect()]
+    ordered = labels.distinct().orderBy(F.xxhash64(F.lit("target"), "doc_id")).limit(10).collect()
+    assert sorted(first) == sorted(r.doc_id for r in ordered)
+    assert quality_rules.trusted_ids(labels.limit(0)).count() == 0
+
+
+def test_quality_sample_is_bounded_by_rows_and_bytes(spark, monkeypatch):
+    df = spark.createDataFrame([(7, f"text {k} " + prose(5)) for k in range(10_000)] + [(k, "x " * 10 * k) for k in range(100, 148)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 0), (7, 1)] * 500 + [(k, k % 2) for k in range(100, 148)], "doc_id long, quality int")
+    cut, taken = quality_model.within_bytes, []
+    monkeypatch.setattr(quality_model, "within_bytes", lambda sample, most: taken.append(cut(sample, most)) or taken[-1])
+    for rows, size in ((6000, 1 << 28), (6000, 20_000), (20, 1 << 28), (6000, 0)):
+        model = quality_model.train(df, labels, F.lit(True), sample_rows=rows, sample_bytes=size)
+        assert len(quality_model.score(df.limit(3), model).collect()) == 3
+    counts = [t.count() for t in taken]
+    assert counts[0] == 49 and 0 < counts[1] < 49 and counts[2:] == [20, 0]
+    assert taken[1].agg(F.sum(F.octet_length("_text"))).first()[0] <= 20_000
+
+
 def quality_words(text):
     return [w.decode() for w in (text or "").encode().split()]
 
