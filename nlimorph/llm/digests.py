@@ -11,8 +11,8 @@ best partner and their mean, weighted by features, is the likeness.
 
 Defined results: null text counts as empty; an empty text has an empty digest, like to another empty one (1)
 and unlike all others (0); a text shorter than a window is one feature; equal texts have equal digests and
-likeness 1; ties in the order of ids go by text; null ids come last in the descending order; repeated rows
-follow each other; an empty table gives an empty result; other columns are not read.
+likeness 1; ties in the order of ids go by the hash of the text and then by the text; null ids come last in the descending order;
+repeated rows follow each other; very long texts are read whole, and their filters compared some at a time; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -100,6 +100,9 @@ def class_ranks(df: DataFrame, text_col: str = "text") -> np.ndarray:
     return ranks
 
 
+SLICE = 512  # filters of a text that are compared at a time
+
+
 class Digest:
     """A chain of Bloom filters with the number of features in each."""
 
@@ -132,10 +135,16 @@ class Digest:
             return 1.0 if not len(b.counts) else 0.0
         if a.filters.shape == b.filters.shape and (a.filters == b.filters).all():
             return 1.0
-        wide_a, wide_b = (np.unpackbits(x.filters, axis=1).astype(np.float32) for x in (a, b))
-        both, one, two = wide_a @ wide_b.T, wide_a.sum(axis=1)[:, None], wide_b.sum(axis=1)[None, :]
-        chance, most = one * two / (FILTER_BYTES * 8), np.minimum(one, two)
-        score = np.clip((both - chance) / np.maximum(most - chance, 1e-6), 0, 1).max(axis=1)
+        score = np.zeros(len(a.counts), dtype=np.float32)
+        for i in range(0, len(a.counts), SLICE):
+            wide_a = np.unpackbits(a.filters[i : i + SLICE], axis=1).astype(np.float32)
+            one = wide_a.sum(axis=1)[:, None]
+            for j in range(0, len(b.counts), SLICE):
+                wide_b = np.unpackbits(b.filters[j : j + SLICE], axis=1).astype(np.float32)
+                two = wide_b.sum(axis=1)[None, :]
+                chance, most = one * two / (FILTER_BYTES * 8), np.minimum(one, two)
+                best = np.clip((wide_a @ wide_b.T - chance) / np.maximum(most - chance, 1e-6), 0, 1).max(axis=1)
+                score[i : i + SLICE] = np.maximum(score[i : i + SLICE], best)
         return float(min(1.0, (score * a.counts).sum() / a.counts.sum()))
 
     def __bytes__(self) -> bytes:
@@ -186,14 +195,16 @@ def _batch(ids: pa.Array, rows: list[tuple], extra: dict) -> pa.RecordBatch:
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
-    Rows are ranged by descending id; within a range each row meets the next one as the rows stream by. The last
+    Rows are ranged by descending id, rows of one id by the hash of their text and then the text, so that an id of many
+    rows is dealt to many ranges; within a range each row meets the next one as the rows stream by. The last
     row of each range and the first of the next, a pair a range, are joined afterwards.
     """
     shared = df.sparkSession.sparkContext.broadcast(class_ranks(df, text_col))
     kind = df.schema[id_col].dataType.simpleString()
     ordered = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    order = [F.desc_nulls_last("id"), F.asc("text")]
-    ordered = ordered.repartitionByRange(F.desc_nulls_last("id")).sortWithinPartitions(*order)
+    placed = ordered.withColumn("at", F.xxhash64("text"))
+    order = [F.desc_nulls_last("id"), F.asc("at")]
+    ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order, F.asc("text")).drop("at")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, part = Pairs(shared.value), TaskContext.get().partitionId()

@@ -264,11 +264,12 @@ def test_components_of_a_chain(spark):
     assert got == {k: 0 for k in range(1, 41)} | {101: 100}
 
 
-def test_digests(docs, empty):
-    ids = sorted(((i is None, -(i or 0), t or "", i) for i, t, *_ in ROWS))
-    texts = [t for _, _, t, _ in ids]
+def test_digests(spark, docs, empty):
+    at = {r.text: r.h for r in docs.select(F.coalesce("text", F.lit("")).alias("text")).distinct().select("text", F.xxhash64("text").alias("h")).collect()}
+    ids = sorted(((i is None, -(i or 0), at[t or ""], t or "", i) for i, t, *_ in ROWS))
+    texts = [t for _, _, _, t, _ in ids]
     want = []
-    for k, (_, _, t, i) in enumerate(ids):
+    for k, (_, _, _, t, i) in enumerate(ids):
         cut = len(t) // 3
         want.append((i, len(t), hashlib.sha256((t[: len(t) - cut] + texts[(k + 1) % len(ids)][:cut]).encode()).hexdigest()))
     got = digests.fingerprints(docs).collect()
@@ -283,6 +284,23 @@ def test_digests(docs, empty):
     assert digests.fingerprints(empty).count() == 0
 
 
+def test_an_id_of_many_rows_is_dealt_to_many_ranges(spark):
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, id, if(id % 3 = 1, 5, null)) as doc_id", "concat('some text ', id) as text")
+    got = digests.fingerprints(df)
+    rows = df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    rows.sort(key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))
+    want = [(r.doc_id, hashlib.sha256(digests.edited(r.text, rows[(k + 1) % len(rows)].text).encode()).hexdigest()) for k, r in enumerate(rows)]
+    assert counted((r.doc_id, r.edited_sha256) for r in got.collect()) == counted(want)
+
+
+def test_likeness_in_slices(monkeypatch):
+    ranks = draw.permutation(digests.CLASSES)
+    a, b = (digests.Digest.of(digests.windows_of(t.encode()), ranks) for t in (prose(30_000), prose(20_000)))
+    whole = a.likeness(b)
+    monkeypatch.setattr(digests, "SLICE", 3)
+    assert len(a.counts) > 3 and a.likeness(b) == pytest.approx(whole, abs=1e-6)
+
+
 def test_digest_ranks_and_edits():
     ranks = np.arange(digests.CLASSES)
     for t in filter(None, TEXTS):
