@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nlimorph.sources.scratch import new_folder
+
 SAMPLES = """
 select l_orderkey||'-'||l_linenumber||'-'||l_partkey||'-'||l_suppkey||'-'||cast(cast(l_shipdate as date) as string) as row_key,
   case l_orderkey % 5 when 0 then 'snli' when 1 then 'mnlim' when 2 then 'mnlimm' when 3 then 'sick' else 'rte' end as dataset,
@@ -66,16 +70,32 @@ def _sql(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
     return spark.sql(text.replace(" // ", " div "), **frames)
 
 
+_kept: dict[tuple[str, str], str] = {}
+
+
+def keep(spark: SparkSession, sf_dir: str) -> None:
+    """Write the derived tables out; from now on they are read, as a user reads tables of their own."""
+    for make in (samples, predictions, results):
+        path = new_folder(spark, make.__name__)
+        make(spark, sf_dir).write.parquet(path)
+        _kept[sf_dir, make.__name__] = path
+
+
+def _kept_or(spark: SparkSession, sf_dir: str, name: str, text: str, of: Callable[[], dict[str, DataFrame]]) -> DataFrame:
+    path = _kept.get((sf_dir, name))
+    return spark.read.parquet(path) if path else _sql(spark, text, **of())
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, SAMPLES, lineitem=table(spark, sf_dir, "lineitem"))
+    return _kept_or(spark, sf_dir, "samples", SAMPLES, lambda: {"lineitem": table(spark, sf_dir, "lineitem")})
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, PREDICTIONS, samples=samples(spark, sf_dir))
+    return _kept_or(spark, sf_dir, "predictions", PREDICTIONS, lambda: {"samples": samples(spark, sf_dir)})
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, RESULTS, predictions=predictions(spark, sf_dir))
+    return _kept_or(spark, sf_dir, "results", RESULTS, lambda: {"predictions": predictions(spark, sf_dir)})
 
 
 def with_sql(*names: str) -> str:

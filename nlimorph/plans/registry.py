@@ -13,7 +13,7 @@ from nlimorph.functions import labels as L
 from nlimorph.operators import audit, evaluate, groups, instruct, score, seeds
 from nlimorph.plans import files
 from nlimorph.plans import fixtures as fx
-from nlimorph.sources import clustered, jsonl, layouts
+from nlimorph.sources import clustered, jsonl, layouts, records
 from nlimorph.sources.scratch import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -273,6 +273,24 @@ def prediction_folders(spark, sf_dir):
     return scored.groupBy("model", "dataset", "mr").agg(F.count("*").alias("total"), F.count_if(evaluate.wrong()).alias("errors"))
 
 
+@_query(
+    fx.with_sql("predictions")
+    + f""", {_CLEANED}, judged as (select *, {_pred("strict")} as pred from cleaned where status = 200 and mr is not null and substr(md5('j|'||row_key),1,1) not in ('0', '1')), scored as (select * from judged where pred is not null)
+select dataset, mr, count(*) as total, count(*) filter (gold <> pred) as errors, case when prompt_tokens % 2 = 0 then 'even' else 'odd' end as kind from scored group by all"""
+)
+def typed_records(spark, sf_dir):
+    """Prediction lines parsed once into a typed table, and error rates by a field of the example from that table."""
+    p = fx.predictions(spark, sf_dir).where(F.col("mr").isNotNull())
+    kind = F.when(F.col("prompt_tokens") % 2 == 0, '{"example":{"kind":"even"},').otherwise('{"example":{"kind":"odd"},')
+    lines = fx.prediction_lines(p).join(p.select("row_key", kind.alias("head")), "row_key")
+    value = F.when(F.col("value").startswith("{"), F.concat("head", F.substring(F.col("value"), F.lit(2), F.length("value")))).otherwise(F.col("value"))
+    path = new_folder(spark, "records")
+    records.write_records(jsonl.parse_lines(lines.select(F.lit("a").alias("model"), "dataset", "mr", value.alias("value"))), path)
+    read = evaluate.scorable(records.read_records(spark, path)).withColumn("kind", F.try_variant_get("example", "$.kind", "string"))
+    scored = evaluate.parsed(evaluate.with_prediction(read))
+    return scored.groupBy("dataset", "mr", "kind").agg(F.count("*").alias("total"), F.count_if(evaluate.wrong()).alias("errors"))
+
+
 @_query(
     fx.with_sql("results")
     + """ select experiment, seed, test_type, dataset, count(*) filter (not malformed) as total, count(*) filter (not malformed and correct) as n_correct, count(*) filter (malformed) as n_malformed,

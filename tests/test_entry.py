@@ -1,4 +1,4 @@
-import importlib.util
+import importlib
 import os
 
 import pytest
@@ -14,8 +14,14 @@ def test_registered_names_and_sql_match():
 
 
 def test_library_stands_without_the_training_data_part(monkeypatch):
-    found = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name: None if name in ("nlimorph.llm", "corpus_pipeline") else found(name))
+    whole = importlib.import_module
+
+    def lacking(name):
+        if name in ("nlimorph.llm.queries", "corpus_pipeline"):
+            raise ImportError(name)
+        return whole(name)
+
+    monkeypatch.setattr(importlib, "import_module", lacking)
     assert set(__spark_entry__.queries()) == set(registry.queries())
 
 

@@ -73,3 +73,20 @@ def test_configuration(spark, tmp_path):
 def test_round_trip(spark, tmp_path):
     jsonl.write_jsonl(spark.createDataFrame([("a", None)], "x string, y string"), str(tmp_path / "o"))
     assert jsonl.read_jsonl(spark, str(tmp_path / "o")).first().value == '{"x":"a","y":null}'
+
+
+def test_evaluations_read_the_fields_they_name(spark, tmp_path):
+    from nlimorph.operators import evaluate
+    from nlimorph.sources import records
+
+    line = '{"index": 1, "status": 200, "meta": {"task": "nli", "premise": "p", "gold_label": "neutral"}, "example": {"a": 1}, "response": {"choices": [{"message": {"content": "Neutral."}}], "usage": {"prompt_tokens": 3}}}'
+    rows = jsonl.parse_lines(spark.createDataFrame([("m", "snli", "x", line), ("m", "rte", "y", '{"status": "error"}')], "model string, dataset string, mr string, value string"))
+    records.write_records(rows, str(tmp_path / "r"))
+    read = records.read_records(spark, str(tmp_path / "r"))
+    assert read.where("dataset = 'snli'").select("index", "reply", "prompt_tokens", F.to_json("example").alias("e")).first() == (1, "Neutral.", 3, '{"a":1}')
+    scored = evaluate.parsed(evaluate.with_prediction(evaluate.scorable(read)))
+    plan = evaluate.mrv(scored)._jdf.queryExecution().executedPlan().toString()
+    schema = plan.split("ReadSchema: struct<")[1].split(">")[0]
+    assert {c.split(":")[0] for c in schema.split(",")} == {"mr", "status", "task", "gold", "reply"}
+    only = scored.where("dataset = 'rte'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dataset" in only
