@@ -119,6 +119,35 @@ class Index:
         return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n) + self.frequent[self.frequent[:, seed] > 0].sum(axis=0)
 
 
+def neighbours(scores: np.ndarray, unused: np.ndarray) -> Iterator[list[int]]:
+    """Unused documents by falling score, NEIGHBOURS at a time; first few, then more, then all of them are ordered.
+
+    What is given out is used up before the next are asked for.
+    """
+    given = 0
+    for most in (NEIGHBOURS, 64 * NEIGHBOURS, len(scores)):
+        free = np.flatnonzero(unused)
+        wanted = most - given
+        if not len(free):
+            return
+        best = free[np.argpartition(-scores[free], wanted)[:wanted]] if len(free) > wanted else free
+        best = best[np.lexsort((best, -scores[best]))]
+        for at in range(0, len(best), NEIGHBOURS):
+            yield best[at : at + NEIGHBOURS].tolist()
+        given += len(best)
+
+
+def with_bare(windows: list[list[tuple[int, int, int]]], whole: np.ndarray, bare: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
+    """Windows over the documents ``whole``, and those of one id, which have no term to be found by, behind them in order."""
+    out = [[(int(whole[d]), start, length) for d, start, length in pieces] for pieces in windows]
+    left = bare.tolist()
+    space = window - sum(p[2] for p in out[-1]) if out else 0
+    if space and out:
+        out[-1] += [(d, 0, 1) for d in left[:space]]
+        left = left[space:]
+    return out + [[(d, 0, 1) for d in left[at : at + window]] for at in range(0, len(left), window)]
+
+
 def fill(sizes: np.ndarray, index: Index, window: int) -> list[list[tuple[int, int, int]]]:
     """Windows of pieces (document, start, length); all but the last are full."""
     unused = np.ones(len(sizes), dtype=bool)
@@ -140,16 +169,14 @@ def fill(sizes: np.ndarray, index: Index, window: int) -> list[list[tuple[int, i
             continue
         now = [(seed, start, int(sizes[seed]) - start)]
         space = window - now[0][2]
-        scores = index.scores(seed)
+        nearest = neighbours(index.scores(seed), unused)
         seed = -1
         while space and seed < 0:
-            free = np.flatnonzero(unused)
-            if not len(free):
+            best = next(nearest, None)
+            if best is None:
                 break
-            best = free[np.argpartition(-scores[free], NEIGHBOURS)[:NEIGHBOURS]] if len(free) > NEIGHBOURS else free
-            best = best[np.lexsort((best, -scores[best]))]
             left_over = -1
-            for d in best.tolist():
+            for d in best:
                 if sizes[d] <= space:
                     now.append((d, 0, int(sizes[d])))
                     unused[d] = False
@@ -204,7 +231,13 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 2048
         data = b"".join(table.column("ids").to_pylist())
         flat = np.frombuffer(data, dtype="<u2" if len(data) == 2 * sizes.sum() else "<u4")
         begin = np.cumsum(sizes) - sizes
-        windows = fill(sizes, Index(flat, sizes, *shared.value), window)
+        bare = np.flatnonzero(sizes == 1)
+        if len(bare):
+            whole = np.flatnonzero(sizes > 1)
+            terms = flat[np.repeat(sizes > 1, sizes)]
+            windows = with_bare(fill(sizes[whole], Index(terms, sizes[whole], *shared.value), window), whole, bare, window) if len(whole) else with_bare([], whole, bare, window)
+        else:
+            windows = fill(sizes, Index(flat, sizes, *shared.value), window)
         windows[-1:] = powers_of_two(windows[-1], window)
         doc, start, length, crc, sequence, offset, ids = [], [], [], [], [], [], []
         for k, pieces in enumerate(windows):

@@ -584,6 +584,41 @@ def test_packing(docs, empty, monkeypatch, shard):
     assert packing.pack(empty, WORD).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [np.ones(200_000, np.int64), np.r_[np.ones(5000, np.int64), 3000, 2, 2, np.full(30_000, 2), 700, 1]])
+def test_shards_of_very_short_texts(sizes):
+    began = time.monotonic()
+    whole, bare = np.flatnonzero(sizes > 1), np.flatnonzero(sizes == 1)
+    own = sizes[whole]
+    flat = np.concatenate([draw.integers(2, 50, own.sum() - len(own)), np.ones(len(own), np.int64)]).astype("<u4") if len(own) else np.empty(0, "<u4")
+    windows = packing.fill(own, packing.Index(flat, own, np.full(60, 9), len(sizes), 2.0), 2048) if len(own) else []
+    windows = packing.with_bare(windows, whole, bare, 2048)
+    assert time.monotonic() - began < 20
+    seen = collections.defaultdict(list)
+    for w in windows:
+        assert sum(p[2] for p in w) <= 2048
+        for d, start, n in w:
+            seen[d].append((start, n))
+    assert all(sum(p[2] for p in w) == 2048 for w in windows[:-1])
+    assert len(seen) == len(sizes)
+    for d, pieces in seen.items():
+        at = 0
+        for start, n in sorted(pieces):
+            assert start == at
+            at += n
+        assert at == sizes[d]
+
+
+def test_neighbours_are_given_by_falling_score():
+    scores, unused = draw.integers(0, 9, 9000).astype(float), np.ones(9000, dtype=bool)
+    unused[::7] = False
+    given = []
+    for part in packing.neighbours(scores, unused):
+        unused[part] = False
+        given += part
+    assert len(given) == len(set(given)) == 9000 - len(range(0, 9000, 7))
+    assert (np.diff(scores[given]) <= 0).all()
+
+
 def test_neighbours_come_from_the_index():
     texts = [np.r_[np.full(100, t), np.arange(500 + 40 * k, 540 + 40 * k)] for k, t in enumerate([3, 4, 3, 4, 3, 4])]
     sizes = np.array([len(t) for t in texts])
