@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from nlimorph.llm import bpe, digests, langid, licenses, packing, quality_model, quality_rules, simhash, substrings, token_counts
 from nlimorph.llm._shared import fold_of, materialize, scratch_dir
 from nlimorph.llm.components import components
@@ -537,6 +538,68 @@ def test_language_id(spark, empty):
     assert langid.predict(empty, model).count() == 0
 
 
+def plain_grams(text):
+    """Four-letter n-grams one by one: letters in lower case, a run of others one space, a space at both ends."""
+    letters = re.sub("\0+", " ", "".join(c if c.isalpha() else "\0" for c in f" {(text or '').lower()} "))
+    return [letters[k : k + 4] for k in range(len(letters) - 3)] if any(c.isalpha() for c in letters) else []
+
+
+def plain_shares(rows):
+    """By text: share of its n-grams that each language's training texts hold, from sets."""
+    known = collections.defaultdict(set)
+    for i, t, lang in rows:
+        if lang is not None and t is not None and i is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            known[lang].update(plain_grams(t))
+    return {t: {lang: np.mean([g in held for g in plain_grams(t)]) if plain_grams(t) else 0.0 for lang, held in sorted(known.items())} for _, t, _ in rows}
+
+
+def test_language_scores_are_those_of_plain_sets(spark):
+    words = {"aa": VOCABULARY, "bb": ["schl" + w for w in VOCABULARY], "cc": [w + "q" for w in VOCABULARY]}
+    rows = [(k, " ".join(draw.choice(words[lang], int(draw.integers(30, 300)))) + " 12, ", lang) for k, lang in enumerate(["aa", "bb", "cc"] * 40)]
+    rows += [(300 + k, " ".join([*draw.choice(words["aa"], 60), *draw.choice(words["bb"], 60)]), None) for k in range(20)] + [(400, None, "aa"), (401, "?", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    shares = plain_shares(rows)
+    got = langid.predict(df, langid.train(df, fold_of("doc_id", 4) != 2), keep=("text",)).collect()
+    sure = 0
+    for r in got:
+        best = sorted(shares[r.text].values())
+        assert r.score == pytest.approx(best[-1] if plain_grams(r.text) else 0.0, abs=0.02)
+        if best[-1] - best[-2] > 0.04:
+            sure += 1
+            assert r.lang_pred == max(shares[r.text], key=shares[r.text].get)
+    assert sure > 90 and len(got) == len(rows)
+
+
+def plain_buckets(text, buckets=8192):
+    """Buckets of words and neighbouring pairs, hashed one by one in Python."""
+    words = [xxhash.xxh64_intdigest(w, 42) for w in (text or "").encode().split()]
+    pairs = [xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42)) for a, b in zip(words, words[1:], strict=False)]
+    return [(h - (1 << 64) if h >> 63 else h) % buckets for h in words + pairs]
+
+
+def test_language_and_quality_stages(spark):
+    """The first two stages of the pipeline keep what plain versions keep."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    shares = plain_shares(rows)
+    best = {t: max(s.values()) for t, s in shares.items()}
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, sf).collect()}
+    assert {r.doc_id for r in rows if best[r.text] > 0.53} <= kept <= {r.doc_id for r in rows if best[r.text] > 0.47}
+    held = docs.where(F.col("doc_id").isin(sorted(kept)))
+    labelled = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
+    rows = [(r.doc_id, r.text) for r in held.collect()]
+    grams = {i: plain_buckets(t) for i, t in rows}
+    raw = collections.Counter(b for g in grams.values() for b in g)
+    target = collections.Counter(b for i, g in grams.items() if i in labelled for b in g)
+    ratio = {b: round(math.log((target[b] + 1) / (target.total() + 8192)) - math.log((raw[b] + 1) / (raw.total() + 8192)), 5) for b in raw}
+    score = {i: np.mean([ratio[b] for b in g]) if g else None for i, g in grams.items()}
+    own = [score[i] for i in score if i in labelled and score[i] is not None]
+    limit = np.mean(own) - 4 * np.std(own, ddof=1)
+    want = {i for i, t in rows if not plain_measures(t)[-1] and score[i] is not None and score[i] >= limit}
+    assert {r.doc_id for r in corpus_pipeline.quality(spark, held, sf).collect()} == want
+
+
 def test_language_filter_has_no_false_negatives():
     hashes = draw.integers(0, 1 << 63, 3000).astype(np.uint64)
     f = langid.LanguageFilter.build(["a", "b"], {0: hashes[:2000], 1: hashes[1000:]}, 1 << 14, 3)
