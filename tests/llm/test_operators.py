@@ -240,6 +240,28 @@ def test_one_of_each_finds_every_kind_of_edit(spark):
     assert np.mean([x for xs in found.values() for x in xs]) > 0.995
 
 
+@pytest.mark.parametrize(("least", "most"), [(20, 60), (2000, 4000)])
+def test_one_of_each_finds_edits_of_short_and_long_texts(spark, least, most):
+    """The same for short texts, where an edit takes a larger part of the shingles, and for long ones."""
+    rows, bands = [], {}
+    while len(rows) < 600:
+        size = int(draw.integers(least, most))
+        words, others = ([f"w{n}" for n in draw.integers(0, 1 << 30, n)] for n in (size, size // 3))
+        changed = edits_of(words, others, int(draw.integers(7)), float(draw.uniform(0.01, 0.22)))
+        a, b = ({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words, changed))
+        alike = len(a & b) / len(a | b)
+        if 0.8 <= alike < 1:
+            bands[len(rows)] = int(alike * 20)
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(changed))]
+    got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = collections.defaultdict(list)
+    for k, band in bands.items():
+        found[band].append(k + 1 not in got)
+    print({band: (len(x), round(float(np.mean(x)), 3)) for band, x in sorted(found.items())})
+    assert set(bands) <= got and all(np.mean(x) >= 0.9 for x in found.values())
+    assert np.mean([x for xs in found.values() for x in xs]) > 0.98
+
+
 @pytest.mark.parametrize("group", [512, 8])
 def test_one_of_each_equals_brute_force_on_families(spark, monkeypatch, group):
     """Large and small families, chains and strangers; the same if groups are cut into many parts."""
