@@ -76,30 +76,37 @@ def _pairs(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 def confusion(df: DataFrame, by: tuple[str, ...] = ("dataset",)) -> DataFrame:
     """Counts over label x label, zeros included."""
-    pairs = _pairs(df, by)
-    grid = pairs.select(*by, "labels").distinct().select(*by, F.explode("labels").alias("gold"), "labels").select(*by, "gold", F.explode("labels").alias("pred"))
-    return grid.join(pairs.select(*by, "gold", "pred", "n"), [*by, "gold", "pred"], "left").select(*by, "gold", "pred", F.coalesce("n", F.lit(0)).alias("n"))
+    inside = F.array_contains("labels", F.col("gold")) & F.array_contains("labels", F.col("pred"))
+    cells = _pairs(df, by).groupBy(*by, "labels").agg(F.collect_list(F.when(inside, F.struct("gold", "pred", "n"))).alias("cells"))  # a cell a pair of labels
+    grid = cells.select("*", F.explode("labels").alias("gold")).select("*", F.explode("labels").alias("pred"))
+    n = F.get(F.filter("cells", lambda c: (c["gold"] == F.col("gold")) & (c["pred"] == F.col("pred"))), F.lit(0))["n"]
+    return grid.select(*by, "gold", "pred", F.coalesce(n, F.lit(0)).alias("n"))
 
 
-def metrics_per_class(df: DataFrame, by: tuple[str, ...] = ("dataset",)) -> DataFrame:
-    """tp, fp, fn, precision, recall, f1 and support of every label of the set."""
+def _per_class(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Measures of every label, and the group's ``total`` and ``correct`` beside each of them."""
     cell = _pairs(df, by).select(*by, "gold", "pred", "n", F.explode("labels").alias("label"))
     is_gold, is_pred = F.col("gold").eqNullSafe(F.col("label")), F.col("pred").eqNullSafe(F.col("label"))
 
     def total(test: Column) -> Column:
         return F.sum(F.when(test, F.col("n")).otherwise(0))
 
-    counts = cell.groupBy(*by, "label").agg(total(is_gold & is_pred).alias("tp"), total(~is_gold & is_pred).alias("fp"), total(is_gold & ~is_pred).alias("fn"), total(is_gold).alias("support"))
+    tests = {"tp": is_gold & is_pred, "fp": ~is_gold & is_pred, "fn": is_gold & ~is_pred, "support": is_gold, "correct": ~wrong(), "total": F.lit(True)}
+    counts = cell.groupBy(*by, "label").agg(*[total(t).alias(c) for c, t in tests.items()])
     out = counts.withColumn("precision", rate(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", rate(F.col("tp"), F.col("tp") + F.col("fn")))
     return out.withColumn("f1", rate(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def metrics_per_class(df: DataFrame, by: tuple[str, ...] = ("dataset",)) -> DataFrame:
+    """tp, fp, fn, precision, recall, f1 and support of every label of the set."""
+    return _per_class(df, by).drop("total", "correct")
+
+
 def metrics_overall(df: DataFrame, by: tuple[str, ...] = ("dataset",)) -> DataFrame:
-    """Totals, accuracy and macro means."""
-    pairs = _pairs(df, by)
-    totals = pairs.groupBy(*by).agg(F.sum("n").alias("total"), F.sum(F.when(~wrong(), F.col("n")).otherwise(0)).alias("correct"))
-    macro = metrics_per_class(df, by).groupBy(*by).agg(*[F.round(F.avg(c), 12).alias(f"{c}_macro") for c in ("precision", "recall", "f1")])
-    return totals.join(macro, list(by)).withColumn("accuracy", rate(F.col("correct"), F.col("total")))
+    """Totals, accuracy and macro means, from the measures of the labels."""
+    means = [F.round(F.avg(c), 12).alias(f"{c}_macro") for c in ("precision", "recall", "f1")]
+    out = _per_class(df, by).groupBy(*by).agg(F.max("total").alias("total"), F.max("correct").alias("correct"), *means)
+    return out.withColumn("accuracy", rate(F.col("correct"), F.col("total")))
 
 
 def breakdown(df: DataFrame, *fields: str) -> DataFrame:
