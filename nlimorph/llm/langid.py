@@ -14,7 +14,8 @@ false-positive rate rises, which the correction takes off. Prediction reads whol
 
 Defined results: null text, or text without a letter: ``und`` with score 0; text with letters but no
 known n-gram: the first language in sorted order with score 0; ties: the first in sorted order; no
-training rows: ``und`` for all; repeated rows give repeated results; other columns are not read.
+training rows: ``und`` for all; repeated rows give repeated results; very long texts are read whole; a null id is in no fold (held_out null in
+the query), not learned from and predicted like any; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

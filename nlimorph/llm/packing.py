@@ -14,7 +14,7 @@ powers of two.
 Terms that stand in more than half of all documents are kept as rows of weights over all documents of the shard, others
 as lists of documents; both count alike.
 
-Defined results: null or empty text is the end id alone; every id lies in exactly one piece; ties in score
+Defined results: null or empty text is the end id alone; very long texts are cut into windows of their own; every id lies in exactly one piece; ties in score
 go by row order; repeated rows are packed each; null ids stay null; an empty table gives an empty result;
 other columns are not read.
 """

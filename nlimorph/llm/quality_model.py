@@ -12,7 +12,8 @@ The fit takes at most ``sample_rows`` labelled rows outside the held-out fold, c
 the documented bound of the sample, and so of the one task that fits. Scoring reads every whole text.
 
 Defined results: null or empty text is scored as a document of no words; ties do not arise (a score is a
-function of the text alone); repeated rows score alike; a null label is not learned from; of the rows of one id the
+function of the text alone); repeated rows score alike; a null label is not learned from, of several labels of an id the largest counts; very long texts are scored whole, and learned from
+if they fit the sample's bytes; a null id is in no fold (held_out null in the query) and scored like any; of the rows of one id the
 first text in order is learned from; without rows to
 learn from every score is 0.5; an empty table gives an empty result; other columns are not read.
 """

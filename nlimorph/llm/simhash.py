@@ -11,7 +11,7 @@ sub-blocks that meet pairwise, so no group grows with the data. Of the links onl
 the components: a few for each fingerprint and block, however many copies there are.
 
 Defined results: null or wordless text has fingerprint 0 and is linked like any other; exact copies share
-a fingerprint; a null id gets a component like any row (null only if all ids of it are null); repeated rows
+a fingerprint; very long texts are read whole, one at a time; a null id gets a component like any row (null only if all ids of it are null); repeated rows
 give repeated results; an empty table gives an empty result; other columns are not read.
 """
 

@@ -13,8 +13,8 @@ hashes, so a passage that a third of all documents share costs one entry a chunk
 one bit an entry. Buckets are numerous enough to hold about ``BUCKET_WORDS`` entries each.
 
 Defined results: null text has no words (kept text ``''``); documents shorter than a window keep all
-words; repeated rows count as copies of each other; null ids and other columns pass through unchanged in
-the struct ``doc``; an empty table gives an empty result. Words are compared through 64-bit hashes, and
+words; very long texts are a chunk of their own and judged whole; repeated rows count as copies of each other;
+null ids and other columns pass through unchanged in the struct ``doc``; an empty table gives an empty result. Words are compared through 64-bit hashes, and
 windows through 128 bits of them.
 """
 

@@ -8,7 +8,7 @@ The table holds at most ``frequent`` runs, the most frequent of a sample: of the
 until ``SAMPLED_BYTES`` of text are met in each. Each of these tasks sends its ``SENT`` most frequent runs to the driver, one row a task.
 The table is a cache and cannot change a count, so it need not hold the most frequent runs of all.
 
-Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows give repeated results;
+Defined results: null text counts as empty (0 bytes, 0 tokens); very long texts are counted whole, run by run; repeated rows give repeated results;
 a null id stays null; an empty table gives an empty result; only the id and the text are read, so
 other columns, whatever their names, do not matter.
 """
