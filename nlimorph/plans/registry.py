@@ -591,7 +591,7 @@ def attach_source(spark, sf_dir):
 @_query(fx.with_sql("samples") + f", {_SOURCE}, {_GROUPS}, t as (select *, coalesce(sum(n_rows) over ({_ORDER} rows between unbounded preceding and 1 preceding), 0) as before from g) select row_key, sp as source_premise, sh as source_hypothesis, sl as source_label, sp is not null as has_source from samples semi join (select source_file, pair_key from t where before < {TARGET}) k using (source_file, pair_key) left join src using (source_file, pair_key)")
 def clustered_sources(spark, sf_dir):
     """Groups, a sample of them, its rows and their sources, all from one table clustered by group."""
-    s = clustered.write_clustered(fx.samples(spark, sf_dir), f"samples_{uuid.uuid4().hex}", 8)
+    s = clustered.write_clustered(fx.samples(spark, sf_dir), f"samples_{uuid.uuid4().hex}", 8, new_folder(spark, "clustered"))
     picked = groups.sample_groups(groups.pair_groups(s), TARGET, SEED)
     return instruct.attach_source_clustered(groups.rows_of(s, picked)).select("row_key", "source_premise", "source_hypothesis", "source_label", "has_source")
 

@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame
 from nlimorph.operators.groups import KEY
 
 
-def write_clustered(df: DataFrame, table: str, buckets: int) -> DataFrame:
-    """df as a table in ``buckets`` buckets of its group key, one sorted file each, read back.
+def write_clustered(df: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """df as a table in ``buckets`` buckets of its group key, one sorted file each, read back; in ``path`` or in the warehouse.
 
     Choose the number so that a bucket fits a task (some 100 MB); it is the parallelism of what follows. A large
     group lies in one bucket whole.
     """
-    df.repartition(buckets, *KEY).write.mode("overwrite").format("parquet").bucketBy(buckets, *KEY).sortBy(*KEY).saveAsTable(table)
+    writer = df.repartition(buckets, *KEY).write.mode("overwrite").format("parquet").bucketBy(buckets, *KEY).sortBy(*KEY)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
     return df.sparkSession.table(table)

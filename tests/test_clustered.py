@@ -28,7 +28,7 @@ def above(plan: str, column: str) -> list[str]:
 
 
 def test_no_exchange_of_rows(spark):
-    t = clustered.write_clustered(table(spark), f"t_{uuid.uuid4().hex}", 4)
+    t = clustered.write_clustered(table(spark), f"t_{uuid.uuid4().hex}", 4, f"{scratch_dir(spark)}/t-{uuid.uuid4().hex}")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert "Exchange" not in groups.pair_groups(t)._jdf.queryExecution().executedPlan().toString()
