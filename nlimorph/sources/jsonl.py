@@ -27,10 +27,11 @@ def parse_lines(df: DataFrame, col: str = "value", mode: str = "drop") -> DataFr
     """
     if mode not in ("drop", "flag", "fail"):
         raise ValueError(f"unknown mode {mode}")
-    rows = df.where(py_strip(F.col(col)) != "").withColumn("_items", alone(F.col(col)))
-    good = (F.size("_items") == 1) & closed(F.col(col))
-    read = settled(rows, "_line", F.struct(F.when(good, F.get("_items", F.lit(0))).alias("v"), F.coalesce(good, F.lit(False)).alias("ok")))
-    v, ok = F.col("_line.v"), F.col("_line.ok")
+    lines = settled(df, "_text", F.col(col))  # else filters are pushed into what made the text, and it is made several times
+    rows = lines.where(py_strip(F.col("_text")) != "").withColumn("_items", alone(F.col("_text")))
+    good = (F.size("_items") == 1) & closed(F.col("_text"))
+    read = settled(rows, "_v", F.when(good, F.get("_items", F.lit(0))))  # a JSON null is a value, not a null
+    v, ok = F.col("_v"), F.col("_v").isNotNull()
     if mode == "fail":
         v = F.when(ok, v).otherwise(F.raise_error(F.concat(F.lit("not JSON: "), F.col(col))))
     out = read.where(ok) if mode == "drop" else read

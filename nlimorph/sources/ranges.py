@@ -21,9 +21,11 @@ def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return found.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_path").alias("path"), F.col("length").alias("size"))
 
 
-def pieces(spark: SparkSession, path: str | list[str], separator: str, larger_than: int = -1) -> DataFrame:
-    """(file, start, value): pieces between separators in file order, in files of more than so many bytes."""
+def pieces(spark: SparkSession, path: str | list[str], separator: str, larger_than: int = -1, only: list[str] | None = None) -> DataFrame:
+    """(file, start, value): pieces between separators in file order, in files of more than so many bytes; with ``only``, in those of these paths alone."""
     text = spark.read.option("recursiveFileLookup", True).text(path, lineSep=separator)
+    if only is not None:  # other files are not opened: one may be a single line of any length
+        text = text.where(F.col("_metadata.file_path").isin(only))
     return text.where(F.col("_metadata.file_size") > larger_than).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
 
 
@@ -72,13 +74,13 @@ def at_range(df: DataFrame, of_range: DataFrame, *columns: str) -> DataFrame:
     return met.withColumn(columns[0], known).drop("_file", "_start", "_told")
 
 
-def numbered_lines(spark: SparkSession, path: str | list[str], larger_than: int = -1, keep: Column | None = None) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str], larger_than: int = -1, keep: Column | None = None, only: list[str] | None = None) -> DataFrame:
     """(path, line, item, value): lines of files with their number from 1 in file order, blank ones included.
 
     ``item`` numbers, from 0, the lines on which ``keep``, a column over ``value``, holds; it is null on others, and without ``keep`` on none.
     Lines are counted by range first; sums over the ranges ahead then place each of them, so a file is read by many tasks.
     """
-    lines = pieces(spark, path, "\n", larger_than).withColumn("value", F.regexp_replace("value", r"\r\z", ""))
+    lines = pieces(spark, path, "\n", larger_than, only).withColumn("value", F.regexp_replace("value", r"\r\z", ""))
     if keep is not None:
         lines = lines.withColumn("keep", F.coalesce(keep, F.lit(False)))
     wanted = F.col("keep") if keep is not None else F.lit(True)

@@ -121,3 +121,33 @@ def test_line_numbers(spark, split):
         good = [(k, json.loads(v)) for k, v in enumerate(texts[n].replace("\r\n", "\n").split("\n"), 1) if v[:1] in ("{", '"', "[")]
         want += [(n, k, i, v) for i, (k, v) in enumerate(good, 1)]
     assert [(n, k, i, json.loads(v)) for n, k, i, v in rows] == want
+
+
+def test_only_files_of_lines_are_opened_as_lines(spark, monkeypatch):
+    """A one-line file of any length is never one record; before, all files were read as lines and most rows thrown away."""
+    import os
+
+    at = f"{scratch_dir(spark)}/one line-{uuid.uuid4().hex}"
+    os.makedirs(at)
+    with open(f"{at}/a b.json", "w") as f:
+        f.write(json.dumps([{"k": k, "text": "x, y " * 40} for k in range(20_000)]))
+    with open(f"{at}/lines.json", "w") as f:
+        f.write("".join(json.dumps({"k": k}) + "\n" for k in range(50)))
+    read, pieces = [], ranges.pieces
+
+    def seen(spark, path, separator, *more, **named):
+        found = pieces(spark, path, separator, *more, **named)
+        read.extend([found] if separator == "\n" else [])
+        return found
+
+    monkeypatch.setattr(ranges, "pieces", seen)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        rows = jsonl.read_json_any(spark, at, whole_up_to=-1)
+        got = sorted((r.path.rsplit("/", 1)[-1], r.n) for r in rows.groupBy("path").agg(F.count("*").alias("n")).collect())
+        longest = [r.agg(F.max(F.length("value"))).first()[0] for r in read]
+        parts = [r.rdd.getNumPartitions() for r in read]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [n for _, n in got] == [20_000, 50]
+    assert longest and max(longest) < 100 and parts == [1]
