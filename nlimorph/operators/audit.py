@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import functools
+import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +40,7 @@ def data_signature(df: DataFrame) -> DataFrame:
 
 
 def merkle_tree(df: DataFrame, file: str, position: str, value: Column, fan: int = 1024) -> DataFrame:
-    """(file, level, at, n, digest): digests of ranges of a file's rows in order; the row of the highest level is the file's signature.
+    """(file, level, at, n, digest): digests of ranges of a file's rows in order; see ``signatures``.
 
     ``position`` numbers the rows of a file from 1. On level 1 range ``at`` holds the digests of the rows fan * at + 1 to fan * (at + 1), on level
     2 those of ``fan`` ranges of level 1, and so on, until one range is left. No group has more than ``fan`` members.
@@ -55,10 +58,36 @@ def merkle_tree(df: DataFrame, file: str, position: str, value: Column, fan: int
         rows = level.select("file", F.col("at").alias("child"), "digest", "n")
 
 
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, n_rows, signature) of ranges that come by file and in order; one digest is held at a time."""
+    last, total, ranges, single, chain = None, 0, 0, None, hashlib.sha256()
+
+    def made() -> pa.RecordBatch:
+        whole = single if ranges == 1 else chain.hexdigest()
+        return pa.RecordBatch.from_arrays([pa.array([last], kind), pa.array([total], pa.int64()), pa.array([whole[:16]])], ["file", "n_rows", "signature"])
+
+    for batch in batches:
+        kind = batch.column("file").type
+        for file, n, digest in zip(*(batch.column(c).to_pylist() for c in ("file", "n", "digest")), strict=True):
+            if ranges and file != last:
+                yield made()
+                total, ranges, chain = 0, 0, hashlib.sha256()
+            last, single = file, digest
+            total, ranges = total + n, ranges + 1
+            chain.update(digest.encode())
+    if ranges:
+        yield made()
+
+
 def signatures(tree: DataFrame) -> DataFrame:
-    """(file, n_rows, signature): what rows each file holds, and in which order."""
-    top = tree.groupBy("file").agg(F.max(F.struct("level", F.struct("n", "digest").alias("of"))).alias("top"))
-    return top.select("file", F.col("top.of.n").alias("n_rows"), F.substring("top.of.digest", 1, 16).alias("signature"))
+    """(file, n_rows, signature): what rows each file holds, and in which order.
+
+    The signature is the digest of all digests of level 1 in order, or the only one, whatever the height of the tree. They stream
+    through one task a file: 64 bytes for each ``fan`` rows, hashed as they come.
+    """
+    ranges = tree.where(F.col("level") == 1).select("file", "at", "n", "digest")
+    kind = tree.schema["file"].dataType.simpleString()
+    return ranges.repartition("file").sortWithinPartitions("file", "at").mapInArrow(_chained, f"file {kind}, n_rows long, signature string")
 
 
 def first_difference(a: DataFrame, b: DataFrame, fan: int = 1024) -> DataFrame:
