@@ -5,7 +5,8 @@ a trusted target and that of the raw corpus. Words and word pairs fall into ``bu
 document's score is the mean of log(target share / raw share) over its n-grams, and it is kept if the
 score reaches a threshold: ``spread`` standard deviations below the mean of the target's own scores.
 
-Raw counts cover all documents. The target is given as ids; a caller bounds it (see ``trusted_ids``).
+Raw counts cover all documents. The target is given as ids (see ``trusted_ids``), and all of its rows are counted; their texts are
+written once to the shared folder.
 
 Defined results: null text counts as no words (all measures 0, failed); ties and repeated rows are
 scored alike; very long texts are read whole, in the row that holds them; a null id stays null, is judged by its text and never trusted; an empty table gives an empty result; without any trusted row the
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nlimorph.functions.settle import settled
-from nlimorph.llm._shared import first_by_hash
+from nlimorph.llm._shared import first_by_hash, materialize
 
 SPACES = " \t\n\x0b\f\r"
 SYMBOL = r"[#*$%&|<>]"
@@ -83,17 +84,27 @@ def grams_of(buckets: int) -> Column:
     return F.transform(F.concat("_h", "_p"), lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
 
 
-def trusted_ids(labels: DataFrame, limit: int = 10_000, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """At most ``limit`` different ids labelled 1, chosen by hash order: the documented bound of the target sample."""
-    return first_by_hash(labels.where(F.col(label_col) == 1).where(F.col(id_col).isNotNull()).select(id_col).distinct(), id_col, limit, "target")
+def trusted_ids(labels: DataFrame, limit: int | None = None, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """All different ids labelled 1; a caller who wants a sample names its ``limit`` and gets the first by hash order."""
+    ids = labels.where(F.col(label_col) == 1).where(F.col(id_col).isNotNull()).select(id_col).distinct()
+    return ids if limit is None else first_by_hash(ids, id_col, limit, "target")
 
 
-def log_ratios(df: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int) -> list[float]:
-    """log(target share / raw share) of each bucket; raw counts over all rows, both smoothed by one."""
-    marked = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(trusted.select(F.col(id_col).alias("_id"), F.lit(1).alias("_t")).distinct()), "_id", "left")
-    grams = hashed(marked, "_text").select("_t", F.explode(grams_of(buckets)).alias("b"))
-    rows = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("_t").alias("target")).collect()
-    raw, target = {r.b: r.raw for r in rows}, {r.b: r.target for r in rows}
+def target_texts(df: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The texts of the trusted rows, column ``_text``; Spark broadcasts the ids only while they are few."""
+    ids = trusted.select(F.col(id_col).alias("_id"))
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, "_id", "left_semi").select("_text")
+
+
+def _counts(df: DataFrame, text_col: str, buckets: int) -> dict[int, int]:
+    grams = hashed(df.select(text_col), text_col).select(F.explode(grams_of(buckets)).alias("b"))
+    return dict(map(tuple, grams.groupBy("b").count().collect()))  # a row a bucket
+
+
+def log_ratios(df: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int, target: DataFrame | None = None) -> list[float]:
+    """log(target share / raw share) of each bucket; raw counts over all rows, target counts over all trusted ones, both smoothed by one."""
+    target = target_texts(df, trusted, id_col, text_col) if target is None else target
+    raw, target = _counts(df, text_col, buckets), _counts(target, "_text", buckets)
     all_raw, all_target = sum(raw.values()) + buckets, sum(target.values()) + buckets
     return [round(math.log((target.get(b, 0) + 1) / all_target) - math.log((raw.get(b, 0) + 1) / all_raw), 5) for b in range(buckets)]
 
@@ -106,17 +117,17 @@ def with_score(df: DataFrame, ratios: list[float]) -> DataFrame:
     return settled(df, "llr", F.when(F.size("_h") > 0, total / F.size(grams)))
 
 
-def threshold_of(df: DataFrame, trusted: DataFrame, ratios: list[float], id_col: str, text_col: str, spread: float) -> float:
+def threshold_of(target: DataFrame, ratios: list[float], spread: float) -> float:
     """``spread`` standard deviations below the mean of the trusted rows' scores."""
-    target = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(trusted.select(F.col(id_col).alias("_id")).distinct()), "_id", "left_semi")
     got = with_score(hashed(target, "_text"), ratios).agg(F.avg("llr").alias("m"), F.stddev_samp("llr").alias("s")).first()
     return -math.inf if got.m is None else got.m - spread * (got.s or 0.0)
 
 
 def apply_rules(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 8_192, spread: float = 4.0) -> DataFrame:
     """Every row of df as struct ``doc``, with ``m`` (base measures), ``llr`` and ``kept``."""
-    ratios = log_ratios(df, trusted, id_col, text_col, buckets)
-    limit = threshold_of(df, trusted, ratios, id_col, text_col, spread)
+    target = materialize(target_texts(df, trusted, id_col, text_col), "target")  # read twice, joined once
+    ratios = log_ratios(df, trusted, id_col, text_col, buckets, target)
+    limit = threshold_of(target, ratios, spread)
     rows = df.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(df.columns)], F.col(text_col).alias("_text"))
     scored = with_score(base_measures(hashed(rows, "_text"), "_text"), ratios)
     doc = F.struct(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(df.columns)])

@@ -446,6 +446,16 @@ def test_an_id_of_many_labels_is_one_of_the_sample(spark):
     assert quality_rules.trusted_ids(labels.limit(0)).count() == 0
 
 
+def test_all_trusted_rows_are_counted(spark):
+    labels = spark.range(20_000).selectExpr("id as doc_id", "cast(id % 5 < 3 as int) as quality")
+    trusted = quality_rules.trusted_ids(labels)
+    assert trusted.count() == 12_000  # before, 10,000
+    docs = spark.range(20_000).selectExpr("id as doc_id", "concat('w', cast(id as string)) as text")
+    ratios = quality_rules.log_ratios(docs, trusted, "doc_id", "text", 1)
+    assert ratios == [round(math.log((12_000 + 1) / (12_000 + 1)) - math.log((20_000 + 1) / (20_000 + 1)), 5)]
+    assert quality_rules.target_texts(docs, trusted, "doc_id", "text").count() == 12_000
+
+
 def test_quality_sample_is_bounded_by_rows_and_bytes(spark, monkeypatch):
     df = spark.createDataFrame([(7, f"text {k} " + prose(5)) for k in range(10_000)] + [(k, "x " * 10 * k) for k in range(100, 148)], "doc_id long, text string")
     labels = spark.createDataFrame([(7, 0), (7, 1)] * 500 + [(k, k % 2) for k in range(100, 148)], "doc_id long, quality int")
