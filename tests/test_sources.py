@@ -90,3 +90,30 @@ def test_evaluations_read_the_fields_they_name(spark, tmp_path):
     assert {c.split(":")[0] for c in schema.split(",")} == {"mr", "status", "task", "gold", "reply"}
     only = scored.where("dataset = 'rte'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(dataset" in only
+
+
+def test_lines_are_parsed_once_to_their_end(spark):
+    end = "7306126530274"
+    good = ["1", " [1, 2] ", "null", '{"a": "]"}', end, f"[{end}]", f'{{"a": {end}}}', '"x"']
+    bad = ["1]", "1],[2", f"1,{end}]", f"1, {end}", "1, 2", "1] x", "{", "1,", '1,7.306126530274e12],[0', '"a', "]", f"1,{end}],[2,{end}", "1 2"]
+    df = spark.createDataFrame([(t,) for t in good + bad], "value string")
+    got = {r.value: r.malformed for r in jsonl.parse_lines(df, mode="flag").select("value", "malformed").collect()}
+    assert got == {**dict.fromkeys(good, False), **dict.fromkeys(bad, True)}
+    assert sorted(r.t for r in jsonl.parse_lines(df).select(F.to_json("v").alias("t")).collect()) == sorted(["1", "[1,2]", "null", '{"a":"]"}', end, f"[{end}]", f'{{"a":{end}}}', '"x"'])
+
+
+def test_lines_made_by_long_expressions_are_made_once(spark):
+    from nlimorph.plans import fixtures
+
+    plan = jsonl.parse_lines(fixtures.prediction_lines(fixtures.predictions(spark, "/root/testdata/sf0.001"))).select("v")._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
+    assert max(map(len, filters)) < 2000  # before, the filter held what makes the line
+
+
+def test_compressed_lines_are_read_back(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id", "repeat('text ', 20) as text", "cast(id % 3 as string) as part")
+    for how in ("none", "gzip"):
+        jsonl.write_jsonl(df, f"{tmp_path}/{how}", ("part",), compression=how)
+    size = {how: sum(f.stat().st_size for f in (tmp_path / how).rglob("part-*")) for how in ("none", "gzip")}
+    assert size["gzip"] * 5 < size["none"]
+    assert jsonl.read_jsonl(spark, f"{tmp_path}/gzip", mode="fail").count() == 1000
