@@ -7,6 +7,14 @@ from pyspark.sql import DataFrame
 from nlimorph.operators.groups import KEY
 
 
+ROWS_A_BUCKET = 250_000
+
+
+def buckets_for(n_rows: int, least: int = 8) -> int:
+    """A number of buckets that grows with the rows, so that a bucket does not."""
+    return max(least, -(-n_rows // ROWS_A_BUCKET))
+
+
 def write_clustered(df: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
     """df as a table in ``buckets`` buckets of its group key, one sorted file each, read back; in ``path`` or in the warehouse.
 

@@ -84,3 +84,19 @@ def test_only_named_folders_are_listed(spark):
     assert sorted((r.dataset, r.mr) for r in some.select("dataset", "mr").collect()) == [("d1", "p"), ("d1", "q"), ("d3", "p"), ("d3", "q")]
     assert len(some.inputFiles()) == 6
     assert layouts.read_predictions(spark, root, relations=["q"]).count() == 4
+
+
+def test_signature_is_that_of_two_levels_at_any_height(spark):
+    import hashlib
+
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    rows = [("f", k, f"v{k}") for k in range(1, 301)] + [("g", k, f"w{k}") for k in range(1, 4)]
+    tree = audit.merkle_tree(spark.createDataFrame(rows, "path string, line long, value string").repartition(5), "path", "line", F.col("value"), fan=4)
+    assert tree.agg(F.max("level")).first()[0] > 2  # before, the third level and those above changed the signature
+    firsts = [digest("".join(digest(f"v{k}") for k in range(a, a + 4))) for a in range(1, 301, 4)]
+    want = {"f": (300, digest("".join(firsts))[:16]), "g": (3, digest("".join(digest(f"w{k}") for k in (1, 2, 3)))[:16])}
+    assert {r.file: (r.n_rows, r.signature) for r in audit.signatures(tree).collect()} == want
+
+
+def test_buckets_grow_with_the_rows():
+    assert [clustered.buckets_for(n) for n in (0, 600_000, 36_000_000, 216_000_000)] == [8, 8, 144, 864]
