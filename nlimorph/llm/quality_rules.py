@@ -19,6 +19,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from nlimorph.functions.settle import settled
 from nlimorph.llm._shared import first_by_hash, materialize
@@ -27,6 +28,7 @@ SPACES = " \t\n\x0b\f\r"
 SYMBOL = r"[#*$%&|<>]"
 MIN_WORDS = 10
 WINDOW = 5
+FILTER_BITS = 1 << 26
 
 
 def words_of(text: Column) -> Column:
@@ -90,10 +92,32 @@ def trusted_ids(labels: DataFrame, limit: int | None = None, id_col: str = "doc_
     return ids if limit is None else first_by_hash(ids, id_col, limit, "target")
 
 
+def near_trusted(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose ``_id`` has its bit set in a bitmap of the ids' hashes (8 MB at most, broadcast): all with one of the ids and few others."""
+
+    def place(x: Column) -> Column:
+        return F.pmod(F.xxhash64(x), F.lit(FILTER_BITS))
+
+    bits = ids.select(place(F.col("_id")).alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    placed = rows.withColumn("_p", place(F.col("_id")))
+    met = placed.join(F.broadcast(bits), F.bitmap_bucket_number("_p") == F.col("_bucket"))
+    at = F.bitmap_bit_position("_p")
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = met.where(F.call_function("shiftright", byte, (at % 8).cast("int")) % 2 == 1).select(*rows.columns)
+    return settled(found.withColumnRenamed("_id", "_own"), "_id", F.col("_own")).select(*rows.columns)  # else joins by the id are pushed below the filter
+
+
 def target_texts(df: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The texts of the trusted rows, column ``_text``; Spark broadcasts the ids only while they are few."""
+    """The texts of the trusted rows, column ``_text``.
+
+    One and the same join at any size, so that what is shuffled grows with the input; the bitmap keeps back most texts that it would shuffle in vain.
+    """
     ids = trusted.select(F.col(id_col).alias("_id"))
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, "_id", "left_semi").select("_text")
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    kind = rows.schema["_id"].dataType
+    if kind == ids.schema["_id"].dataType and isinstance(kind, IntegralType | StringType):  # equal ids have equal hashes
+        rows = near_trusted(rows, ids)
+    return rows.join(ids.hint("merge"), "_id", "left_semi").select("_text")
 
 
 def _counts(df: DataFrame, text_col: str, buckets: int) -> dict[int, int]:

@@ -789,3 +789,17 @@ def test_quality_scores_are_calibrated():
 
 def test_scratch_folder_is_the_session_s(spark):
     assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_target_texts_shuffle_few_others_at_any_size(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    docs = docs.unionByName(spark.sql("select cast(null as bigint) as doc_id, 'none' as text")).unionByName(docs.where("doc_id < 10"))
+    for n in (3, 7_000):
+        trusted = spark.range(n).select((F.col("id") * 2).alias("doc_id")).union(spark.sql("select -5L"))
+        texts = quality_rules.target_texts(docs, trusted, "doc_id", "text")
+        plan = texts._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan  # few ids or many: what is shuffled grows with the input
+        assert sorted(r[0] for r in texts.collect()) == sorted(r.text for r in docs.join(trusted, "doc_id", "left_semi").collect())
+        ids = trusted.select(F.col("doc_id").alias("_id"))
+        near = quality_rules.near_trusted(docs.select(F.col("doc_id").alias("_id"), "text"), ids)
+        assert texts.count() <= near.count() <= texts.count() + 40
