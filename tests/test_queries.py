@@ -49,3 +49,11 @@ def test_signature_ignores_order(spark):
 
     s = samples(spark, SF)
     assert data_signature(s).first() == data_signature(s.orderBy("row_key", ascending=False).repartition(5)).first()
+
+
+def test_rows_of_few_row_groups_are_dealt(spark):
+    """A file of one row group is read by one task; what is made of its rows must not be left to that task."""
+    from nlimorph.plans.fixtures import prediction_lines, predictions
+
+    plan = prediction_lines(predictions(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Exchange hashpartitioning(l_orderkey") > plan.rindex("Generate explode")
