@@ -9,7 +9,7 @@ from nlimorph.functions.labels import py_strip
 from nlimorph.functions.settle import settled
 from nlimorph.sources.documents import read_documents
 from nlimorph.sources.json_text import LISTS, alone, closed, is_json_value, only_value, with_end
-from nlimorph.sources.ranges import files, numbered_lines
+from nlimorph.sources.ranges import files, numbered_rows
 
 #: Key names by preference.
 PREMISE = ("premise", "sentence1", "sentence1_text", "text_a")
@@ -70,10 +70,12 @@ def read_json_any(spark: SparkSession, path: str | list[str], whole_up_to: int =
     return items.unionByName(read_documents(spark, path, whole_up_to))
 
 
-def read_jsonl_in_order(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, line, index, v) of JSON lines files: number of the line in its file, and of the row among those that parse, both from 1."""
-    rows = numbered_lines(spark, path, keep=is_json_value(F.col("value"))).where(F.col("item").isNotNull())
-    return rows.select("path", "line", (F.col("item") + 1).alias("index"), F.try_parse_json("value").alias("v"))
+def read_jsonl_in_order(spark: SparkSession, path: str | list[str], only: Column | None = None) -> DataFrame:
+    """(path, line, index, v) of JSON lines files: number of the line in its file, and of the row among those that parse, both from 1.
+
+    With ``only``, a condition over ``_metadata.file_path``, other files are not opened; numbers count inside a file.
+    """
+    return numbered_rows(spark, path, only=only).select("path", "line", (F.col("item") + 1).alias("index"), "v")
 
 
 def _present(v: Column, keys: tuple[str, ...]) -> Column:

@@ -14,6 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from nlimorph.functions.settle import settled
+from nlimorph.sources.json_text import only_value, with_end
+from nlimorph.sources.scratch import written
+
 
 def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, path, size) of all files; ``file`` is a hash of the path. Nothing is read."""
@@ -21,12 +25,12 @@ def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return found.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_path").alias("path"), F.col("length").alias("size"))
 
 
-def pieces(spark: SparkSession, path: str | list[str], separator: str, larger_than: int = -1, only: list[str] | None = None) -> DataFrame:
-    """(file, start, value): pieces between separators in file order, in files of more than so many bytes; with ``only``, in those of these paths alone."""
+def pieces(spark: SparkSession, path: str | list[str], separator: str, larger_than: int = -1, only: list[str] | Column | None = None) -> DataFrame:
+    """(file, start, path, value): pieces between separators in file order, in files of more than so many bytes; with ``only``, paths or a condition over ``_metadata.file_path``, in those alone."""
     text = spark.read.option("recursiveFileLookup", True).text(path, lineSep=separator)
     if only is not None:  # other files are not opened: one may be a single line of any length
-        text = text.where(F.col("_metadata.file_path").isin(only))
-    return text.where(F.col("_metadata.file_size") > larger_than).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+        text = text.where(F.col("_metadata.file_path").isin(only) if isinstance(only, list) else only)
+    return text.where(F.col("_metadata.file_size") > larger_than).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_path").alias("path"), "value")
 
 
 def runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], pa.RecordBatch]]:
@@ -74,17 +78,38 @@ def at_range(df: DataFrame, of_range: DataFrame, *columns: str) -> DataFrame:
     return met.withColumn(columns[0], known).drop("_file", "_start", "_told")
 
 
+def _lines(spark: SparkSession, path: str | list[str], larger_than: int, only: list[str] | Column | None) -> DataFrame:
+    value = F.col("value")
+    return pieces(spark, path, "\n", larger_than, only).withColumn("value", F.when(F.endswith(value, F.lit("\r")), F.left(value, F.length(value) - 1)).otherwise(value))
+
+
+def _numbered(lines: DataFrame, placed: DataFrame, wanted: Column, value: str) -> DataFrame:
+    """Rows of ``placed`` with their numbers from sums over the ranges ahead of theirs; ``lines`` has the rows to be counted."""
+    counts = lines.groupBy("file", "start").agg(F.count("*").alias("lines"), F.count_if(wanted).alias("items"))
+    at = at_range(placed, ahead(counts, "lines", "items"), "ahead_lines", "ahead_items")
+    return at.select("path", (F.col("ahead_lines") + F.col("place") + 1).alias("line"), (F.col("ahead_items") + F.col("kept")).alias("item"), value)
+
+
 def numbered_lines(spark: SparkSession, path: str | list[str], larger_than: int = -1, keep: Column | None = None, only: list[str] | None = None) -> DataFrame:
     """(path, line, item, value): lines of files with their number from 1 in file order, blank ones included.
 
     ``item`` numbers, from 0, the lines on which ``keep``, a column over ``value``, holds; it is null on others, and without ``keep`` on none.
     Lines are counted by range first; sums over the ranges ahead then place each of them, so a file is read by many tasks.
     """
-    lines = pieces(spark, path, "\n", larger_than, only).withColumn("value", F.regexp_replace("value", r"\r\z", ""))
+    lines = _lines(spark, path, larger_than, only)
     if keep is not None:
         lines = lines.withColumn("keep", F.coalesce(keep, F.lit(False)))
-    wanted = F.col("keep") if keep is not None else F.lit(True)
-    counts = lines.groupBy("file", "start").agg(F.count("*").alias("lines"), F.count_if(wanted).alias("items"))
-    placed = at_range(with_place(lines, "keep" if keep is not None else None), ahead(counts, "lines", "items"), "ahead_lines", "ahead_items")
-    named = placed.join(files(spark, path).select("file", "path"), "file")
-    return named.select("path", (F.col("ahead_lines") + F.col("place") + 1).alias("line"), (F.col("ahead_items") + F.col("kept")).alias("item"), "value")
+    return _numbered(lines, with_place(lines, "keep" if keep is not None else None), F.col("keep") if keep is not None else F.lit(True), "value")
+
+
+def numbered_rows(spark: SparkSession, path: str | list[str], larger_than: int = -1, only: list[str] | Column | None = None) -> DataFrame:
+    """(path, line, item, v): the lines that are one JSON value, parsed, with their number as a line from 1 and among these rows from 0.
+
+    Files are read once: lines are judged, and written out with their places in their ranges; they are counted there without their
+    text. It is the text that is passed on, as a VARIANT costs more on its way through Python and Parquet than to parse it again.
+    """
+    lines = settled(_lines(spark, path, larger_than, only), "_parsed", with_end(F.col("value")))
+    judged = settled(lines, "keep", only_value(F.col("_parsed"), F.col("value")).isNotNull())  # a JSON null is a value, not a null
+    placed = written(with_place(judged.select("file", "start", "path", F.when(F.col("keep"), F.col("value")).alias("value"), "keep"), "keep"), "rows")
+    rows = _numbered(placed, placed.where("keep"), F.col("keep"), "value")
+    return rows.select("path", "line", "item", F.try_parse_json("value").alias("v"))

@@ -151,3 +151,53 @@ def test_only_files_of_lines_are_opened_as_lines(spark, monkeypatch):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [n for _, n in got] == [20_000, 50]
     assert longest and max(longest) < 100 and parts == [1]
+
+
+def test_lines_are_told_without_sums(spark, monkeypatch):
+    """Files of JSON lines are not summed up and cut as documents; before, all their commas were."""
+    import os
+
+    from nlimorph.sources import documents
+
+    at = f"{scratch_dir(spark)}/told-{uuid.uuid4().hex}"
+    os.makedirs(at)
+    texts = {"plain": "\n".join(map(json.dumps, ROWS)), "blank_lines": '{"a": 1}\r\n \r\n\t[2, 3]\r\nbad, \n{"a": 4}', "arrays": "[1, 2]\n[3]\n"}
+    for name, text in texts.items():
+        with open(f"{at}/{name}", "w", newline="") as f:
+            f.write(text)
+    made = []
+    monkeypatch.setattr(documents, "written", lambda df, label: made.append(label) or df)
+    got = {}
+    for path, item, v in rows_of(documents.read_documents(spark, at)):
+        got.setdefault(path, []).append((item, json.loads(v)))
+    assert got == {"plain": list(enumerate(ROWS)), "blank_lines": list(enumerate([{"a": 1}, [2, 3], {"a": 4}])), "arrays": [(0, [1, 2]), (1, [3])]}
+    assert made == []
+
+
+def test_text_that_looks_like_lines_inside_a_string(spark):
+    """Line breaks of strings are escaped, so brackets around them tell nothing; raw ones are no JSON."""
+    import os
+
+    at = f"{scratch_dir(spark)}/told-{uuid.uuid4().hex}"
+    os.makedirs(at)
+    rows = ["}\n{", "]\n\n[", "x"]
+    for name, text in (("escaped", json.dumps(rows, indent=1)), ("between", '[{"a": 1}\n,\n{"a": 2}\n]')):
+        with open(f"{at}/{name}", "w") as f:
+            f.write(text)
+    got = [(p, i, json.loads(v)) for p, i, v in rows_of(jsonl.read_json_any(spark, at, whole_up_to=-1))]
+    assert got == [("between", 0, {"a": 1}), ("between", 1, {"a": 2}), *[("escaped", i, v) for i, v in enumerate(rows)]]
+
+
+def test_lines_in_order_are_read_once(spark):
+    """The files are read and judged once, then rows come from the written table; files that are left out are not opened."""
+    import os
+
+    at = f"{scratch_dir(spark)}/once-{uuid.uuid4().hex}"
+    os.makedirs(at)
+    for name in "ab":
+        with open(f"{at}/{name}.jsonl", "w") as f:
+            f.write('{"a": 1}\nbad\n\n{"a": 2}\n')
+    df = jsonl.read_jsonl_in_order(spark, at, F.col("_metadata.file_path").endswith("/b.jsonl"))
+    os.remove(f"{at}/a.jsonl")
+    os.remove(f"{at}/b.jsonl")
+    assert [(r.path[-7:], r.line, r["index"]) for r in df.orderBy("line").collect()] == [("b.jsonl", 1, 1), ("b.jsonl", 4, 2)]
