@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,8 +75,10 @@ _NUMBERED = fx.with_sql("samples") + """, n as (select *, substr(md5('b|'||row_k
 i as (select dataset, mr_id, line, row_number() over (partition by dataset, mr_id order by line) as index, row_key from n where odd not in ('0', '1'))"""
 
 
-def _in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = jsonl.read_jsonl_in_order(spark, _lines(spark, sf_dir))
+def _in_order(spark: SparkSession, sf_dir: str, *datasets: str) -> DataFrame:
+    """Rows with their numbers in their files: all, or those of the files of some datasets."""
+    only = [F.col("_metadata.file_path").contains(f"/dataset={d}/") for d in datasets]
+    rows = jsonl.read_jsonl_in_order(spark, _lines(spark, sf_dir), functools.reduce(operator.or_, only) if only else None)
     return rows.select(*[F.regexp_extract("path", f"/{c}=([^/]+)/", 1).alias(c) for c in ("dataset", "mr_id")], "line", "index", _key())
 
 
@@ -84,7 +89,7 @@ def file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rows of the files of some datasets."""
-    return evaluate.first_n(evaluate.only(_in_order(spark, sf_dir), "dataset", ["mnlim", "rte"]), 100).select("dataset", "mr_id", "index", "row_key")
+    return evaluate.first_n(_in_order(spark, sf_dir, "mnlim", "rte"), 100).select("dataset", "mr_id", "index", "row_key")
 
 
 def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
