@@ -117,3 +117,14 @@ def test_compressed_lines_are_read_back(spark, tmp_path):
     size = {how: sum(f.stat().st_size for f in (tmp_path / how).rglob("part-*")) for how in ("none", "gzip")}
     assert size["gzip"] * 5 < size["none"]
     assert jsonl.read_jsonl(spark, f"{tmp_path}/gzip", mode="fail").count() == 1000
+
+
+def test_paths_are_taken_apart_once_a_file(spark, tmp_path):
+    """Fields of the path are joined to the rows; before, they were made for each row."""
+    f = tmp_path / "rte_test_MR" / "rte_test_voice_switch 1.json"
+    f.parent.mkdir()
+    f.write_text('{"premise": "a"}\n{"premise": "b"}\n')
+    rows = layouts.read_mr_dir(spark, str(tmp_path))
+    got = rows.select("dataset", "mr", "stem", "task", F.try_variant_get("v", "$.premise", "string").alias("p")).collect()
+    assert sorted(map(tuple, got)) == [("rte", "voice_switch", "rte_test_voice_switch%201", "nli-binary", p) for p in "ab"]
+    assert "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
