@@ -92,7 +92,8 @@ def score_into(df: DataFrame, path: str, factory: Callable[[], Predict], keys: t
     """
     spark = df.sparkSession
     schema = StructType([*df.schema.fields, StructField("pred", StringType()), StructField("wave", IntegerType())])
-    todo = pending(df, scored_so_far(spark, path, schema), keys).withColumn("wave", F.pmod(F.xxhash64(*keys), F.lit(waves)).cast("int"))
+    missing = pending(df, scored_so_far(spark, path, schema), keys) if exists(spark, path) else df  # the first run has nothing to be held against
+    todo = missing.withColumn("wave", F.pmod(F.xxhash64(*keys), F.lit(waves)).cast("int"))
     folder = new_folder(spark, "todo")
     todo.write.partitionBy("wave").parquet(folder)
     left = spark.read.schema(todo.schema).parquet(folder)

@@ -80,3 +80,13 @@ def test_pending_takes_nulls_for_keys(spark):
     assert [tuple(r) for r in score.pending(rows, rows.limit(2)).collect()] == [("d", 2)]
     with pytest.raises(ValueError, match="either"):
         score.score(rows)
+
+
+def test_a_first_run_joins_nothing(spark, monkeypatch):
+    """Where nothing is scored yet, rows are not held against it."""
+    at, calls = folder_of(spark), []
+    whole = score.pending
+    monkeypatch.setattr(score, "pending", lambda *a, **k: calls.append(1) or whole(*a, **k))
+    for n, times in ((5, 0), (7, 1)):
+        done = score.score_into(prompts(spark, n), f"{at}/out", counting(f"{at}/log"), waves=2, name=at)
+        assert (done.count(), len(calls)) == (n, times)
