@@ -65,9 +65,13 @@ def attach_mr_texts(df: DataFrame, catalog: DataFrame, key: str = "mr_id") -> Da
     return out.na.fill("", ["operation_text", "effect_text"])
 
 
-def shuffle_operations(df: DataFrame, seed: int, row_key: str) -> DataFrame:
-    """``shown_mr``: another relation of the data, drawn by seed and row; ``none`` stays, and so does an only relation."""
-    pool = df.where(F.col("mr_id") != "none").agg(F.array_sort(F.collect_set("mr_id")).alias("pool"))
+def shuffle_operations(df: DataFrame, seed: int, row_key: str, data: DataFrame | None = None) -> DataFrame:
+    """``shown_mr``: another relation of the data, drawn by seed and row; ``none`` stays, and so does an only relation.
+
+    ``data`` has the relations to draw from, of df itself where it is not given: where df is joined to more, its table before that
+    has the same ones, and the joins need not be done twice.
+    """
+    pool = (df if data is None else data).where(F.col("mr_id") != "none").agg(F.array_sort(F.collect_set("mr_id")).alias("pool"))
     others = F.array_except("pool", F.array("mr_id"))
     at = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(row_key))), 1, 8), 16, 10).cast("long") % F.greatest(F.size(others), F.lit(1))
     drawn = F.coalesce(F.get(others, at.cast("int")), F.col("mr_id"))

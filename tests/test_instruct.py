@@ -55,3 +55,15 @@ def test_audits(spark):
     assert tuple(instruct.leak_audit(built).first()) == (6, 0, 0, 0, 0)
     oracle = instruct.leak_audit(instruct.build_instructions(table(spark), "full_oracle")).first()
     assert (oracle.shows_effect, oracle.names_source_label, oracle.names_mr) == (1, 1, 0)
+
+
+def test_relations_to_draw_from_need_no_joins(spark):
+    """The table before its joins gives the same draw, and its joins are not done twice."""
+    whole = table(spark)
+    before = whole.select("mr_id")
+    got = instruct.shuffle_operations(whole, 3, "row_key", data=before)
+    assert sorted(map(tuple, got.select("row_key", "shown_mr").collect())) == sorted(map(tuple, instruct.shuffle_operations(whole, 3, "row_key").select("row_key", "shown_mr").collect()))
+    from nlimorph.plans import registry
+
+    plan = registry.queries()["instructions_shuffled"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_set") == 1 and "Join" not in plan.split("collect_set")[1].split("LogicalRDD")[0]  # behind the list of relations stand the samples alone
