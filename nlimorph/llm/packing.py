@@ -37,13 +37,22 @@ SHARD_TOKENS = 2_000_000
 ROUTE, LONG = 3, 8_192
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
-TOKENS = ["row", "doc", "n", "ids", "r1", "r2", "r3"]
+TOKENS = ["row", "doc", "n", "ids", "r1", "r2", "r3", "counts"]
+
+
+def distinct(ids: np.ndarray) -> np.ndarray:
+    """The different ids of a document, which has one at least, in order."""
+    ids = np.sort(ids)
+    first = np.ones(len(ids), dtype=bool)
+    np.not_equal(ids[1:], ids[:-1], out=first[1:])
+    return ids[first]
 
 
 def token_table(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, n, ids, r1, r2, r3): the ids of every row with the end id, two bytes each where they fit, and its route.
+    """(row, id, n, ids, r1, r2, r3, counts): the ids of every row with the end id, two bytes each where they fit, and its route.
 
-    Each partition ends with a row of negative number: pairs of token id and number of its documents that have it.
+    Each partition ends with a row of negative number whose ``counts`` are pairs of token id and number of its documents that have it;
+    as a column of their own they are read without the ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +65,7 @@ def token_table(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str, te
         for whole in batches:
             for batch in split_batch(whole, text_col, 2 << 20):
                 ids = [np.frombuffer(enc.text(t or "") + end, dtype="<u4").astype(kind) for t in batch.column(1).to_pylist()]
-                terms, doc_type = [np.unique(x) for x in ids], batch.column(0).type
+                terms, doc_type = [distinct(x) for x in ids], batch.column(0).type
                 held = np.bincount(np.concatenate(terms))
                 docs = np.pad(docs, (0, max(0, len(held) - len(docs))))
                 docs[: len(held)] += held
@@ -66,12 +75,12 @@ def token_table(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str, te
                 route[long] = np.stack([mix64(numbers[long].astype(np.uint64)) % np.uint64(vocabulary), *[np.zeros(long.sum(), dtype=np.uint64)] * (ROUTE - 1)], axis=1).astype(np.int64)
                 rows = pa.array(numbers)
                 row += batch.num_rows
-                yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), *(pa.array(r, pa.int32()) for r in route.T)], TOKENS)
+                yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), *(pa.array(r, pa.int32()) for r in route.T), pa.nulls(batch.num_rows, pa.binary())], TOKENS)
         if doc_type is not None:
             at = np.flatnonzero(docs)
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - part], pa.int64()), pa.nulls(1, doc_type), pa.array([0], pa.int64()), pa.array([np.stack([at, docs[at]]).astype("<u8").tobytes()], pa.binary()), *(pa.nulls(1, pa.int32()) for _ in range(ROUTE))], TOKENS)
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - part], pa.int64()), pa.nulls(1, doc_type), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), *(pa.nulls(1, pa.int32()) for _ in range(ROUTE)), pa.array([np.stack([at, docs[at]]).astype("<u8").tobytes()], pa.binary())], TOKENS)
 
-    return df.select(id_col, text_col).mapInArrow(run, f"row long, doc {df.schema[id_col].dataType.simpleString()}, n long, ids binary, r1 int, r2 int, r3 int")
+    return df.select(id_col, text_col).mapInArrow(run, f"row long, doc {df.schema[id_col].dataType.simpleString()}, n long, ids binary, r1 int, r2 int, r3 int, counts binary")
 
 
 def document_frequencies(tokens: DataFrame, vocabulary: int) -> np.ndarray:
@@ -83,7 +92,7 @@ def document_frequencies(tokens: DataFrame, vocabulary: int) -> np.ndarray:
                 token, docs = np.frombuffer(data.as_py(), dtype="<u8").astype(np.int64).reshape(2, -1)
                 yield pa.RecordBatch.from_pydict({"token": token, "docs": docs})
 
-    counts = tokens.where(F.col("row") < 0).select("ids").mapInArrow(run, "token long, docs long")
+    counts = tokens.where(F.col("row") < 0).select("counts").mapInArrow(run, "token long, docs long")
     out = np.zeros(vocabulary, dtype=np.int64)
     for r in counts.groupBy("token").agg(F.sum("docs").alias("docs")).collect():
         out[r.token] = r.docs
@@ -104,13 +113,21 @@ class Index:
         terms, number = np.unique(term[often], return_inverse=True)
         self.frequent = np.zeros((len(terms), n), dtype=np.float32)
         self.frequent[number, doc[often]] = weight[often]
-        term, self.doc, self.weight, self.n = term[~often], doc[~often], weight[~often], n
+        term, self.doc, self.weight, self.n = term[~often], doc[~often], weight[~often].astype(np.float64), n  # summed as such
         terms, self.start = np.unique(term, return_index=True)
         self.length = np.diff(np.r_[self.start, len(term)])
         order = np.argsort(self.doc.astype(np.uint16) if n < 1 << 16 else self.doc, kind="stable")
         self.terms_of = np.searchsorted(terms, term)[order]  # term numbers, document by document
         self.bounds = np.searchsorted(self.doc[order], np.arange(n + 1))
 
+    def leave_out(self, unused: np.ndarray) -> None:
+        """Forget the postings of used documents; scores of the others stay as they are."""
+        left = unused[self.doc]
+        ahead = np.r_[0, np.cumsum(left)]
+        start = ahead[self.start]
+        self.start, self.length = start, ahead[self.start + self.length] - start
+        self.doc, self.weight = self.doc[left], self.weight[left]
+
     def scores(self, seed: int) -> np.ndarray:
         """The summed weights, in each document, of the terms that the seed has."""
         mine = self.terms_of[self.bounds[seed] : self.bounds[seed + 1]]
@@ -150,7 +167,8 @@ def with_bare(windows: list[list[tuple[int, int, int]]], whole: np.ndarray, bare
 
 def fill(sizes: np.ndarray, index: Index, window: int) -> list[list[tuple[int, int, int]]]:
     """Windows of pieces (document, start, length); all but the last are full."""
-    unused = np.ones(len(sizes), dtype=bool)
+    unused, indexed = np.ones(len(sizes), dtype=bool), len(sizes)
+    sizes = sizes.tolist()  # plain numbers are compared faster one by one
     windows: list[list[tuple[int, int, int]]] = []
     seed, start, following = -1, 0, 0
     while True:
@@ -167,8 +185,11 @@ def fill(sizes: np.ndarray, index: Index, window: int) -> list[list[tuple[int, i
         if start == sizes[seed]:
             seed = -1
             continue
-        now = [(seed, start, int(sizes[seed]) - start)]
+        now = [(seed, start, sizes[seed] - start)]
         space = window - now[0][2]
+        if np.count_nonzero(unused) < 0.8 * indexed:
+            index.leave_out(unused)
+            indexed = np.count_nonzero(unused)
         nearest = neighbours(index.scores(seed), unused)
         seed = -1
         while space and seed < 0:
@@ -178,9 +199,9 @@ def fill(sizes: np.ndarray, index: Index, window: int) -> list[list[tuple[int, i
             left_over = -1
             for d in best:
                 if sizes[d] <= space:
-                    now.append((d, 0, int(sizes[d])))
+                    now.append((d, 0, sizes[d]))
                     unused[d] = False
-                    space -= int(sizes[d])
+                    space -= sizes[d]
                     if not space:
                         break
                 elif left_over < 0:

@@ -803,3 +803,22 @@ def test_target_texts_shuffle_few_others_at_any_size(spark):
         ids = trusted.select(F.col("doc_id").alias("_id"))
         near = quality_rules.near_trusted(docs.select(F.col("doc_id").alias("_id"), "text"), ids)
         assert texts.count() <= near.count() <= texts.count() + 40
+
+
+def test_used_documents_are_left_out():
+    """Postings of used documents are dropped on the way; before, every seed was scored against them too."""
+    r = np.random.default_rng(5)
+    texts = [r.integers(0, 300, r.integers(5, 60)) for _ in range(200)]
+    sizes, docs = np.array([len(t) for t in texts]), np.bincount(np.concatenate([np.unique(t) for t in texts]), minlength=300)
+    made = [packing.Index(np.concatenate(texts), sizes, docs, 200, sizes.mean()) for _ in range(3)]
+    unused = r.random(200) < 0.4
+    made[1].leave_out(unused)
+    assert len(made[1].doc) < len(made[0].doc) / 2
+    for seed in range(200):
+        assert (made[1].scores(seed)[unused] == made[0].scores(seed)[unused]).all()
+    held = len(made[2].doc)
+    windows = packing.fill(sizes, made[2], 256)
+    assert len(made[2].doc) < held
+    made[0].leave_out = lambda unused: None
+    assert windows == packing.fill(sizes, made[0], 256)
+    assert packing.distinct(np.array([3, 1, 3, 2], dtype="<u2")).tolist() == [1, 2, 3]
