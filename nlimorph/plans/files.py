@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import functools
 import operator
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nlimorph.operators import evaluate
@@ -22,23 +23,33 @@ WHOLE_UP_TO = 1 << 16
 
 
 def _write(spark: SparkSession, sf_dir: str) -> str:
-    """The samples as JSON files by dataset, form and size, rows in the order of their keys."""
-    rows = fx.samples(spark, sf_dir).selectExpr("*", f"{_FORM} as form", f"{_SIZE.replace('//', 'div')} as size")
-    row = F.to_json(F.struct("premise", "hypothesis", "label", "row_key"))
-    keys = ["dataset", "form", "size"]
-    body = rows.select(*keys, F.col("row_key").alias("at"), F.lit(1).alias("part"), F.concat(row, F.when(F.col("form") == "lines", "").otherwise(",")).alias("value"))
-    ends = [F.create_map(*[F.lit(x) for f, texts in FORMS.items() for x in (f, texts[k])])[F.col("form")] for k in (0, 1)]
-    around = rows.select(*keys).distinct().withColumn("end", F.explode(F.array(*[F.struct(F.lit(2 * k).alias("part"), e.alias("value")) for k, e in enumerate(ends)])))
-    lines = body.unionByName(around.select(*keys, F.lit("").alias("at"), "end.part", "end.value"))
-    placed = lines.repartition(*keys).sortWithinPartitions(*keys, "part", "at").select("value", *keys)
+    """The samples as JSON files by dataset, form and size, rows in the order of their keys.
+
+    Rows are dealt to their files and sorted as they stand in the table; their text is made behind that, so it is neither shuffled nor spilled.
+    """
+    keys = {"in_set": fx.DATASET, "form": _FORM, "size": _SIZE}
+    table = fx.table(spark, sf_dir, "lineitem").select("*", *[F.expr(x.replace("cast(pair_key as bigint)", "l_orderkey").replace("//", "div")).alias(c) for c, x in keys.items()])
+    ends = table.groupBy(*keys).agg(F.min("l_orderkey").alias("l_orderkey")).withColumn("part", F.explode(F.array(F.lit(0), F.lit(2))))
+    dealt = table.withColumn("part", F.lit(1)).unionByName(ends, allowMissingColumns=True).repartition(200, *keys)
+    placed = fx.samples_of(dealt.withColumn("at", F.expr(fx.ROW_KEY)).sortWithinPartitions(*keys, "part", "at"), *keys, "part")  # sorted by folder first, else the writer would sort anew
+    texts = F.create_map(*[F.lit(x) for f, (head, tail) in FORMS.items() for x in (f, F.struct(F.lit(head).alias("head"), F.lit(tail).alias("tail")))])[F.col("form")]
+    row = F.concat(F.to_json(F.struct("premise", "hypothesis", "label", "row_key")), F.when(F.col("form") == "lines", "").otherwise(","))
+    lines = placed.select(F.when(F.col("part") == 1, row).when(F.col("part") == 0, texts["head"]).otherwise(texts["tail"]).alias("value"), F.col("in_set").alias("dataset"), "form", "size")
     root = new_folder(spark, "json")
-    placed.where("form <> 'one_line'").write.partitionBy(*keys).text(f"{root}/some")
-    placed.where("form = 'one_line'").write.partitionBy(*keys).option("lineSep", " ").text(f"{root}/other")
+
+    def write(group: tuple[str, Column, str]) -> None:
+        name, of, separator = group
+        lines.where(of).write.partitionBy("dataset", "form", "size").option("lineSep", separator).text(f"{root}/{name}")
+
+    with ThreadPoolExecutor(2) as pool:  # a file is written by one task; both groups at once keep more cores busy
+        list(pool.map(write, (("some", F.col("form") != "one_line", "\n"), ("other", F.col("form") == "one_line", " "))))
     return root
 
 
-def _place(path: str = "path") -> list:
-    return [F.regexp_extract(path, f"/{c}=([^/]+)/", 1).alias(c) for c in ("dataset", "form", "size")]
+def _placed(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:
+    """Rows with what the paths of their files say; these are taken apart once a file."""
+    names = ranges.files(spark, root).select("path", *[F.regexp_extract("path", f"/{c}=([^/]+)/", 1).alias(c) for c in ("dataset", "form", "size")])
+    return rows.join(F.broadcast(names), "path").select("dataset", "form", "size", "item", _key())
 
 
 def _key():
@@ -47,14 +58,14 @@ def _key():
 
 def read_json_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of five forms and two sizes, those above the bound cut between tasks."""
-    rows = jsonl.read_json_any(spark, _write(spark, sf_dir), whole_up_to=WHOLE_UP_TO)
-    return jsonl.valid_samples(rows).select(*_place(), "item", _key())
+    root = _write(spark, sf_dir)
+    return _placed(spark, root, jsonl.valid_samples(jsonl.read_json_any(spark, root, whole_up_to=WHOLE_UP_TO)))
 
 
 def cut_json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with every file cut between tasks, whatever its size."""
-    rows = jsonl.read_json_any(spark, _write(spark, sf_dir), whole_up_to=-1)
-    return jsonl.valid_samples(rows).select(*_place(), "item", _key())
+    root = _write(spark, sf_dir)
+    return _placed(spark, root, jsonl.valid_samples(jsonl.read_json_any(spark, root, whole_up_to=-1)))
 
 
 _ITEMS = _FILES + " select dataset, form, size, row_number() over (partition by dataset, form, size order by row_key) - 1 as item, row_key from files"

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from nlimorph.functions.settle import settled
 from nlimorph.sources.scratch import new_folder
 
-SAMPLES = """
-select l_orderkey||'-'||l_linenumber||'-'||l_partkey||'-'||l_suppkey||'-'||cast(cast(l_shipdate as date) as string) as row_key,
-  case l_orderkey % 5 when 0 then 'snli' when 1 then 'mnlim' when 2 then 'mnlimm' when 3 then 'sick' else 'rte' end as dataset,
+ROW_KEY = "l_orderkey||'-'||l_linenumber||'-'||l_partkey||'-'||l_suppkey||'-'||cast(cast(l_shipdate as date) as string)"
+DATASET = "case l_orderkey % 5 when 0 then 'snli' when 1 then 'mnlim' when 2 then 'mnlimm' when 3 then 'sick' else 'rte' end"
+SAMPLES = f"""
+select {ROW_KEY} as row_key,
+  {DATASET} as dataset,
   case l_orderkey % 5 when 0 then 'snli' when 1 then 'mnlim' when 2 then 'mnlimm' when 3 then 'sick' else 'rte' end as source_file,
   case when l_orderkey % 5 = 4 then 'nli-binary' else 'nli' end as task,
   cast(l_orderkey as string) as pair_key,
@@ -92,6 +94,11 @@ def _kept_or(spark: SparkSession, sf_dir: str, name: str, text: str, of: Callabl
     return spark.read.parquet(path) if path else _sql(spark, text, **of())
 
 
+def samples_of(lineitem: DataFrame, *more: str) -> DataFrame:
+    """The samples of some rows like those of lineitem, with more columns of theirs."""
+    return _sql(lineitem.sparkSession, SAMPLES.replace("\nfrom lineitem", "".join(f", {c}" for c in more) + "\nfrom lineitem"), lineitem=lineitem)
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept_or(spark, sf_dir, "samples", SAMPLES, lambda: {"lineitem": dealt(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")})
 

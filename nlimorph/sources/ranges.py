@@ -110,6 +110,7 @@ def numbered_rows(spark: SparkSession, path: str | list[str], larger_than: int =
     """
     lines = settled(_lines(spark, path, larger_than, only), "_parsed", with_end(F.col("value")))
     judged = settled(lines, "keep", only_value(F.col("_parsed"), F.col("value")).isNotNull())  # a JSON null is a value, not a null
-    placed = written(with_place(judged.select("file", "start", "path", F.when(F.col("keep"), F.col("value")).alias("value"), "keep"), "keep"), "rows")
-    rows = _numbered(placed, placed.where("keep"), F.col("keep"), "value")
-    return rows.select("path", "line", "item", F.try_parse_json("value").alias("v"))
+    placed = written(with_place(judged.select("file", "start", F.when(F.col("keep"), F.col("value")).alias("value"), "keep"), "keep"), "rows")
+    paths = spark.createDataFrame(files(spark, path).select("file", "path").toArrow())  # names only, as Spark's own listing
+    rows = _numbered(placed, placed.where("keep").join(F.broadcast(paths), "file"), F.col("keep"), "value")
+    return settled(rows, "v", F.try_parse_json("value")).select("path", "line", "item", "v")

@@ -201,3 +201,46 @@ def test_lines_in_order_are_read_once(spark):
     os.remove(f"{at}/a.jsonl")
     os.remove(f"{at}/b.jsonl")
     assert [(r.path[-7:], r.line, r["index"]) for r in df.orderBy("line").collect()] == [("b.jsonl", 1, 1), ("b.jsonl", 4, 2)]
+
+
+def test_rows_of_documents_are_not_shuffled(spark, folder):
+    """Names and verdicts, a row a file, are broadcast whatever the sizes of the files; before, all rows were sorted by their few files to be given their paths."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = jsonl.valid_samples(jsonl.read_json_any(spark, folder, whole_up_to=-1))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_escaped_quotes_and_long_runs_of_backslashes(spark):
+    """Marks of random bytes against a letter-by-letter reading."""
+    from nlimorph.sources.documents import CLOSE, COMMA, OPEN, _marks
+
+    r = random.Random(5)
+    for n in range(300):
+        text = "," * (n % 2) + "".join(r.choice('\\\\\\"",[]{}a') for _ in range(r.randrange(60)))
+        for odd in (0, 1):
+            inside, run, want = odd, 0, []
+            for k, c in enumerate(text):
+                if c == '"' and run % 2 == 0:
+                    inside ^= 1
+                elif c in ",[]{}":
+                    want.append((k, COMMA if c == "," else OPEN if c in "[{" else CLOSE, inside))
+                run = run + 1 if c == "\\" else 0
+            at, kinds, within, end = _marks(text.encode(), odd)
+            assert (list(zip(at.tolist(), kinds.tolist(), within.tolist(), strict=True)), end) == (want, inside)
+
+
+def test_text_of_files_is_made_behind_their_shuffle(spark, monkeypatch):
+    """Rows are dealt to their files and sorted as the table has them; before, their JSON text was shuffled, and sorted, and spilled."""
+    from pyspark.sql import DataFrameWriter
+
+    from nlimorph.plans import files
+
+    plans, text = [], DataFrameWriter.text
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, *a, **k: plans.append(self._df._jdf.queryExecution().optimizedPlan().toString()) or text(self, *a, **k))
+    files._write(spark, "/root/testdata/sf0.001")
+    for plan in plans:
+        assert plan.index("supplied") < plan.index("Sort [") < plan.index("RepartitionByExpression") and "supplied" not in plan[plan.index("Sort [") :]
+    assert len(plans) == 2
