@@ -100,3 +100,14 @@ def test_signature_is_that_of_two_levels_at_any_height(spark):
 
 def test_buckets_grow_with_the_rows():
     assert [clustered.buckets_for(n) for n in (0, 600_000, 36_000_000, 216_000_000)] == [8, 8, 144, 864]
+
+
+def test_compressed_layout(spark):
+    """Files in gzip keep the names of their layout and are read as plain ones; the combined file is left out in either form."""
+    root = f"{scratch_dir(spark)}/packed-{uuid.uuid4().hex}"
+    df = spark.createDataFrame([("d1", "p", '{"k": 1}'), ("d1", "q", '{"k": 2}'), ("d2", "p", '{"k": 3}'), ("d2", "x_all", '{"k": 4}')], "dataset string, mr string, value string").coalesce(1)
+    layouts.write_layout(df, root, ["dataset", "mr"], lambda v, k: f"m/{v['dataset']}/{v['mr']}.jsonl", compression="gzip")
+    layouts.write_layout(df, f"{root}/m/plain", ["dataset", "mr"], lambda v, k: f"n/{v['dataset']}/{v['mr']}.jsonl")
+    packed = layouts.read_predictions(spark, root, models=["m"], relations=["p", "q"])
+    assert sorted((r.dataset, r.mr, r.path.split("/", 3)[-1].rsplit("/m/", 1)[1]) for r in packed.collect()) == [(d, m, f"{d}/{m}.jsonl.gz") for d, m in (("d1", "p"), ("d1", "q"), ("d2", "p"))]
+    assert sorted((r.model, r.dataset, r.mr) for r in layouts.read_predictions(spark, root).collect()) == [(k, d, m) for k in "mn" for d, m in (("d1", "p"), ("d1", "q"), ("d2", "p"))]
