@@ -23,13 +23,15 @@ def with_index(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...]) -> Da
     """
     if "index" in df.columns:
         return df
-    rows = df.withColumn("_h", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in order]))).withColumn("_b", F.substring("_h", 1, 3))
+    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in order]))
+    rows = df.withColumn("_b", F.substring(digest, 1, 3))
     counts = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
     ahead = F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_b").alias("_bucket"), F.coalesce(ahead, F.lit(0)).alias("_offset"))  # 4096 rows a group at most
     same = functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by), F.col("_b") == F.col("_bucket"))
     number = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", *order))
-    numbered = rows.withColumn("_inside", number).join(offsets, same)
+    dealt = rows.repartition(*by, "_b").withColumn("_h", digest)  # made again: digests can't be compressed, and would be a third of what is shuffled
+    numbered = dealt.withColumn("_inside", number).join(F.broadcast(offsets), same)
     return numbered.select(*df.columns, (F.col("_inside") + F.col("_offset")).alias("index"))
 
 

@@ -1,5 +1,6 @@
 """Scoring: models kept by worker processes, failures, and runs that are lost and resumed."""
 
+import hashlib
 import os
 import uuid
 
@@ -90,3 +91,18 @@ def test_a_first_run_joins_nothing(spark, monkeypatch):
     for n, times in ((5, 0), (7, 1)):
         done = score.score_into(prompts(spark, n), f"{at}/out", counting(f"{at}/log"), waves=2, name=at)
         assert (done.count(), len(calls)) == (n, times)
+
+
+def test_rows_are_numbered_behind_one_shuffle(spark):
+    """Rows are dealt once, without their digests; before, these were shuffled and the rows once more for the offsets."""
+    rows = spark.range(1000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).cast("string").alias("dataset"), F.when(F.col("id") < 0, "x").alias("mr"), F.col("id").cast("string").alias("row_key"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbered = score.with_index(rows, ("dataset", "mr"), ("row_key",))
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and plan.index("AS _h") < plan.index("Exchange hashpartitioning(") and plan.count("AS _h") == 1
+    got = sorted((str(r.dataset), r["index"], r.row_key) for r in numbered.collect())
+    want = [(d, sorted((hashlib.md5(str(k).encode()).hexdigest(), str(k)) for k in range(1000) if k % 3 == n)) for d, n in (("1", 1), ("2", 2), ("None", 0))]
+    assert got == [(d, i, k) for d, ks in want for i, (_, k) in enumerate(ks, 1)]
