@@ -111,3 +111,26 @@ def test_compressed_layout(spark):
     packed = layouts.read_predictions(spark, root, models=["m"], relations=["p", "q"])
     assert sorted((r.dataset, r.mr, r.path.split("/", 3)[-1].rsplit("/m/", 1)[1]) for r in packed.collect()) == [(d, m, f"{d}/{m}.jsonl.gz") for d, m in (("d1", "p"), ("d1", "q"), ("d2", "p"))]
     assert sorted((r.model, r.dataset, r.mr) for r in layouts.read_predictions(spark, root).collect()) == [(k, d, m) for k in "mn" for d, m in (("d1", "p"), ("d1", "q"), ("d2", "p"))]
+
+
+def test_lines_of_a_layout_are_written_by_the_batch(spark):
+    """Lines of one file are handed to the writer as one text; their number, blank ones and nulls stay as they are."""
+    import pyarrow as pa
+
+    batch = pa.record_batch({"value": ["a", "b", None, "", "c"], "dataset": ["x", "y", "x", "x", None], "k": [1, 1, 1, 1, 2]})
+    (got,) = layouts._joined(iter([batch]))
+    assert got.to_pylist() == [{"value": "a\n\n", "dataset": "x", "k": 1}, {"value": "b", "dataset": "y", "k": 1}, {"value": "c", "dataset": None, "k": 2}]
+    root = f"{scratch_dir(spark)}/lines-{uuid.uuid4().hex}"
+    rows = spark.range(5000).select(F.when(F.col("id") % 7 > 0, F.concat(F.lit("v"), F.col("id"))).alias("value"), (F.col("id") % 3).alias("k"))
+    layouts.write_layout(rows, root, ["k"], lambda v, n: f"{v['k']}/{n}.jsonl")
+    files = spark.read.option("recursiveFileLookup", True).text(root).select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("k"), "value")
+    assert sorted((r.k, r.value) for r in files.collect()) == sorted((str(k % 3), f"v{k}" if k % 7 else "") for k in range(5000))
+
+
+def test_files_are_numbered_by_their_values(spark):
+    """A number for each file of a layout made a folder for each; now files of one task share theirs, and few folders are listed."""
+    root = f"{scratch_dir(spark)}/numbers-{uuid.uuid4().hex}"
+    rows = spark.range(40).select(F.lit("{}").alias("value"), F.expr("id % 4").alias("k")).repartition(2)
+    layouts.write_layout(rows, root, ["k"], lambda v, n: f"{n}/{v['k']}.jsonl", compression="gzip")
+    names = spark.read.option("recursiveFileLookup", True).text(root).select(F.substring_index("_metadata.file_path", "/", -2).alias("name"))
+    assert sorted(r.name for r in names.distinct().collect()) == sorted(f"{n}/{k}.jsonl.gz" for n in range(2) for k in range(4))
